@@ -95,3 +95,10 @@ def round_doubles(df, digits=4):
         (F.round(col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else col(f.name)
         for f in df.schema
     ])
+
+
+def text_metrics(df, cols, exprs):
+    """Like ``metric_table`` for text columns and many patterns: columns become rows first, so the
+    generated code holds each pattern once rather than once per column."""
+    long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    return long.groupBy("column").agg(*[fn("value").alias(m) for m, fn in exprs.items()])
