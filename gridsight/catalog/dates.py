@@ -40,7 +40,7 @@ FORMATTED = """(SELECT strftime(o_orderdate,'%Y-%m-%d') AS iso, strftime(o_order
 
 def best_format(c):
     counts = " UNION ALL ".join(f"SELECT {i} AS i, '{f}' AS f, count(try_strptime({c}, '{f}')) FILTER (WHERE regexp_matches({c}, '^{d._translate(f, 1)}$')) AS n FROM {FORMATTED}" for i, f in enumerate(vocab.DATE_FORMATS))
-    return f"""SELECT '{c}' AS "column", CASE WHEN u > 0.7*t THEN 'unix' WHEN n >= 3 THEN f END AS format, CASE WHEN u > 0.7*t THEN u WHEN n >= 3 THEN n END AS matches, t AS total
+    return f"""SELECT '{c}' AS "column", CASE WHEN u > 0.7*t THEN 'unix' WHEN n >= 3 THEN f END AS format, CASE WHEN u > 0.7*t THEN u WHEN n >= 3 THEN n ELSE 0 END AS matches, t AS total
       FROM (SELECT count(*) t, count(*) FILTER (WHERE regexp_matches({c}, '^[0-9]{{9,13}}$')) u FROM {FORMATTED}), (SELECT * FROM ({counts}) ORDER BY n DESC, i LIMIT 1)"""
 
 
@@ -70,10 +70,10 @@ def d6_to_timestamp_smart(spark, sf):
     return d.to_timestamp_smart(mixed_dates(spark, sf), "stamp").select("o_orderkey", "stamp")
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS s, CAST(o_orderdate AS TIMESTAMP) AS ms, CAST(o_orderdate AS TIMESTAMP) AS us, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS serial FROM orders""")
+@query("""SELECT event_id, date_trunc('second', ts) AS s, date_trunc('millisecond', ts) AS ms, ts AS us, CAST(date_trunc('day', ts) AS TIMESTAMP) AS serial FROM events""")
 def d6_epoch_and_serial_numbers(spark, sf):
-    ts = F.col("o_orderdate").cast("timestamp")
-    t = table(spark, sf, "orders").select("o_orderkey", F.unix_seconds(ts).alias("s"), F.unix_millis(ts).alias("ms"), F.unix_micros(ts).alias("us"),
+    ts = F.col("ts").cast("timestamp")
+    t = table(spark, sf, "events").select("event_id", F.unix_seconds(ts).alias("s"), F.unix_millis(ts).alias("ms"), F.unix_micros(ts).alias("us"),
                                           F.datediff(ts, F.lit("1899-12-30").cast("date")).alias("serial"))
     for c in ("s", "ms", "us", "serial"):
         t = d.to_timestamp_smart(t, c)

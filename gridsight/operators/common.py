@@ -102,3 +102,11 @@ def text_metrics(df, cols, exprs):
     generated code holds each pattern once rather than once per column."""
     long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     return long.groupBy("column").agg(*[fn("value").alias(m) for m, fn in exprs.items()])
+
+
+def join_on(left, right, keys, how="inner"):
+    """Join on equal keys with null equal to null; key columns come from the left side only."""
+    renamed = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    match = all_of([col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    out = left.join(renamed, match, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_k{i}" for i in range(len(keys))])

@@ -26,7 +26,11 @@ def _translate(fmt, which):
 
 def parse_with(c, fmt):
     """Timestamp of text in one format, or null; the shape test avoids costly failed parses."""
-    return F.when(c.rlike(f"^{_translate(fmt, 1)}$"), F.try_to_timestamp(c, F.lit(_translate(fmt, 0))))
+    ts = F.try_to_timestamp(c, F.lit(_translate(fmt, 0)))
+    if "%y" in fmt:
+        # Two-digit years 69 to 99 belong to the last century.
+        ts = F.when(F.year(ts) >= 2069, ts + F.make_interval(F.lit(-100))).otherwise(ts)
+    return F.when(c.rlike(f"^{_translate(fmt, 1)}$"), ts)
 
 
 def clean_date_string(c):
@@ -50,13 +54,13 @@ def detect_date_format(df, cols):
     for i, fmt in enumerate(DATE_FORMATS):
         exprs[f"f{i}"] = lambda c, fmt=fmt: F.count_if(parse_with(text(c), fmt).isNotNull())
     t = text_metrics(df, cols, exprs)
-    best = F.greatest(*[F.struct(F.col(f"f{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(DATE_FORMATS)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"f{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(DATE_FORMATS)]))
     t = t.withColumn("_b", best)
     unix = F.col("unix") > 0.7 * F.col("total")
     enough = (F.col("_b.n") >= 3) | (F.col("_b.n") > 0.5 * F.col("total"))
     return t.select(
         "column", F.when(unix, "unix").when(enough, F.col("_b.format")).alias("format"),
-        F.when(unix, F.col("unix")).when(enough, F.col("_b.n")).alias("matches"), "total")
+        F.when(unix, F.col("unix")).when(enough, F.col("_b.n")).otherwise(0).alias("matches"), "total")
 
 
 def date_label(c):

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import pin
+from .common import join_on
 
 BLOCK = 65_536
 
@@ -34,11 +35,7 @@ def with_row_index(df, order, by=(), name="row_index"):
 
 def _within(indexed, by, name):
     first = indexed.groupBy(*by).agg(F.min(name).alias("_first"))
-    match = [indexed[b].eqNullSafe(first[b]) for b in by]
-    return (
-        indexed.join(first, match).select(*[indexed[c] for c in indexed.columns], "_first")
-        .withColumn(name, F.col(name) - F.col("_first")).drop("_first")
-    )
+    return join_on(indexed, first, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def over_rows(indexed, exprs, by=(), before=0, after=0, index="row_index", block=None):
@@ -65,8 +62,7 @@ def _with_carry(indexed, per_block, carry, by, index, block):
     state = blocks.groupBy(*by, "_block").agg(*per_block)
     entering = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     state = state.select(*by, "_block", *[fn(entering).alias(k) for k, fn in carry.items()])
-    match = [blocks[b].eqNullSafe(state[b]) for b in [*by, "_block"]]
-    return blocks.join(state, match).select(*[blocks[c] for c in blocks.columns], *[state[k] for k in carry])
+    return join_on(blocks, state, [*by, "_block"])
 
 
 def running_sum(indexed, value, by=(), name="running", index="row_index", block=None):
@@ -90,13 +86,18 @@ def fill_forward(indexed, cols, by=(), index="row_index", block=None, backward=F
     return joined.withColumns(filled).drop("_block", "_at", *carry)
 
 
+def hash_rank(key, seed=42):
+    """A repeatable pseudo-random LONG in [0, 2^60) from a row key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def take_smallest(df, by, rank_key, wanted, buckets=65_536):
-    """Keep, per group, the ``wanted`` rows with the smallest ``rank_key`` (a LONG hash).
+    """Keep, per group, the ``wanted`` rows with the smallest ``rank_key`` (a ``hash_rank``).
 
     Whole hash ranges are taken by count; only the range that holds the cut is ranked, so a hot group
     is never sorted in one task.
     """
-    span = (1 << 64) // buckets
+    span = (1 << 60) // buckets
     frame = df.withColumn("_rank", rank_key).withColumn("_bucket", F.floor(F.col("_rank") / F.lit(float(span))))
     counts = frame.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bucket")
@@ -107,8 +108,7 @@ def take_smallest(df, by, rank_key, wanted, buckets=65_536):
         .filter(F.col("_left") > 0)
         .select(*by, "_bucket", "_n", "_left")
     )
-    match = [frame[b].eqNullSafe(counts[b]) for b in [*by, "_bucket"]]
-    kept = frame.join(counts, match).select(*[frame[c] for c in frame.columns], "_n", "_left")
+    kept = join_on(frame, counts, [*by, "_bucket"])
     whole = kept.filter(F.col("_n") <= F.col("_left"))
     cut = (
         kept.filter(F.col("_n") > F.col("_left"))

@@ -7,7 +7,7 @@ rank, then only the values inside the brackets are counted and read off exactly.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import as_double, fits, stack_metrics, union_all
+from .common import as_double, fits, join_on, stack_metrics, union_all
 
 EXACT_ROWS = 1_000_000
 SKETCH_ACCURACY = 100_000
@@ -24,10 +24,9 @@ def quantile_table(df, cols, probs, by=(), exact_rows=None, accuracy=None):
     if not by:
         return _bracketed(base, cols, probs, by, accuracy)
     large = base.groupBy(*by).count().filter(F.col("count") > limit).drop("count")
-    match = [base[b].eqNullSafe(large[b]) for b in by]
     return union_all([
-        _direct(base.join(large, match, "left_anti"), cols, probs, by),
-        _bracketed(base.join(large, match, "left_semi"), cols, probs, by, accuracy),
+        _direct(join_on(base, large, by, "left_anti"), cols, probs, by),
+        _bracketed(join_on(base, large, by, "left_semi"), cols, probs, by, accuracy),
     ])
 
 
@@ -60,8 +59,7 @@ def _bracketed(base, cols, probs, by, accuracy):
         ]
     sketch = base.groupBy(*by).agg(*aggs)
     if by:
-        match = [base[b].eqNullSafe(sketch[b]) for b in by]
-        joined = base.join(sketch, match).select(*[base[b] for b in by], *[c for c in base.columns + sketch.columns if c not in by])
+        joined = join_on(base, sketch, by)
     else:
         row = sketch.first()
         joined = base.select("*", *[
@@ -88,11 +86,9 @@ def _bracketed(base, cols, probs, by, accuracy):
     )
     upto = F.sum("count").over(Window.partitionBy(*by, "i", "j").orderBy("v"))
     values = values.withColumn("upto", upto)
-    match = [heads[b].eqNullSafe(values[b]) for b in by] + [heads["i"] == values["i"], heads["j"] == values["j"]]
     reach = F.col("upto") + F.col("b")
     found = (
-        heads.join(values, match, "left")
-        .select(*[heads[c] for c in [*by, "i", "j", "b", "n", "pos"]], "v", "upto")
+        join_on(heads, values, [*by, "i", "j"], "left")
         .groupBy(*by, "i", "j", "n", "pos")
         .agg(F.min(F.when(reach > F.floor("pos"), F.col("v"))).alias("lo"),
              F.min(F.when(reach > F.ceil("pos"), F.col("v"))).alias("hi"))

@@ -32,7 +32,7 @@ def _cell(v):
         return str({k: _cell(x) for k, x in v.asDict().items()})
     if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
         return str([_cell(x) for x in v])
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
