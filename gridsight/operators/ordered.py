@@ -5,8 +5,12 @@ is spread over many tasks. Window functions then run in fixed-size blocks of row
 block edge are also sent to the neighbouring block, and running state is carried over a table with one
 row per block.
 """
+import math
+
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import pin
 from .common import join_on
@@ -130,3 +134,188 @@ def gaps(df, ts, by=()):
         indexed, {"gap_seconds": lambda w: (micros(F.col(ts).cast("timestamp")) - F.lag(micros(F.col(ts).cast("timestamp"))).over(w)) / 1e6},
         by, before=1)
     return stepped.filter(F.col("row_index") > 0).select(*by, ts, "gap_seconds")
+
+
+# ---- analytics in order
+
+
+def rolling(df, cols, order, window, by=(), fn="mean", center=False):
+    """Rolling mean, std or median over ``window`` rows; null until a trailing (or full centred) window is filled."""
+    back, ahead = (window // 2, window - 1 - window // 2) if center else (window - 1, 0)
+    agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}.get(fn)
+    middle, low = window // 2, (window - 1) // 2
+
+    def expr(c):
+        def build(w):
+            frame = w.rowsBetween(-back, ahead)
+            if fn == "median":
+                held = F.sort_array(F.collect_list(c).over(frame))
+                value = (F.get(held, F.lit(low)) + F.get(held, F.lit(middle))) / 2.0
+            else:
+                value = agg(c).over(frame)
+            return F.when(F.count(c).over(frame) == window, value)
+        return build
+
+    indexed = with_row_index(df, order, by)
+    return over_rows(indexed, {f"{c}_rolling_{fn}": expr(c) for c in cols}, by, back, ahead)
+
+
+def ewma(df, c, order, by=(), alpha=0.1, name=None, block=None):
+    """y = alpha * x + (1 - alpha) * previous y, starting at the first value.
+
+    Each block of rows is a linear map of the state that enters it, so blocks are summarised by one
+    aggregate, chained over one row per block, and then filled in independently.
+    """
+    by, block, name = list(by), block or BLOCK, name or f"{c}_ewma"
+    indexed = with_row_index(df.filter(F.col(c).isNotNull()), order, by)
+    first = F.col("row_index") == 0
+    step = indexed.withColumn("_block", F.floor(F.col("row_index") / block)).withColumn(
+        "_in", F.when(first, F.col(c).cast("double")).otherwise(alpha * F.col(c)))
+    last = F.max("row_index").over(Window.partitionBy(*by, "_block"))
+    weight = F.pow(F.lit(1.0 - alpha), (last - F.col("row_index")).cast("double"))
+    state = step.withColumn("_w", weight).groupBy(*by, "_block").agg(
+        F.sum(F.col("_in") * F.col("_w")).alias("_add"), F.count(F.lit(1)).alias("_n"))
+    # Weight of block j on the state entering block b: the decay over all rows in between.
+    upto = Window.partitionBy(*by).orderBy("_block")
+    state = state.withColumn("_rows", F.sum("_n").over(upto))
+    pairs = F.collect_list(F.struct("_add", "_rows")).over(upto.rowsBetween(-carried_blocks(alpha, block), -1))
+    entering = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + s["_add"] * F.pow(F.lit(1.0 - alpha), (F.col("_rows") - F.col("_n") - s["_rows"]).cast("double")))
+    state = state.select(*by, "_block", entering.alias("_start"))
+    joined = join_on(step, state, [*by, "_block"])
+
+    kept = [*df.columns, "row_index", name]
+
+    def fill(pdf):
+        pdf = pdf.sort_values("row_index")
+        y, out = float(pdf["_start"].iloc[0]), np.empty(len(pdf))
+        for i, v in enumerate(pdf["_in"].to_numpy()):
+            y = v + (1.0 - alpha) * y
+            out[i] = y
+        pdf[name] = out
+        return pdf[kept]
+
+    schema = T.StructType([*df.schema.fields, T.StructField("row_index", T.LongType()), T.StructField(name, T.DoubleType())])
+    return joined.groupBy(*by, "_block").applyInPandas(fill, schema)
+
+
+def carried_blocks(alpha, block):
+    """How many earlier blocks still matter at double precision."""
+    return max(1, math.ceil(750.0 / max(1e-12, -math.log(1.0 - alpha)) / block)) if alpha < 1 else 1
+
+
+def _halves(df, ts, c, key):
+    indexed = with_row_index(df.select(ts, c, key).filter(F.col(c).isNotNull() & F.col(ts).isNotNull()), [ts, key])
+    return indexed, indexed.count()
+
+
+def half_trend(df, ts, c, key):
+    """Mean of the first and second half in time order, percent change and direction (beyond 5%)."""
+    indexed, n = _halves(df, ts, c, key)
+    early = F.col("row_index") < n // 2
+    t = indexed.agg(F.avg(F.when(early, F.col(c))).alias("first_mean"), F.avg(F.when(~early, F.col(c))).alias("second_mean"))
+    change = F.when(F.col("first_mean") != 0, (F.col("second_mean") - F.col("first_mean")) / F.abs("first_mean") * 100).otherwise(0.0)
+    return t.withColumn("change_percent", change).withColumn(
+        "direction", F.when(F.col("change_percent") > 5, "increasing").when(F.col("change_percent") < -5, "decreasing").otherwise("stable"))
+
+
+def quarter_change(df, ts, c, key):
+    """Mean of the first and last quarter of the rows; a change of more than 20% is marked."""
+    indexed, n = _halves(df, ts, c, key)
+    i, k = F.col("row_index"), n // 4
+    t = indexed.agg(F.avg(F.when(i < k, F.col(c))).alias("first_mean"), F.avg(F.when(i >= n - k, F.col(c))).alias("last_mean"))
+    change = F.when(F.col("first_mean") != 0, (F.col("last_mean") - F.col("first_mean")) / F.abs("first_mean") * 100).otherwise(0.0)
+    return t.withColumn("change_percent", change).withColumn("changed", F.abs("change_percent") > 20)
+
+
+def group_quarter_change(df, ts, c, cat, key, min_rows=10):
+    """Percent change from first to last quarter per category; diverging when some rise and some fall by over 20%."""
+    indexed = with_row_index(df.select(ts, c, cat, key).dropna(), [ts, key], [cat])
+    sizes = indexed.groupBy(cat).agg(F.count(F.lit(1)).alias("_n"))
+    i, k = F.col("row_index"), F.floor(F.col("_n") / 4)
+    g = join_on(indexed, sizes, [cat]).filter(F.col("_n") >= min_rows).groupBy(cat).agg(
+        F.avg(F.when(i < k, F.col(c))).alias("first_mean"), F.avg(F.when(i >= F.col("_n") - k, F.col(c))).alias("last_mean"))
+    g = g.withColumn("change_percent", F.when(F.col("first_mean") != 0, (F.col("last_mean") - F.col("first_mean")) / F.abs("first_mean") * 100).otherwise(0.0))
+    s = g.agg(F.max("change_percent").alias("hi"), F.min("change_percent").alias("lo")).first()
+    return g.withColumn("diverging", F.lit(bool(s["hi"] is not None and s["hi"] > 20 and s["lo"] < -20)))
+
+
+def waterfall(df, name, value, pos):
+    """Start and end of each step in order, with the Total as the last row."""
+    indexed = with_row_index(df.select(name, value, pos), [pos])
+    steps = running_sum(indexed, value, name="end").select(
+        F.col("row_index").alias("position"), F.col(name).cast("string").alias("name"), (F.col("end") - F.col(value)).alias("start"), "end", F.col(value).cast("double").alias("value"))
+    total = df.agg(F.count(F.lit(1)).alias("position"), F.sum(value).alias("end")).select(
+        "position", F.lit("Total").alias("name"), F.lit(0.0).alias("start"), "end", F.col("end").cast("double").alias("value"))
+    return steps.unionByName(total)
+
+
+def ecdf(df, c):
+    """Cumulative share at each distinct value."""
+    from .statistics import value_ranks
+    ranks = value_ranks(df, [c])
+    total = df.filter(F.col(c).isNotNull()).count()
+    return ranks.select("value", "n", (F.col("upto") / F.lit(float(max(total, 1)))).alias("share"))
+
+
+def quartile_means(df, ts, c, key):
+    """Means of four equal runs of rows in time order and their trend against the first (beyond 10%)."""
+    indexed, n = _halves(df, ts, c, key)
+    # The first n % 4 runs hold one row more, as ntile(4) does.
+    small_size, extra = n // 4, n % 4
+    i, cut = F.col("row_index"), (n // 4 + 1) * (n % 4)
+    quarter = F.when(i < cut, F.floor(i / F.lit(small_size + 1))).otherwise(F.lit(extra) + F.floor((i - cut) / F.lit(max(small_size, 1))))
+    g = indexed.groupBy((quarter + 1).cast("int").alias("quarter")).agg(F.avg(c).alias("mean"), F.count(F.lit(1)).alias("n"))
+    prior = F.lag("mean").over(Window.orderBy("quarter"))
+    change = (F.col("mean") - prior) / F.abs(prior) * 100
+    return g.withColumn("change_percent", change).withColumn("direction", F.when(F.col("change_percent") > 10, "up").when(F.col("change_percent") < -10, "down").otherwise("flat"))
+
+
+def interpolate(df, ts, c, by=()):
+    """Fill gaps linearly by position between known neighbours on a regular grid; leading nulls stay, trailing ones repeat the last value."""
+    by = list(by)
+    indexed = with_row_index(df, [ts], by)
+    known = F.when(F.col(c).isNotNull(), F.struct(F.col("row_index").alias("i"), F.col(c).cast("double").alias("v")))
+    marked = indexed.withColumns({"_prev": known, "_next": known})
+    filled = fill_forward(fill_forward(marked, ["_prev"], by), ["_next"], by, backward=True)
+    a, b = F.col("_prev"), F.col("_next")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("row_index") - a["i"]) / (b["i"] - a["i"])
+    value = F.coalesce(F.col(c).cast("double"), F.when(a.isNotNull() & b.isNotNull(), line), a["v"])
+    return filled.withColumn(c, value).drop("_prev", "_next", "row_index")
+
+
+FREQUENCIES = {"h": "hour", "d": "day", "w": "week", "m": "month", "q": "quarter", "y": "year"}
+
+
+def resample(df, ts, c, freq, by=(), fill=False):
+    """(by..., ts, value, n): mean per period, labelled by its start, with empty periods as nulls.
+
+    The result has at most one row per period of the key's time span, however many rows the key has.
+    """
+    unit = FREQUENCIES[freq]
+    by = list(by)
+    means = df.filter(F.col(ts).isNotNull()).groupBy(*by, F.date_trunc(unit, F.col(ts)).cast("timestamp").alias("ts")).agg(
+        F.avg(F.col(c).cast("double")).alias("value"), F.count(c).alias("n"))
+    step = F.expr(f"INTERVAL {3 if unit == 'quarter' else 1} {'MONTH' if unit == 'quarter' else unit.upper()}")
+    spans = means.groupBy(*by).agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), step)).alias("ts"))
+    out = join_on(spans, means, [*by, "ts"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if fill:
+        out = interpolate(out, "ts", "value", by)
+    return out
+
+
+def choose_frequency(df, ts, by=()):
+    """(by..., median_gap, freq): the resampling period that suits the median gap."""
+    from .quantiles import median_table
+    by = list(by)
+    m = median_table(gaps(df, ts, by), ["gap_seconds"], by).select(*by, F.col("median").alias("median_gap"))
+    gap, days = F.col("median_gap"), F.floor(F.col("median_gap") / 86400)
+    freq = (F.when((days == 0) & (gap <= 3600), "h").when(days == 0, "d").when(days.between(1, 7), "w").when(days.between(28, 31), "m")
+            .when(days.between(89, 92), "q").when(days >= 350, "y").otherwise("d"))
+    return m.withColumn("freq", freq)
+
+
+def display_granularity(df, ts):
+    """hourly below a day of range, daily below 30 days, weekly below a year, else monthly."""
+    t = df.agg(((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 86400e6).alias("range_days"))
+    d = F.col("range_days")
+    return t.withColumn("granularity", F.when(d < 1, "hourly").when(d < 30, "daily").when(d < 365, "weekly").otherwise("monthly"))
