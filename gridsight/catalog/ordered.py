@@ -36,12 +36,12 @@ def o1_rolling_median(spark, sf):
 
 EWMA = """WITH RECURSIVE e AS (SELECT event_id, value, {by} AS k, row_number() OVER (PARTITION BY {by} ORDER BY ts, event_id) AS i FROM events),
   r AS (SELECT event_id, k, i, value AS y FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.k, e.i, 0.1*e.value + 0.9*r.y FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)
-  SELECT event_id, round(y,4) AS y FROM r"""
+  SELECT event_id, round(y,3) AS y FROM r"""
 
 
 @query(EWMA.format(by="user_id"))
 def o2_ewma(spark, sf):
-    return round_doubles(o.ewma(events(spark, sf), "value", ["ts", "event_id"], ["user_id"], name="y", block=50).select("event_id", "y"))
+    return round_doubles(o.ewma(events(spark, sf), "value", ["ts", "event_id"], ["user_id"], name="y", block=50).select("event_id", "y"), 3)
 
 
 @query()

@@ -1,3 +1,372 @@
-def impute_knn(*a): pass
-def replace_outliers(df,*a):
-    return df
+"""Nearest neighbours, isolation forest, projection, clustering and prediction."""
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..session import pin
+from .common import as_double, col, numeric_columns, union_all
+from .ordered import hash_rank
+from .quantiles import quantile_values
+
+SCAN_QUERIES = 2_000
+
+
+# ---- nearest neighbours
+
+
+def nearest(queries, donors, cols, k, key, donor_key, scan_limit=SCAN_QUERIES):
+    """(key, donor_key, distance, rank): the exact k nearest donors of each query by Euclidean distance, ties by key.
+
+    Few queries travel with the task closures and the donors are scanned once. Many queries are settled
+    round by round on a grid whose cells grow: a query is done when its k-th distance lies inside the
+    ring of cells it has seen, and the last few are scanned.
+    """
+    point = F.array(*[as_double(c) for c in cols])
+    whole = lambda p: ~F.exists(p, lambda v: v.isNull())
+    q = pin(queries.select(col(key).alias("q"), point.alias("x")).filter(whole(F.col("x"))))
+    # At most k donors of each distinct point can ever be among the nearest.
+    w = Window.partitionBy("x").orderBy("d")
+    d = donors.select(col(donor_key).alias("d"), point.alias("x")).filter(whole(F.col("x")))
+    d = pin(d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r"))
+    settled = []
+    left, waiting = q, q.count()
+    if waiting > scan_limit:
+        spread = d.agg(*[F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(cols))]).first()
+        axes = sorted(range(len(cols)), key=lambda i: -(spread[i] or 0.0))[:2]
+        side = max((spread[axes[0]] or 1.0), 1e-12) * math.sqrt(k / max(d.count(), 1)) * 2
+        while waiting > scan_limit:
+            done, left = _grid_round(left, d, axes, side, k)
+            settled.append(done)
+            before, waiting = waiting, left.count()
+            side *= 2.0 if waiting < before else 8.0
+    if waiting:
+        settled.append(_scan(left, d, k))
+    names = {"q": key, "d": donor_key}
+    return union_all(settled).withColumnsRenamed(names)
+
+
+def _distance(a, b):
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+
+
+def _ranked(pairs, k):
+    w = Window.partitionBy("q").orderBy("distance", "d")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _grid_round(left, d, axes, side, k):
+    cell = lambda x: [F.floor(F.get(x, F.lit(a)) / side).alias(f"c{i}") for i, a in enumerate(axes)]
+    around = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
+    placed = left.select("q", "x", *cell(F.col("x")))
+    for i in range(len(axes)):
+        placed = placed.withColumn("_s", F.explode(around)).withColumn(f"c{i}", F.col(f"c{i}") + F.col("_s")).drop("_s")
+    cells = d.select("d", F.col("x").alias("y"), *cell(F.col("x")))
+    pairs = placed.join(cells, [f"c{i}" for i in range(len(axes))]).select("q", "d", _distance(F.col("x"), F.col("y")).alias("distance"))
+    top = pin(_ranked(pairs, k))
+    done = top.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far")).filter((F.col("_n") == k) & (F.col("_far") <= side)).select("q")
+    return top.join(done, "q", "left_semi").select("q", "d", "distance", "rank"), pin(left.join(done, "q", "left_anti"))
+
+
+def _scan(left, d, k):
+    rows = left.collect()
+    names, points = [r["q"] for r in rows], np.array([r["x"] for r in rows], dtype="float64")
+
+    def best(batches):
+        for batch in batches:
+            x, ids = np.stack(batch["x"].to_numpy()).astype("float64"), batch["d"].to_numpy()
+            for i, p in enumerate(points):
+                dist = np.sqrt(((x - p) ** 2).sum(axis=1))
+                top = np.lexsort((ids, dist))[:k]
+                yield pd.DataFrame({"q": [names[i]] * len(top), "d": ids[top], "distance": dist[top]})
+
+    kinds = dict(left.dtypes)["q"], dict(d.dtypes)["d"]
+    return _ranked(d.mapInPandas(best, f"q {kinds[0]}, d {kinds[1]}, distance double"), k).select("q", "d", "distance", "rank")
+
+
+def impute_knn(df, c, helpers, key, k=5):
+    """Fill nulls by the mean of the k nearest rows over the helper columns (a helper's nulls count as its median)."""
+    k = max(1, min(k, df.count() // 20))
+    mid = quantile_values(df, helpers, [0.5])
+    frame = df.select(key, as_double(c).alias("_t"), *[F.coalesce(as_double(h), F.lit(mid[h][0])).alias(h) for h in helpers])
+    donors = frame.filter(F.col("_t").isNotNull())
+    near = nearest(frame.filter(F.col("_t").isNull()), donors.withColumnRenamed(key, "_donor"), helpers, k, key, "_donor")
+    fill = near.join(donors.select(col(key).alias("_donor"), "_t"), "_donor").groupBy(key).agg(F.avg("_t").alias("_fill"))
+    return df.join(fill, key, "left").withColumn(c, F.coalesce(as_double(c), F.col("_fill"))).select(*df.columns)
+
+
+# ---- isolation forest
+
+
+def _path_constant(n):
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
+def _grow(x, rng, limit):
+    """One isolation tree as parallel lists: split column (-1 for a leaf), cut, left, right, leaf depth."""
+    tree = {"f": [], "t": [], "l": [], "r": [], "h": []}
+
+    def node(rows, depth):
+        at = len(tree["f"])
+        for name, v in (("f", -1), ("t", 0.0), ("l", -1), ("r", -1), ("h", depth + _path_constant(len(rows)))):
+            tree[name].append(v)
+        live = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 and depth < limit else []
+        if len(live):
+            f = int(rng.choice(live))
+            cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            below = rows[:, f] < cut
+            tree["f"][at], tree["t"][at] = f, cut
+            tree["l"][at] = node(rows[below], depth + 1)
+            tree["r"][at] = node(rows[~below], depth + 1)
+        return at
+
+    node(x, 0)
+    return tree
+
+
+def isolation_forest(df, cols, key, contamination=0.05, seed=42, trees=100, sample=256):
+    """Add ``anomaly_score`` (0 to 1) and ``is_outlier`` for the ``contamination`` share with the highest scores.
+
+    Trees are grown in parallel from hash-chosen samples of fixed size; the fitted forest is bounded by
+    trees x sample and scores the rows in one pass.
+    """
+    mid = quantile_values(df, cols, [0.5])
+    point = F.array(*[F.coalesce(as_double(c), F.lit(mid[c][0])) for c in cols])
+    ranked = df.select(point.alias("x"), hash_rank(col(key), seed).alias("h")).orderBy("h").limit(trees * sample)
+    spots = ranked.withColumn("tree", F.pmod(F.row_number().over(Window.orderBy("h")), F.lit(trees)).cast("int"))
+    size = min(sample, max(1, df.count() // trees if df.count() < trees * sample else sample))
+    limit = math.ceil(math.log2(max(2, size)))
+
+    def fit(pdf):
+        t = int(pdf["tree"].iloc[0])
+        tree = _grow(np.stack(pdf.sort_values("h")["x"].to_numpy()), np.random.default_rng(seed + t), limit)
+        return pd.DataFrame({"tree": [t], **{k: [v] for k, v in tree.items()}})
+
+    forest = [{k: np.array(r[k]) for k in "ftlrh"} for r in spots.groupBy("tree").applyInPandas(
+        fit, "tree int, f array<int>, t array<double>, l array<int>, r array<int>, h array<double>").orderBy("tree").collect()]
+    scale = max(_path_constant(size), 1e-9)
+
+    @F.pandas_udf("double")
+    def score(points: pd.Series) -> pd.Series:
+        x = np.stack(points.to_numpy())
+        total = np.zeros(len(x))
+        for tree in forest:
+            at = np.zeros(len(x), dtype=int)
+            for _ in range(limit):
+                f = tree["f"][at]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                below = x[np.arange(len(x)), np.maximum(f, 0)] < tree["t"][at]
+                at = np.where(inner, np.where(below, tree["l"][at], tree["r"][at]), at)
+            total += tree["h"][at]
+        return pd.Series(2.0 ** (-(total / len(forest)) / scale))
+
+    scored = pin(df.withColumn("anomaly_score", score(point)))
+    cut = quantile_values(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
+    return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(cut))
+
+
+def replace_outliers(df, cols, key, contamination=0.05):
+    """Set the numeric cells of outlier rows to the column medians."""
+    mid = quantile_values(df, cols, [0.5])
+    marked = isolation_forest(df, cols, key, contamination)
+    return marked.withColumns({c: F.when(F.col("is_outlier"), F.lit(mid[c][0])).otherwise(as_double(c)) for c in cols}).drop("anomaly_score", "is_outlier")
+
+
+# ---- projection and importance
+
+
+def _assembled(df, cols):
+    from .clean import standardize
+    rows = df.dropna(subset=cols)
+    scaled = standardize(rows.withColumns({f"_z{i}": as_double(c) for i, c in enumerate(cols)}), [f"_z{i}" for i in range(len(cols))])
+    return VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol="_features").transform(scaled).drop(*[f"_z{i}" for i in range(len(cols))])
+
+
+def pca(df, cols, variance=0.95, k=None):
+    """(scores, loadings): components that reach the wanted share of variance, each signed by its largest loading."""
+    data = _assembled(df, cols)
+    model = PCA(k=len(cols), inputCol="_features", outputCol="_pc").fit(data)
+    weights, share = model.pc.toArray(), model.explainedVariance.toArray()
+    keep = k or int(np.searchsorted(np.cumsum(share), min(variance, float(share.sum()) - 1e-12)) + 1)
+    signs = np.array([1.0 if weights[np.argmax(np.abs(weights[:, j])), j] >= 0 else -1.0 for j in range(keep)])
+    rows = [(j + 1, c, float(weights[i, j] * signs[j]), float(share[j])) for j in range(keep) for i, c in enumerate(cols)]
+    loadings = df.sparkSession.createDataFrame(rows, "component int, column string, loading double, explained_variance double")
+    pc = vector_to_array("_pc")
+    scores = model.transform(data).withColumns({f"pc{j + 1}": F.get(pc, F.lit(j)) * F.lit(float(signs[j])) for j in range(keep)}).drop("_features", "_pc")
+    return scores, loadings
+
+
+def pca_importance(loadings):
+    """Importance of each column: squared loadings weighted by explained variance, as a share."""
+    g = loadings.groupBy("column").agg(F.sum(F.col("loading") * F.col("loading") * F.col("explained_variance")).alias("_w"))
+    return g.select("column", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("importance"))
+
+
+def forest_importance(df, target, cols, seed=42):
+    """Feature importance of a 50-tree random forest for a numeric target."""
+    data = df.dropna(subset=[target, *cols]).select(as_double(target).alias("label"), *[as_double(c).alias(c) for c in cols])
+    model = RandomForestRegressor(numTrees=50, seed=seed, featuresCol="_features").fit(VectorAssembler(inputCols=cols, outputCol="_features").transform(data))
+    return df.sparkSession.createDataFrame(list(zip(cols, map(float, model.featureImportances.toArray()))), "column string, importance double").orderBy(F.desc("importance"), "column")
+
+
+# ---- clustering
+
+
+def kmeans_auto(df, cols, max_k=10, seed=42):
+    """(labels, summary): k-means on standardised columns with the k of the best silhouette; clusters numbered by size."""
+    data = pin(_assembled(df, cols))
+    tried = []
+    for k in range(2, max_k + 1):
+        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_c").fit(data)
+        if model.summary.k > 1:
+            tried.append((ClusteringEvaluator(featuresCol="_features", predictionCol="_c").evaluate(model.transform(data)), -k, model))
+    score, neg, model = max(tried, key=lambda t: t[:2])
+    labelled = model.transform(data)
+    sizes = {r["_c"]: r["count"] for r in labelled.groupBy("_c").count().collect()}
+    order = {c: i for i, (c, _) in enumerate(sorted(sizes.items(), key=lambda x: (-x[1], x[0])))}
+    number = F.get(F.array(*[F.lit(order.get(c, -1)) for c in range(-neg)]), F.col("_c"))
+    labels = labelled.withColumn("cluster", number).drop("_features", "_c")
+    centres = [(order[c], sizes[c], float(score), name, float(model.clusterCenters()[c][i])) for c in sizes for i, name in enumerate(cols)]
+    return labels, df.sparkSession.createDataFrame(centres, "cluster int, size long, silhouette double, column string, centre double")
+
+
+def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
+    """(key, cluster): density clusters named by their smallest key, -1 for noise.
+
+    Cells have a diagonal of eps, so all points of a cell with ``min_samples`` points are core and
+    belong together, and clusters are components of cells. Pairs of points are compared only where cell
+    geometry leaves the answer open.
+    """
+    from .clean import standardize
+    names = [f"_x{i}" for i in range(len(cols))]
+    rows = df.select(col(key).alias("k"), *[as_double(c).alias(n) for c, n in zip(cols, names)]).dropna()
+    rows = standardize(rows, names) if scale else rows
+    n = rows.count()
+    need = min_samples or max(2, n // 100)
+    side = eps / math.sqrt(len(cols))
+    at = F.array(*[F.floor(F.col(x) / side) for x in names])
+    points = pin(rows.select("k", F.array(*names).alias("x"), at.alias("c")))
+    cells = points.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    reach = math.ceil(math.sqrt(len(cols)))
+    # Pairs of occupied cells that may hold neighbours, found through a coarse cell of side eps on two axes.
+    wide = lambda c: [F.floor(F.get(c, F.lit(i)) * side / eps).alias(f"w{i}") for i in range(min(2, len(cols)))]
+    axes = min(2, len(cols))
+    near = cells.select(F.col("c").alias("a"), *wide(F.col("c")))
+    for i in range(axes):
+        near = near.withColumn("_s", F.explode(F.array(*[F.lit(s).cast("long") for s in (-2, -1, 0, 1, 2)]))).withColumn(f"w{i}", F.col(f"w{i}") + F.col("_s")).drop("_s")
+    gap = F.aggregate(F.zip_with("a", "b", lambda u, v: F.greatest(F.abs(u - v) - 1, F.lit(0))), F.lit(0.0), lambda s, v: s + v * v)
+    touching = pin(near.join(cells.select(F.col("c").alias("b"), F.col("n").alias("nb"), *wide(F.col("c"))), [f"w{i}" for i in range(axes)])
+                   .select("a", "b", "nb").filter(F.sqrt(gap) * side <= eps).filter(F.forall(F.zip_with("a", "b", lambda u, v: F.abs(u - v)), lambda v: v <= reach)))
+    corner = lambda c, far: F.zip_with(c, "x", lambda u, v: (F.greatest(F.abs(u * side - v), F.abs((u + 1) * side - v)) if far
+                                                          else F.greatest(u * side - v, v - (u + 1) * side, F.lit(0.0))))
+    length = lambda arr: F.sqrt(F.aggregate(arr, F.lit(0.0), lambda s, v: s + v * v))
+    sparse = points.join(cells.filter(F.col("n") < need), "c").select("k", "x", F.col("c").alias("a"))
+    against = sparse.join(touching, "a")
+    against = against.withColumn("_near", length(corner("b", False))).filter(F.col("_near") <= eps).withColumn("_inside", length(corner("b", True)) <= eps)
+    sure = against.groupBy("k", "x", "a").agg(F.sum(F.when(F.col("_inside"), F.col("nb")).otherwise(0)).alias("m"), F.sum("nb").alias("most"))
+    open_ = sure.filter((F.col("m") < need) & (F.col("most") >= need)).select("k", "m")
+    pairs = against.filter(~F.col("_inside")).join(open_, "k").join(points.select(F.col("x").alias("y"), F.col("c").alias("b")), "b")
+    extra = pairs.filter(_distance(F.col("x"), F.col("y")) <= eps).groupBy("k").agg(F.count(F.lit(1)).alias("e"))
+    some = open_.join(extra, "k", "left").filter(F.col("m") + F.coalesce("e", F.lit(0)) >= need).select("k")
+    core_keys = sure.filter(F.col("m") >= need).select("k").unionByName(some).unionByName(points.join(cells.filter(F.col("n") >= need), "c").select("k"))
+    core = pin(points.join(core_keys, "k", "left_semi"))
+    # Cells are linked when some pair of their core points lies within eps.
+    core_cells = core.groupBy("c").agg(F.min("k").alias("label"))
+    links = touching.filter(F.col("a") < F.col("b")).select("a", "b").join(core_cells.select(F.col("c").alias("a")), "a", "left_semi").join(core_cells.select(F.col("c").alias("b")), "b", "left_semi")
+    left_side = links.join(core.select(F.col("c").alias("a"), "x"), "a").filter(length(corner("b", False)) <= eps)
+    linked = left_side.join(core.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").filter(_distance(F.col("x"), F.col("y")) <= eps).select("a", "b").distinct()
+    edges = pin(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = pin(core_cells)
+    while True:
+        passed = edges.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("new"))
+        step = pin(labels.join(passed, "c", "left").select("c", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("moved")))
+        labels = step.select("c", "label")
+        if step.filter("moved").isEmpty():
+            break
+    core_labels = core.join(labels, "c").select("k", "x", "c", F.col("label").cast("string").alias("cluster"), "label")
+    loose = points.join(core.select("k"), "k", "left_anti").select("k", "x", F.col("c").alias("a"))
+    border = loose.join(touching.select("a", "b"), "a").join(core_labels.select(F.col("x").alias("y"), F.col("c").alias("b"), "label"), "b").filter(
+        _distance(F.col("x"), F.col("y")) <= eps).groupBy("k").agg(F.min("label").alias("label"))
+    found = core_labels.select("k", "label").unionByName(border)
+    out = points.select("k").join(found, "k", "left")
+    return out.select(F.col("k").alias(key), F.coalesce(F.col("label").cast("string"), F.lit("-1")).alias("cluster"))
+
+
+def cluster_projection(labels, cols, n=1000, key=None):
+    """(pc1, pc2, cluster): the first two components of labelled rows, for at most n hash-chosen rows."""
+    scores, _ = pca(labels, cols, k=2)
+    if key is not None:
+        scores = scores.orderBy(hash_rank(col(key))).limit(n)
+    return scores.select(*([key] if key else []), "pc1", "pc2", "cluster")
+
+
+# ---- prediction
+
+
+def predict(df, key, target, features, model_type, test_size=0.2, seed=42):
+    """(predictions, metrics, importance) of a random forest; rows are split by a hash of the key."""
+    from .relational import split
+    data = df.dropna(subset=[target, *features])
+    num = set(numeric_columns(df))
+    for c in [f for f in features if f not in num]:
+        data = StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep").fit(data).transform(data)
+    inputs = [c if c in num else f"_i_{c}" for c in features]
+    data = VectorAssembler(inputCols=inputs, outputCol="_features").transform(data)
+    classes = None
+    if model_type == "classification":
+        indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(data)
+        data, classes = indexer.transform(data), indexer.labels
+        forest = RandomForestClassifier(featuresCol="_features", numTrees=50, seed=seed, maxBins=1024)
+    else:
+        data = data.withColumn("label", as_double(target))
+        forest = RandomForestRegressor(featuresCol="_features", numTrees=50, seed=seed, maxBins=1024)
+    train, test = split(data, key, 1.0 - test_size, seed)
+    model = forest.fit(train)
+    out = model.transform(test)
+    if classes:
+        names = F.array(*[F.lit(c) for c in classes])
+        predictions = pin(out.select(key, col(target).cast("string").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted")))
+        metrics = classification_metrics(predictions)
+    else:
+        predictions = pin(out.select(key, F.col("label").alias("actual"), F.col("prediction").alias("predicted")).withColumn("error", F.col("actual") - F.col("predicted")))
+        metrics = regression_metrics(predictions)
+    importance = df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()))), "column string, importance double")
+    return predictions, metrics, importance
+
+
+def regression_metrics(pred):
+    e = F.col("actual") - F.col("predicted")
+    return pred.agg((1 - F.sum(e * e) / (F.var_pop("actual") * F.count(F.lit(1)))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def classification_metrics(pred):
+    """Accuracy and support-weighted F1."""
+    cells = pred.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    right = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    a = cells.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), F.sum(right).alias("hit"))
+    p = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("said"))
+    both = a.join(p, "label", "left")
+    f1 = 2 * F.col("hit") / (F.col("support") + F.coalesce("said", F.lit(0)))
+    return both.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1"))
+
+
+def confusion_matrix(pred):
+    """Counts of every (actual, predicted) pair of labels, zeros included; bounded by the number of labels."""
+    cells = pred.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    labels = sorted({r[0] for r in cells.select("actual").distinct().collect()} | {r[0] for r in cells.select("predicted").distinct().collect()})
+    grid = pred.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], cells.select("actual", "predicted").schema)
+    return grid.join(F.broadcast(cells) if len(labels) <= 300 else cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def actual_vs_predicted(pred, key):
+    return pred.select(key, "actual", "predicted", (F.col("actual") - F.col("predicted")).alias("error"))

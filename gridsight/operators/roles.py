@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
-from .common import all_of, any_of, col, datetime_columns, is_numeric, metric_table, numeric_columns, string_columns, text_metrics
+from .common import all_of, any_of, col, datetime_columns, is_numeric, metric_table, numeric_columns, string_columns, text_metrics, union_all
 from .dates import datetime_share
 from .profile import word_count
 
@@ -190,11 +190,12 @@ def infer_roles(df, strict=False):
         first += [("email", is_email(df, te)), ("phone", is_phone(df, te)), ("gender", is_gender(df)), ("range", is_range(df, te)),
                   ("address", is_address(df, te)), ("name", is_name(df, te)), ("url", is_url(df, te))]
     first.append(("categorical", categorical_or_text(df, e)))
-    hits = {}
-    for rank, (role, verdict) in enumerate(first):
-        for r in verdict.filter("match").select("column").collect():
-            hits.setdefault(r["column"], role)
-    empty = {r["column"] for r in e.filter("non_null = 0").select("column").collect()}
+    role_names = [role for role, _ in first]
+    marks = union_all([v.filter("match").select("column", F.lit(i).alias("rank")) for i, (_, v) in enumerate(first)])
+    best = marks.unionByName(e.filter("non_null = 0").select("column", F.lit(-1).alias("rank"))).collect()
+    hits, empty = {}, {r["column"] for r in best if r["rank"] < 0}
+    for r in sorted((r for r in best if r["rank"] >= 0), key=lambda r: r["rank"]):
+        hits.setdefault(r["column"], role_names[r["rank"]])
     rows = [(c, i, hits.get(c) if c not in empty or hits.get(c) in ("datetime", "numeric") else "categorical") for i, c in enumerate(df.columns)]
     rows = [(c, i, r or ("text" if c in text else "categorical")) for c, i, r in rows]
     e.unpersist()
