@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from ..functions import vocab
 from ..functions.vocab import NAME_TERMS
 from ..session import pin
-from .common import as_double, col, datetime_columns, join_on, metric_table, numeric_columns, small, union_all, value_counts
+from .common import as_double, col, distinct_table, join_on, metric_table, numeric_columns, small, union_all, value_counts
 from .ordered import ewma, over_rows, with_row_index
 from .profile import _modes, fences
 from .quantiles import quantile_values
@@ -109,14 +109,12 @@ def to_binary(df, cols):
 def encoding_plan(df, cols):
     """(column, distinct_values, method): binary for 2 values, one_hot for 3 to 15, label otherwise."""
     d = F.col("distinct_values")
-    t = metric_table(df, cols, {"distinct_values": lambda c: F.count_distinct(col(c))})
-    return t.withColumn("method", F.when(d == 2, "binary").when(d.between(3, 15), "one_hot").otherwise("label"))
+    return distinct_table(df, cols).withColumn("method", F.when(d == 2, "binary").when(d.between(3, 15), "one_hot").otherwise("label"))
 
 
 def _values(df, cols, limit):
     """Driver-side sorted distinct values of columns known to have few; fails when one has more than ``limit``."""
-    t = metric_table(df, cols, {"d": lambda c: F.count_distinct(col(c))}).collect()
-    wide = [r["column"] for r in t if r["d"] > limit]
+    wide = [r["column"] for r in distinct_table(df, cols).collect() if r["distinct_values"] > limit]
     if wide:
         raise ValueError(f"more than {limit} distinct values: {wide}")
     out = {c: [] for c in cols}

@@ -110,3 +110,21 @@ def join_on(left, right, keys, how="inner"):
     match = all_of([col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     out = left.join(renamed, match, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def distinct_table(df, cols):
+    """(column, distinct_values), exact. Columns of one type are stacked, de-duplicated and counted
+    together, which spreads hot columns by value and keeps the plan small however many columns there are."""
+    kinds = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        plain = not isinstance(t, (T.StructType, T.MapType, T.ArrayType, T.VariantType))
+        kinds.setdefault(t.simpleString() if plain else "json", []).append(c)
+    parts = []
+    for kind, names in kinds.items():
+        value = (lambda c: F.to_json(F.struct(col(c)))) if kind == "json" else col
+        long = df.select(*[value(c).alias(c) for c in names]).unpivot([], names, "column", "value")
+        parts.append(long.filter(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
+    found = union_all(parts)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return F.broadcast(names.join(found, "column", "left").select("column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")))

@@ -4,7 +4,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import as_double, col, datetime_columns, metric_table, numeric_columns, string_columns, union_all, value_counts
+from .common import as_double, col, datetime_columns, distinct_table, metric_table, numeric_columns, string_columns, union_all, value_counts
 from .ordered import gaps
 from .quantiles import median_table, quantile_table
 
@@ -249,7 +249,8 @@ def column_profile(df, cols):
     text = [c for c in cols if c in string_columns(df)]
     dates = [c for c in cols if c in datetime_columns(df)]
     parts = [_long(metric_table(df, cols, {
-        "nulls": lambda c: F.count_if(col(c).isNull()), "distinct": lambda c: F.count_distinct(col(c))}))]
+        "nulls": lambda c: F.count_if(col(c).isNull())})),
+        _long(distinct_table(df, cols).withColumnRenamed("distinct_values", "distinct"))]
     if num:
         q = quantile_table(df, num, [.25, .5, .75]).select(
             "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
@@ -334,10 +335,9 @@ def basic_stats(df):
     v = lambda c: as_double(c) if c in num else F.lit(None).cast("double")
     types = dict(df.dtypes)
     t = metric_table(df, df.columns, {
-        "type": lambda c: F.any_value(F.lit(types[c])), "nulls": lambda c: F.count_if(col(c).isNull()),
-        "distinct_values": lambda c: F.count_distinct(col(c)), "min": lambda c: F.min(v(c)),
+        "type": lambda c: F.any_value(F.lit(types[c])), "nulls": lambda c: F.count_if(col(c).isNull()), "min": lambda c: F.min(v(c)),
         "max": lambda c: F.max(v(c)), "mean": lambda c: F.avg(v(c)),
-    })
+    }).join(distinct_table(df, df.columns), "column")
     if not num:
         return t.withColumn("median", F.lit(None).cast("double"))
     return t.join(F.broadcast(median_table(df, num).drop("n")), "column", "left")
@@ -412,8 +412,8 @@ def grouped_sums(df, dim, measures):
 
 def distinct_counts(df, cols, approx=False):
     """Exact distinct counts, or sketches when ``approx``; the result says which."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    return metric_table(df, cols, {"distinct_values": lambda c: fn(col(c))}).withColumn("approximate", F.lit(bool(approx)))
+    t = metric_table(df, cols, {"distinct_values": lambda c: F.approx_count_distinct(col(c))}) if approx else distinct_table(df, cols)
+    return t.withColumn("approximate", F.lit(bool(approx)))
 
 
 def crosstab(df, a, b, wide=False):

@@ -6,7 +6,7 @@ recommendations are rules over that small table.
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .common import as_double, col, datetime_columns, metric_table, numeric_columns, string_columns, union_all
+from .common import as_double, col, datetime_columns, distinct_table, metric_table, numeric_columns, string_columns, union_all
 from .profile import gap_summary, iqr_outliers
 
 WEIGHTS = {"completeness": 0.3, "consistency": 0.2, "uniqueness": 0.2, "integrity": 0.2, "accuracy": 0.1}
@@ -102,7 +102,7 @@ def duplicates(df):
 
 def uniqueness(df, top=10):
     """Distinct percent of columns that are at least half full; identifiers are nearly all distinct and nearly full."""
-    t = metric_table(df, df.columns, {"rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c)), "distinct_values": lambda c: F.count_distinct(col(c))})
+    t = metric_table(df, df.columns, {"rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c))}).join(distinct_table(df, df.columns), "column")
     pct = 100.0 * F.col("distinct_values") / F.col("non_null")
     t = t.filter((F.col("non_null") > 0) & (F.col("non_null") >= F.col("rows") * 0.5)).withColumn("unique_percent", pct)
     out = t.select("column", "distinct_values", "unique_percent", ((F.col("unique_percent") >= 90) & (F.col("non_null") > F.col("rows") * 0.9)).alias("identifier"))
@@ -119,7 +119,7 @@ def uniqueness_score(df):
 def outlier_share(df, k=3):
     """Values beyond the k x IQR fences, for columns with at least 10 distinct values; above 5% is an issue."""
     num = numeric_columns(df)
-    enough = [r["column"] for r in metric_table(df, num, {"d": lambda c: F.count_distinct(as_double(c))}).filter("d >= 10").collect()] if num else []
+    enough = [r["column"] for r in distinct_table(df, num).filter("distinct_values >= 10").collect()] if num else []
     if not enough:
         return df.sparkSession.createDataFrame([], "column string, outliers long, outlier_percent double, issue boolean")
     return iqr_outliers(df, enough, k).select("column", "outliers", F.col("percent").alias("outlier_percent"), (F.col("percent") > 5).alias("issue"))

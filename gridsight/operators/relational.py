@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import all_of, any_of, as_double, col, metric_table, numeric_columns, small, union_all
+from .common import all_of, any_of, as_double, col, distinct_table, metric_table, numeric_columns, small, union_all
 from .ordered import fill_forward, hash_rank, take_smallest, with_row_index
 
 # ---- projection, predicates and row changes
@@ -204,8 +204,9 @@ def fk_candidates(tables):
         cols = [f.name for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.StringType))]
         text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
         t = metric_table(df, cols, {
-            "rows": lambda c: F.count(F.lit(1)), "n": lambda c: F.count(col(c)), "d": lambda c: F.count_distinct(col(c)),
+            "rows": lambda c: F.count(F.lit(1)), "n": lambda c: F.count(col(c)),
             "lo": lambda c: F.min(col(c)).cast("string"), "hi": lambda c: F.max(col(c)).cast("string")})
+        t = t.join(distinct_table(df, cols).withColumnRenamed("distinct_values", "d"), "column")
         for r in t.collect():
             if r["d"]:
                 as_value = str if r["column"] in text else int

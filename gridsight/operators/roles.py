@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
-from .common import all_of, any_of, col, datetime_columns, is_numeric, metric_table, numeric_columns, string_columns, text_metrics, union_all
+from .common import any_of, col, datetime_columns, distinct_table, is_numeric, metric_table, numeric_columns, string_columns, text_metrics, union_all
 from .dates import datetime_share
 from .profile import word_count
 
@@ -26,11 +26,12 @@ def basic_evidence(df):
     kind = lambda c: "numeric" if c in num else "datetime" if c in dates else "string" if c in string_columns(df) else "other"
     fractional = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))}
     plain = lambda c: col(c) if kind(c) != "other" else F.to_json(F.struct(col(c)))
-    return metric_table(df, df.columns, {
+    t = metric_table(df, df.columns, {
         "kind": lambda c: F.any_value(F.lit(kind(c))), "fractional": lambda c: F.any_value(F.lit(c in fractional)),
-        "rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c)), "distinct_values": lambda c: F.count_distinct(plain(c)),
+        "rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c)),
         "low": lambda c: F.min(plain(c)).cast("string"), "high": lambda c: F.max(plain(c)).cast("string"),
     })
+    return t.join(distinct_table(df, df.columns), "column")
 
 
 def _verdict(evidence, columns, named, rule, weight):

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import col, metric_table
+from ..operators.common import col, distinct_table, metric_table
 from ..session import ensure_checkpoint_dir
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -77,7 +77,7 @@ def describe_table(df):
     at = {c: i for i, c in enumerate(df.columns)}
     t = metric_table(df, df.columns, {
         "position": lambda c: F.any_value(F.lit(at[c])), "type": lambda c: F.any_value(F.lit(types[c])),
-        "rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c)), "distinct_values": lambda c: F.count_distinct(col(c))})
+        "rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c))}).join(distinct_table(df, df.columns), "column")
     full = F.col("non_null") == F.col("rows")
     return t.select("column", "position", "type", (~full).alias("has_nulls"), "rows", (full & (F.col("distinct_values") == F.col("rows"))).alias("candidate_key"))
 
