@@ -298,9 +298,20 @@ def resample(df, ts, c, freq, by=(), fill=False):
     step = F.expr(f"INTERVAL {3 if unit == 'quarter' else 1} {'MONTH' if unit == 'quarter' else unit.upper()}")
     spans = means.groupBy(*by).agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), step)).alias("ts"))
     out = join_on(spans, means, [*by, "ts"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if fill:
-        out = interpolate(out, "ts", "value", by)
-    return out
+    return _fill_grid(out, by) if fill else out
+
+
+def _fill_grid(grid, by):
+    """Linear filling of a resampled grid; plain windows do, since a grid has one row per period."""
+    w = Window.partitionBy(*by).orderBy("ts")
+    known = F.when(F.col("value").isNotNull(), F.struct(F.col("_i"), F.col("value").alias("v")))
+    placed = grid.withColumn("_i", F.row_number().over(w)).withColumn("_known", known)
+    placed = placed.withColumns({
+        "_a": F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_b": F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    a, b = F.col("_a"), F.col("_b")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["_i"]) / (b["_i"] - a["_i"])
+    return placed.withColumn("value", F.coalesce("value", F.when(a.isNotNull() & b.isNotNull(), line), a["v"])).drop("_i", "_known", "_a", "_b")
 
 
 def choose_frequency(df, ts, by=()):
