@@ -38,8 +38,19 @@ FORMATTED = """(SELECT strftime(o_orderdate,'%Y-%m-%d') AS iso, strftime(o_order
    CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) AS epoch, strftime(o_orderdate,'%B %-d %Y') AS long, o_orderpriority AS other FROM orders)"""
 
 
+# Shapes as patterns, for the SQL side only.
+SHAPE = {"%Y": "[0-9]{4}", "%y": "[0-9]{2}", "%m": "[0-9]{1,2}", "%d": "[0-9]{1,2}", "%H": "[0-9]{1,2}", "%M": "[0-9]{1,2}", "%S": "[0-9]{1,2}", "%b": "[A-Za-z]{3}", "%B": "[A-Za-z]{3,9}"}
+
+
+def pattern(fmt):
+    out = fmt.replace(".", "[.]")
+    for k, v in SHAPE.items():
+        out = out.replace(k, v)
+    return out
+
+
 def best_format(c):
-    counts = " UNION ALL ".join(f"SELECT {i} AS i, '{f}' AS f, count(try_strptime({c}, '{f}')) FILTER (WHERE regexp_matches({c}, '^{d._translate(f, 1)}$')) AS n FROM {FORMATTED}" for i, f in enumerate(vocab.DATE_FORMATS))
+    counts = " UNION ALL ".join(f"SELECT {i} AS i, '{f}' AS f, count(try_strptime({c}, '{f}')) FILTER (WHERE regexp_matches({c}, '^{pattern(f)}$')) AS n FROM {FORMATTED}" for i, f in enumerate(vocab.DATE_FORMATS))
     return f"""SELECT '{c}' AS "column", CASE WHEN u > 0.7*t THEN 'unix' WHEN n >= 3 THEN f END AS format, CASE WHEN u > 0.7*t THEN u WHEN n >= 3 THEN n ELSE 0 END AS matches, t AS total
       FROM (SELECT count(*) t, count(*) FILTER (WHERE regexp_matches({c}, '^[0-9]{{9,13}}$')) u FROM {FORMATTED}), (SELECT * FROM ({counts}) ORDER BY n DESC, i LIMIT 1)"""
 

@@ -128,3 +128,8 @@ def distinct_table(df, cols):
     found = union_all(parts)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return F.broadcast(names.join(found, "column", "left").select("column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")))
+
+
+def local(df):
+    """A table bounded by the column count, computed once and kept on the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

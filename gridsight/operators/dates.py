@@ -1,4 +1,7 @@
 """Date parsing, calendar features and gap analysis."""
+import itertools
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -8,29 +11,40 @@ from .common import col, metric_table, small, text_metrics, union_all
 from .ordered import over_rows, with_row_index
 from .profile import gap_summary, part_counts
 
-# Strptime directives, their Spark pattern letters and the shape of text they accept.
+# Strptime directives, their Spark pattern letters and the shapes of text they accept (9 a digit, a a letter).
 DIRECTIVES = {
-    "%Y": ("yyyy", r"\d{4}"), "%y": ("yy", r"\d{2}"), "%m": ("M", r"\d{1,2}"), "%d": ("d", r"\d{1,2}"),
-    "%H": ("H", r"\d{1,2}"), "%M": ("m", r"\d{1,2}"), "%S": ("s", r"\d{1,2}"),
-    "%b": ("MMM", r"[A-Za-z]{3}"), "%B": ("MMMM", r"[A-Za-z]{3,9}"),
+    "%Y": ("yyyy", ["9999"]), "%y": ("yy", ["99"]), "%m": ("M", ["9", "99"]), "%d": ("d", ["9", "99"]),
+    "%H": ("H", ["9", "99"]), "%M": ("m", ["9", "99"]), "%S": ("s", ["9", "99"]),
+    "%b": ("MMM", ["aaa"]), "%B": ("MMMM", ["a" * n for n in range(3, 10)]),
 }
+DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _translate(fmt, which):
-    out = fmt if which == 0 else fmt.replace(".", r"\.")
-    out = out.replace("T%H", "'T'%H") if which == 0 else out
-    for directive, pair in DIRECTIVES.items():
-        out = out.replace(directive, pair[which])
+def spark_pattern(fmt):
+    out = fmt.replace("T%H", "'T'%H")
+    for directive, (letters, _) in DIRECTIVES.items():
+        out = out.replace(directive, letters)
     return out
 
 
+def shapes(fmt):
+    """Every shape that text in a format can have."""
+    parts = re.split("(%[A-Za-z])", fmt.replace("T%H", "a%H"))
+    return ["".join(p) for p in itertools.product(*[DIRECTIVES[p][1] if p in DIRECTIVES else [p] for p in parts])]
+
+
+def shape(c):
+    """Text with every digit as 9 and every Latin letter as a."""
+    return F.translate(c, DIGITS + LETTERS, "9" * 10 + "a" * 52)
+
+
 def parse_with(c, fmt):
     """Timestamp of text in one format, or null; the shape test avoids costly failed parses."""
-    ts = F.try_to_timestamp(c, F.lit(_translate(fmt, 0)))
+    ts = F.try_to_timestamp(c, F.lit(spark_pattern(fmt)))
     if "%y" in fmt:
-        # Two-digit years 69 to 99 belong to the last century.
-        ts = F.when(F.year(ts) >= 2069, ts + F.make_interval(F.lit(-100))).otherwise(ts)
-    return F.when(c.rlike(f"^{_translate(fmt, 1)}$"), ts)
+        # Two-digit years 69 to 99 belong to the last century: 36525 days earlier.
+        ts = F.when(F.year(ts) >= 2069, F.timestamp_micros(F.unix_micros(ts) - F.lit(36525 * 86_400_000_000))).otherwise(ts)
+    return F.when(shape(c).isin(shapes(fmt)), ts)
 
 
 def clean_date_string(c):
@@ -54,8 +68,11 @@ def detect_date_format(df, cols):
     for i, fmt in enumerate(DATE_FORMATS):
         exprs[f"f{i}"] = lambda c, fmt=fmt: F.count_if(parse_with(text(c), fmt).isNotNull())
     t = text_metrics(df, cols, exprs)
-    best = F.array_max(F.array(*[F.struct(F.col(f"f{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(DATE_FORMATS)]))
-    t = t.withColumn("_b", best)
+    names = [f"f{i}" for i in range(len(DATE_FORMATS))]
+    order = F.create_map(*[F.lit(x) for i, f in enumerate(names) for x in (f, -i)])
+    label = F.create_map(*[F.lit(x) for i, f in enumerate(DATE_FORMATS) for x in (f"f{i}", f)])
+    long = t.unpivot(["column", "total", "unix"], names, "f", "n")
+    t = long.groupBy("column", "total", "unix").agg(F.max(F.struct("n", order[F.col("f")].alias("rank"), label[F.col("f")].alias("format"))).alias("_b"))
     unix = F.col("unix") > 0.7 * F.col("total")
     enough = (F.col("_b.n") >= 3) | (F.col("_b.n") > 0.5 * F.col("total"))
     return t.select(

@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import pin
-from .common import join_on
+from .common import fits, join_on
 
 BLOCK = 65_536
+WINDOW_ROWS = 1_000_000
 
 
 def with_row_index(df, order, by=(), name="row_index"):
-    """Add the 0-based position in ``order`` (within ``by``). ``order`` must end in a tie-breaking key."""
-    keys = [*by, *order]
+    """Add the 0-based position in ``order`` (within ``by``). ``order`` must end in a tie-breaking key.
+
+    A table with at most ``WINDOW_ROWS`` rows takes one plain window; beyond that rows are range-partitioned,
+    pinned, and numbered partition by partition.
+    """
+    keys, by = [*by, *order], list(by)
+    if fits(df, WINDOW_ROWS):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
     placed = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
@@ -98,8 +105,8 @@ def hash_rank(key, seed=42):
 def take_smallest(df, by, rank_key, wanted, buckets=65_536):
     """Keep, per group, the ``wanted`` rows with the smallest ``rank_key`` (a ``hash_rank``).
 
-    Whole hash ranges are taken by count; only the range that holds the cut is ranked, so a hot group
-    is never sorted in one task.
+    Hash ranges beyond the cut are dropped by count before any row is ranked, and rows are ranked within
+    one range at a time, so a hot group is never sorted in one task.
     """
     span = (1 << 60) // buckets
     frame = df.withColumn("_rank", rank_key).withColumn("_bucket", F.floor(F.col("_rank") / F.lit(float(span))))
@@ -110,16 +117,11 @@ def take_smallest(df, by, rank_key, wanted, buckets=65_536):
         .withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
         .withColumn("_left", wanted(F.col("_total")) - F.col("_before"))
         .filter(F.col("_left") > 0)
-        .select(*by, "_bucket", "_n", "_left")
+        .select(*by, "_bucket", "_left")
     )
     kept = join_on(frame, counts, [*by, "_bucket"])
-    whole = kept.filter(F.col("_n") <= F.col("_left"))
-    cut = (
-        kept.filter(F.col("_n") > F.col("_left"))
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_rank")))
-        .filter(F.col("_rn") <= F.col("_left")).drop("_rn")
-    )
-    return whole.unionByName(cut).drop("_rank", "_bucket", "_n", "_left")
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_rank"))
+    return kept.withColumn("_rn", place).filter(F.col("_rn") <= F.col("_left")).drop("_rank", "_bucket", "_left", "_rn")
 
 
 def gaps(df, ts, by=()):

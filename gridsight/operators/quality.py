@@ -6,7 +6,7 @@ recommendations are rules over that small table.
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .common import as_double, col, datetime_columns, distinct_table, metric_table, numeric_columns, string_columns, union_all
+from .common import as_double, col, datetime_columns, distinct_table, local, metric_table, numeric_columns, string_columns, union_all
 from .profile import gap_summary, iqr_outliers
 
 WEIGHTS = {"completeness": 0.3, "consistency": 0.2, "uniqueness": 0.2, "integrity": 0.2, "accuracy": 0.1}
@@ -66,7 +66,8 @@ def case_variants(df):
     text = string_columns(df)
     if not text:
         return df.sparkSession.createDataFrame([], "column string, issue string, n long")
-    t = metric_table(df, text, {"n": lambda c: F.count_distinct(col(c)) - F.count_distinct(F.lower(col(c)))})
+    values = df.select(*[col(c) for c in text]).unpivot([], text, "column", "value").filter(F.col("value").isNotNull()).distinct()
+    t = values.groupBy("column", F.lower("value").alias("v")).agg((F.count(F.lit(1)) - 1).alias("k")).groupBy("column").agg(F.sum("k").alias("n"))
     return t.select("column", F.lit("inconsistent_capitalization").alias("issue"), "n").filter(F.col("n") > 0)
 
 
@@ -172,10 +173,11 @@ def accuracy(df):
     return t.select("column", F.explode(found).alias("_i")).select("column", "_i.*")
 
 
-def integrity_issues(df, as_of):
+def integrity_issues(df, as_of, outliers=None):
     """(column, issue, value) from outliers, percent ranges, date bounds and intervals."""
+    outliers = outlier_share(df) if outliers is None else outliers
     parts = [
-        outlier_share(df).filter("issue").select("column", F.lit("excessive_outliers").alias("issue"), F.col("outlier_percent").alias("value")),
+        outliers.filter("issue").select("column", F.lit("excessive_outliers").alias("issue"), F.col("outlier_percent").alias("value")),
         percent_range(df).filter("invalid > 0").select("column", F.lit("invalid_percentage").alias("issue"), F.col("invalid").cast("double").alias("value"))]
     b = date_bounds(df, as_of)
     parts += [b.filter(f"{c} > 0").select("column", F.lit(i).alias("issue"), F.col(c).cast("double").alias("value")) for c, i in (("future", "future_dates"), ("ancient", "very_old_dates"))]
@@ -185,8 +187,9 @@ def integrity_issues(df, as_of):
 
 def integrity_score(df, as_of):
     """100 - min(50, 5 x issues + half the summed outlier percents)."""
-    n = integrity_issues(df, as_of).count()
-    o = outlier_share(df).agg(F.coalesce(F.sum("outlier_percent"), F.lit(0.0))).first()[0]
+    outliers = local(outlier_share(df))
+    n = integrity_issues(df, as_of, outliers).count()
+    o = outliers.agg(F.coalesce(F.sum("outlier_percent"), F.lit(0.0))).first()[0]
     return df.sparkSession.createDataFrame([(100.0 - min(50.0, 5.0 * n + o / 2), n, float(o))], "score double, issues int, outlier_percent_sum double")
 
 
@@ -197,22 +200,23 @@ def accuracy_score(issues):
 def quality_metrics(df, as_of):
     """The long metric table: (dimension, column, metric, value); scores have an empty column name."""
     rows = []
-    comp = completeness(df).persist()
+    comp = local(completeness(df))
     for r in comp.collect():
         rows.append(("completeness", r["column"], "null_percent", float(r["null_percent"])))
     total = completeness_score(comp).first()
     rows += [("completeness", "", "score", float(total["score"] or 0.0)), ("completeness", "", "missing_percent", float(total["missing_percent"] or 0.0))]
     cells = sum(r["rows"] for r in comp.collect())
-    comp.unpersist()
     issues = consistency(df).collect()
     rows += [("consistency", r["column"], r["issue"], float(r["n"])) for r in issues]
     rows.append(("consistency", "", "score", 100.0 * (1 - min(1.0, sum(r["n"] for r in issues) / max(cells, 1)))))
-    u = uniqueness_score(df).first()
-    rows += [("uniqueness", "", "score", u["score"]), ("uniqueness", "", "duplicate_percent", u["duplicate_percent"])]
-    rows += [("uniqueness", r["column"], "identifier", r["unique_percent"]) for r in uniqueness(df, len(df.columns)).filter("identifier").collect()]
-    outliers = outlier_share(df).collect()
+    ids = uniqueness(df, len(df.columns)).filter("identifier").collect()
+    dup = duplicate_rows(df).first()["percent"]
+    rows += [("uniqueness", "", "score", (100.0 - dup) * (1.0 if ids else 0.8)), ("uniqueness", "", "duplicate_percent", dup)]
+    rows += [("uniqueness", r["column"], "identifier", r["unique_percent"]) for r in ids]
+    wild = local(outlier_share(df))
+    outliers = wild.collect()
     rows += [("integrity", r["column"], "outlier_percent", float(r["outlier_percent"])) for r in outliers]
-    found = integrity_issues(df, as_of).collect()
+    found = integrity_issues(df, as_of, wild).collect()
     rows += [("integrity", r["column"], r["issue"], float(r["value"])) for r in found]
     rows.append(("integrity", "", "score", 100.0 - min(50.0, 5.0 * len(found) + sum(r["outlier_percent"] for r in outliers) / 2)))
     acc = accuracy(df).collect()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
-from .common import any_of, col, datetime_columns, distinct_table, is_numeric, metric_table, numeric_columns, string_columns, text_metrics, union_all
+from .common import any_of, col, datetime_columns, distinct_table, is_numeric, local, metric_table, numeric_columns, string_columns, text_metrics, union_all
 from .dates import datetime_share
 from .profile import word_count
 
@@ -122,8 +122,10 @@ def text_evidence(df, cols):
 def gender_evidence(df, cols):
     """Distinct lower-case values and how many of them are gender words."""
     words = vocab.NAME_TERMS["gender"]
-    hit = lambda c: F.when(F.lower(col(c)).rlike("(?iu)" + words), F.lower(col(c)))
-    return metric_table(df, cols, {"values": lambda c: F.count_distinct(F.lower(col(c))), "hits": lambda c: F.count_distinct(hit(c))})
+    long = df.select(*[F.lower(col(c)).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull()).distinct()
+    found = long.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("value").rlike("(?iu)" + words)).alias("hits"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(found, "column", "left").na.fill(0)
 
 
 def _text_rule(df, term, rule, weight, evidence=None):
@@ -183,12 +185,12 @@ def categorical_or_text(df, evidence=None):
 
 def infer_roles(df, strict=False):
     """(column, position, role) for every column; the first matching role wins."""
-    e = basic_evidence(df).persist()
+    e = local(basic_evidence(df))
     text = string_columns(df)
-    first = [("id", is_id(df, strict, evidence=e)), ("datetime", is_datetime(df)), ("binary", is_binary(df, e)), ("likert", is_likert(df, e)), ("numeric", is_numeric_role(df))]
+    first = [("id", is_id(df, strict, evidence=e)), ("datetime", local(is_datetime(df))), ("binary", is_binary(df, e)), ("likert", local(is_likert(df, e))), ("numeric", is_numeric_role(df))]
     if text:
-        te = text_evidence(df, text).persist()
-        first += [("email", is_email(df, te)), ("phone", is_phone(df, te)), ("gender", is_gender(df)), ("range", is_range(df, te)),
+        te = local(text_evidence(df, text))
+        first += [("email", is_email(df, te)), ("phone", is_phone(df, te)), ("gender", is_gender(df, local(gender_evidence(df, text)))), ("range", is_range(df, te)),
                   ("address", is_address(df, te)), ("name", is_name(df, te)), ("url", is_url(df, te))]
     first.append(("categorical", categorical_or_text(df, e)))
     role_names = [role for role, _ in first]
@@ -199,7 +201,6 @@ def infer_roles(df, strict=False):
         hits.setdefault(r["column"], role_names[r["rank"]])
     rows = [(c, i, hits.get(c) if c not in empty or hits.get(c) in ("datetime", "numeric") else "categorical") for i, c in enumerate(df.columns)]
     rows = [(c, i, r or ("text" if c in text else "categorical")) for c, i, r in rows]
-    e.unpersist()
     return df.sparkSession.createDataFrame(rows, "column string, position int, role string")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.special import p_value
 from ..session import pin
-from .common import as_double, col, metric_table, small, union_all, value_counts
+from .common import as_double, col, fits, metric_table, small, union_all, value_counts
 from .ordered import running_sum, with_row_index
 from .profile import binary_summary, corrected_skew, crosstab
+from .quantiles import EXACT_ROWS
 
 
 def column_pairs(cols):
@@ -36,9 +37,12 @@ def pearson(df, cols):
 
 def value_ranks(df, cols):
     """(column, value, n, rank): average rank of each distinct value."""
-    counts = value_counts(df.select(*[as_double(c).alias(c) for c in cols]), cols).withColumn("value", F.col("value").cast("double"))
-    indexed = with_row_index(counts, ["value"], ["column"])
-    upto = running_sum(indexed, "n", ["column"], "upto")
+    long = df.select(*[as_double(c).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if fits(df, EXACT_ROWS):
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("column").orderBy("value")))
+    else:
+        upto = running_sum(with_row_index(counts, ["value"], ["column"]), "n", ["column"], "upto")
     return upto.select("column", "value", "n", "upto", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
@@ -52,6 +56,15 @@ def average_ranks(df, cols):
     return out
 
 
+def _ranked_together(df, cols):
+    """Rank columns of a table proven small: one sort per column, side by side, then rows are put together again."""
+    long = df.withColumn("_id", F.monotonically_increasing_id()).unpivot(["_id"], cols, "column", "value")
+    w = Window.partitionBy("column").orderBy("value")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("column", "value"))
+    ranked = long.withColumn("r", F.rank().over(w) + (ties - 1) / 2.0)
+    return ranked.groupBy("_id").agg(*[F.max(F.when(F.col("column") == c, F.col("r"))).alias(f"{c}_rank") for c in cols])
+
+
 def spearman(df, cols):
     """Rank correlation per pair. Where values are missing, each pair is ranked on its complete rows."""
     frame = df.select(*[as_double(c).alias(c) for c in cols])
@@ -59,7 +72,7 @@ def spearman(df, cols):
     full = [c for c in cols if not gaps[c]]
     parts = []
     if len(full) > 1:
-        ranked = average_ranks(frame.select(*full), full)
+        ranked = _ranked_together(frame.select(*full), full) if fits(frame, EXACT_ROWS) else average_ranks(frame.select(*full), full)
         parts.append(pair_table(ranked, column_pairs(full), {"rho": lambda a, b: clean_corr(col(f"{a}_rank"), col(f"{b}_rank"))}))
     for a, b in column_pairs(cols):
         if gaps[a] or gaps[b]:
