@@ -205,12 +205,14 @@ def wavelet_denoise(df, c, order, by=(), shrink=0.2, max_level=5):
     Every sample adds to a few coefficients and every coefficient to a few samples, so each level is an
     explode and a grouped sum over positions; no series is held in one task.
     """
-    by = list(by)
-    indexed = pin(with_row_index(df.filter(col(c).isNotNull()), order, by))
-    sizes = indexed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    keys = {b: f"_b{i}" for i, b in enumerate(by)}
+    indexed = pin(with_row_index(df.filter(col(c).isNotNull()), order, list(by)))
+    by = list(keys.values())
+    named = indexed.select(*[col(b).alias(k) for b, k in keys.items()], "row_index", as_double(c).alias("_x"))
+    sizes = named.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     level = F.least(F.lit(max_level), F.floor(F.log2(F.col("_n") / 7.0)))
     sizes = pin(sizes.withColumn("_levels", F.when(F.col("_n") >= 8, level).otherwise(0)).withColumn("_n", F.col("_n").cast("long")))
-    signal = indexed.select(*by, F.col("row_index").alias("i"), as_double(c).alias("x"))
+    signal = named.select(*by, F.col("row_index").alias("i"), F.col("_x").alias("x"))
     signal = join_on(signal, sizes, by) if by else signal.withColumns({k: F.lit(v) for k, v in sizes.first().asDict().items()})
     details, lengths = [], F.col("_n")
     current = signal.withColumn("n", lengths)
@@ -231,8 +233,8 @@ def wavelet_denoise(df, c, order, by=(), shrink=0.2, max_level=5):
         out = _synthesise(low, d, by)
     flat = rest[0].select(*by, "i", "x")
     out = flat if out is None else out.unionByName(flat)
-    found = out.withColumnsRenamed({"i": "row_index", "x": f"{c}_denoised"})
-    return join_on(indexed, found, [*by, "row_index"], "left").drop("row_index")
+    found = out.withColumnsRenamed({"i": "row_index", "x": f"{c}_denoised", **{k: b for b, k in keys.items()}})
+    return join_on(indexed, found, [*keys, "row_index"], "left").drop("row_index")
 
 
 def _analyse(signal, by):

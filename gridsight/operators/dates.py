@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vocab import DATE_FORMATS, MONTH_NAMES
-from .common import col, metric_table, small, text_metrics, union_all
+from .common import col, metric_table, small, union_all
 from .ordered import over_rows, with_row_index
 from .profile import gap_summary, part_counts
 
@@ -63,16 +63,15 @@ def detect_date_format(df, cols):
 
     A format needs 3 matches or half of the values; ties go to the earlier format.
     """
-    text = lambda c: F.trim(col(c).cast("string"))
-    exprs = {"total": lambda c: F.count(col(c)), "unix": lambda c: F.count_if(text(c).rlike(r"^\d{9,13}$"))}
-    for i, fmt in enumerate(DATE_FORMATS):
-        exprs[f"f{i}"] = lambda c, fmt=fmt: F.count_if(parse_with(text(c), fmt).isNotNull())
-    t = text_metrics(df, cols, exprs)
-    names = [f"f{i}" for i in range(len(DATE_FORMATS))]
-    order = F.create_map(*[F.lit(x) for i, f in enumerate(names) for x in (f, -i)])
-    label = F.create_map(*[F.lit(x) for i, f in enumerate(DATE_FORMATS) for x in (f"f{i}", f)])
-    long = t.unpivot(["column", "total", "unix"], names, "f", "n")
-    t = long.groupBy("column", "total", "unix").agg(F.max(F.struct("n", order[F.col("f")].alias("rank"), label[F.col("f")].alias("format"))).alias("_b"))
+    long = df.select(*[F.trim(col(c).cast("string")).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
+    v = F.col("value")
+    # One mark per format that reads the value, -1 for epoch digits, and -2 for every value.
+    marks = [F.when(parse_with(v, f).isNotNull(), i) for i, f in enumerate(DATE_FORMATS)] + [F.when(v.rlike(r"^\d{9,13}$"), -1), F.lit(-2)]
+    counts = long.select("column", F.explode(F.array_compact(F.array(*marks))).alias("i")).groupBy("column", "i").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda i: F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0))
+    names = F.array(*[F.lit(f) for f in DATE_FORMATS])
+    best = F.max(F.when(F.col("i") >= 0, F.struct("n", (-F.col("i")).alias("rank"), F.get(names, F.greatest("i", F.lit(0))).alias("format"))))
+    t = counts.groupBy("column").agg(at(-2).alias("total"), at(-1).alias("unix"), best.alias("_b"))
     unix = F.col("unix") > 0.7 * F.col("total")
     enough = (F.col("_b.n") >= 3) | (F.col("_b.n") > 0.5 * F.col("total"))
     return t.select(

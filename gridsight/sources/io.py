@@ -31,7 +31,7 @@ def guess_delimiter(lines):
 
 def guess_encoding(spark, path):
     """UTF-8 unless some line does not decode; then Latin-1, which accepts every byte."""
-    broken = spark.read.text(path).filter(F.col("value").contains("�"))
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
