@@ -107,10 +107,10 @@ HOURLY = "(SELECT date_trunc('hour', ts) AS ts, avg(value) AS value, count(value
   j AS (SELECT g.ts, value, row_number() OVER (ORDER BY g.ts) AS i FROM g LEFT JOIN h USING (ts)),
   k AS (SELECT *, last_value(value IGNORE NULLS) OVER w1 AS a, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER w1 AS ia, first_value(value IGNORE NULLS) OVER w2 AS b, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER w2 AS ib
     FROM j WINDOW w1 AS (ORDER BY i ROWS UNBOUNDED PRECEDING), w2 AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-  SELECT ts, round(CASE WHEN ib = ia THEN value ELSE a + (b-a)*(i-ia)/(ib-ia) END,4) AS value FROM k""")
+  SELECT ts, round(CASE WHEN ib = ia THEN value ELSE a + (b-a)*(i-ia)/(ib-ia) END,6) AS value FROM k""")
 def o11_interpolate(spark, sf):
     h = o.resample(table(spark, sf, "events").filter("event_type = 'error'"), "ts", "value", "h")
-    return round_doubles(o.interpolate(h.select("ts", "value"), "ts", "value"))
+    return round_doubles(o.interpolate(h.select("ts", "value"), "ts", "value"), 6)
 
 
 @query("""WITH m AS (SELECT l_returnflag, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, avg(l_extendedprice) v, count(*) n FROM lineitem GROUP BY 1, 2),

@@ -129,11 +129,12 @@ def j5_map_labels(spark, sf):
     return r.map_labels(table(spark, sf, "events").select("event_id", "event_type"), "event_type", {"click": "browse", "view": "browse", "purchase": "buy"})
 
 
-@query("""SELECT * FROM (VALUES ('nation','n_regionkey','region','r_regionkey'), ('region','r_regionkey','nation','n_nationkey'), ('nation','n_regionkey','nation','n_nationkey')) v(child_table, child_column, parent_table, parent_column) WHERE child_table <> parent_table
-   UNION ALL SELECT 'supplier','s_nationkey','nation','n_nationkey' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation))
-   UNION ALL SELECT 'region','r_regionkey','supplier','s_suppkey' WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey NOT IN (SELECT s_suppkey FROM supplier))
-   UNION ALL SELECT 'nation','n_nationkey','supplier','s_suppkey' WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_suppkey FROM supplier))
-   UNION ALL SELECT 'nation','n_regionkey','supplier','s_suppkey' WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey NOT IN (SELECT s_suppkey FROM supplier))""")
+KEYS = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("supplier", "s_suppkey"), ("supplier", "s_nationkey")]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column WHERE NOT EXISTS (SELECT 1 FROM {ct} WHERE {cc} NOT IN (SELECT {pc} FROM {pt}))
+      AND (SELECT count(*) = count(DISTINCT {pc}) FROM {pt})""" for ct, cc in KEYS for pt, pc in KEYS if ct != pt))
 def j6_fk_candidates(spark, sf):
     return r.fk_candidates({n: table(spark, sf, n) for n in ("region", "nation", "supplier")})
 

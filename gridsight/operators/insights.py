@@ -26,7 +26,8 @@ def _text(*parts):
 
 
 def fixed(value, digits):
-    return F.format_string(f"%.{digits}f", value)
+    """Fixed decimals, rounded by the exact binary value, without digit grouping."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
 
 
 def summary_insight(df, roles):
