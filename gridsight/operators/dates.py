@@ -38,13 +38,13 @@ def shape(c):
     return F.translate(c, DIGITS + LETTERS, "9" * 10 + "a" * 52)
 
 
-def parse_with(c, fmt):
-    """Timestamp of text in one format, or null; the shape test avoids costly failed parses."""
+def parse_with(c, fmt, shaped):
+    """Timestamp of text in one format, or null; the test of its ``shape`` (a column) avoids costly failed parses."""
     ts = F.try_to_timestamp(c, F.lit(spark_pattern(fmt)))
     if "%y" in fmt:
         # Two-digit years 69 to 99 belong to the last century: 36525 days earlier.
         ts = F.when(F.year(ts) >= 2069, F.timestamp_micros(F.unix_micros(ts) - F.lit(36525 * 86_400_000_000))).otherwise(ts)
-    return F.when(shape(c).isin(shapes(fmt)), ts)
+    return F.when(shaped.isin(shapes(fmt)), ts)
 
 
 def clean_date_string(c):
@@ -65,8 +65,9 @@ def detect_date_format(df, cols):
     """
     long = df.select(*[F.trim(col(c).cast("string")).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
     v = F.col("value")
+    long = long.withColumn("_shape", shape(v))
     # One mark per format that reads the value, -1 for epoch digits, and -2 for every value.
-    marks = [F.when(parse_with(v, f).isNotNull(), i) for i, f in enumerate(DATE_FORMATS)] + [F.when(v.rlike(r"^\d{9,13}$"), -1), F.lit(-2)]
+    marks = [F.when(parse_with(v, f, F.col("_shape")).isNotNull(), i) for i, f in enumerate(DATE_FORMATS)] + [F.when(v.rlike(r"^\d{9,13}$"), -1), F.lit(-2)]
     counts = long.select("column", F.explode(F.array_compact(F.array(*marks))).alias("i")).groupBy("column", "i").agg(F.count(F.lit(1)).alias("n"))
     at = lambda i: F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0))
     names = F.array(*[F.lit(f) for f in DATE_FORMATS])
@@ -124,8 +125,8 @@ def to_timestamp_smart(df, c, formats=None):
     text = F.trim(col(c))
     digits = F.when(text.rlike(r"^\d{9,19}$"), epoch_timestamp(text.try_cast("double")))
     serial = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), excel_timestamp(text.try_cast("double")))
-    parsed = [parse_with(text, f) for f in (formats or DATE_FORMATS)]
-    return df.withColumn(c, F.coalesce(digits, *parsed, serial))
+    parsed = [parse_with(text, f, F.col("_shape")) for f in (formats or DATE_FORMATS)]
+    return df.withColumn("_shape", shape(text)).withColumn(c, F.coalesce(digits, *parsed, serial)).drop("_shape")
 
 
 def datetime_share(df, cols, threshold=0.85):
