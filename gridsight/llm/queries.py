@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 from pyspark.sql import functions as F
 
-from . import quality_rules, urls, warc
+from . import mixing, quality_rules, simhash, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -16,6 +16,20 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_mix_sources(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    planned = mixing.plan_mix(docs.select("doc_id", "source", "text"), carry=["doc_id"])
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_simhash(spark, folder):
+    docs = table(spark, folder, "documents")
+    named = simhash.components(simhash.fingerprints(docs))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op3_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -53,3 +53,18 @@ j AS (SELECT page_id, arg_max(rule, length(rule)) rule, arg_max(outcome, length(
   ON (host = domain OR suffix(host, '.' || domain)) AND prefix(path, rules.prefix) GROUP BY page_id)
 SELECT u.page_id, host, path, j.rule, coalesce(outcome, CASE WHEN u.canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) verdict
 FROM u LEFT JOIN j USING (page_id)"""
+
+SQL["op1_mix_sources"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT source_size, 2 * sum(size)::DOUBLE most, row_number() OVER (ORDER BY source NULLS LAST) - 1 place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE weight FROM s),
+b AS (SELECT 1.5 * sum(source_size)::DOUBLE budget FROM s),
+o AS (SELECT *, coalesce(sum(most) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) dry, sum(weight) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) rest
+  FROM w WINDOW x AS (ORDER BY most / weight, place)),
+l AS (SELECT arg_min((budget - dry) / rest, (most / weight, place)) FILTER (WHERE most / weight > (budget - dry) / rest) water FROM o, b),
+t AS (SELECT *, CASE WHEN water IS NULL THEN most ELSE least(most, weight * water) END target FROM w, l),
+q AS (SELECT doc_id, size, source_size, target, weight, place,
+  sum(size) OVER (PARTITION BY place ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size) served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (served + k * source_size) / weight finish, served + k * source_size pos FROM q, (VALUES (0), (1)) v(k)),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, place, k, pos) run FROM c)
+SELECT doc_id, size, source_size, target, sum(CASE WHEN run <= budget THEN size ELSE 0 END)::BIGINT taken FROM r, b GROUP BY ALL"""
