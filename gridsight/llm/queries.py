@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, urls, warc
+from . import line_dedup, mixing, quality_rules, simhash, toxicity, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -42,6 +42,18 @@ def op4_warc(spark, folder):
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op6_toxicity(spark, folder):
+    docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
+    return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 # Fixed values of the task: host and path rules.
 URL_RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))

@@ -68,3 +68,12 @@ q AS (SELECT doc_id, size, source_size, target, weight, place,
 c AS (SELECT *, (served + k * source_size) / weight finish, served + k * source_size pos FROM q, (VALUES (0), (1)) v(k)),
 r AS (SELECT *, sum(size) OVER (ORDER BY finish, place, k, pos) run FROM c)
 SELECT doc_id, size, source_size, target, sum(CASE WHEN run <= budget THEN size ELSE 0 END)::BIGINT taken FROM r, b GROUP BY ALL"""
+
+SQL["op7_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents),
+l AS (SELECT r, generate_subscripts(ls, 1) i, unnest(ls) line FROM d),
+k AS (SELECT r, i, line, translate(trim(line, {SPACES}), {A_Z}) key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+j AS (SELECT r, i, line, f.key IS NOT NULL gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, n::BIGINT n_lines, g::BIGINT n_dropped, sha256(coalesce(t, '')) kept_sha256
+FROM (SELECT r, count(*) n, count(*) FILTER (gone) g, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) t FROM j GROUP BY r) JOIN d USING (r)"""
