@@ -24,6 +24,7 @@ SIZES = (3, 4, 5, 6)
 FEATURES = 8192
 LEAST_CHI2 = 10.83  # one in a thousand by chance
 SAMPLE = 20_000
+REGULARIZATION = 0.001
 
 
 def ngrams(text):
@@ -105,7 +106,7 @@ def train(docs, labels, key="doc_id", text="text", label="toxic", sample=SAMPLE)
         return Vectors.sparse(len(ratios), at, ratios[at])
 
     table = stored(rows.select(F.col("label").cast("double").alias("label"), scaled("text").alias("features")), "toxicity-features")
-    model = LogisticRegression(maxIter=60, regParam=0.01, standardization=False, aggregationDepth=2).fit(table)
+    model = LogisticRegression(maxIter=60, regParam=REGULARIZATION, standardization=False, aggregationDepth=2).fit(table)
     weights[features["bucket"]] = (model.coefficients.toArray() * ratios).astype(np.float32)
     return weights, float(model.intercept)
 
