@@ -56,3 +56,23 @@ def byte_texts(column):
     """The UTF-8 bytes of each text of an Arrow column, one at a time; null reads as empty."""
     for value in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
         yield value.as_py() or b""
+
+
+class Memory:
+    """A bounded memo in two generations: when the young one is full it becomes the old one, and what is used again moves on."""
+
+    def __init__(self, most):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value):
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value

@@ -1,7 +1,8 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, simhash, toxicity, urls, warc
+from . import bpe, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -42,6 +43,13 @@ def op4_warc(spark, folder):
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op5_token_files(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    manifest = token_files.write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_files(manifest)
+
+
 @query
 def op6_toxicity(spark, folder):
     docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
@@ -54,6 +62,12 @@ def op7_line_dedup(spark, folder):
     return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op8_bpe(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # Fixed values of the task: host and path rules.
 URL_RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
