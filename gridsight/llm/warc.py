@@ -125,9 +125,9 @@ def frames(stream, chunk=1 << 20):
 
 def train_dictionary(pages, key, payload, samples=256, sample_bytes=8192, size=32_768):
     """A dictionary of at most ``size`` bytes from at most ``samples`` payload heads: it only helps compression."""
-    heads = (
-        pages.filter(F.octet_length("payload") > 0).select(F.xxhash64(key, F.octet_length(payload)).alias("h"), F.substring(payload, 1, sample_bytes).alias("p"))
-        .orderBy("h", "p").limit(samples).toPandas()["p"])
+    mark = F.xxhash64(col(key))
+    cut = pages.select(mark.alias("mark")).orderBy("mark").limit(samples).agg(F.max("mark").alias("mark")).first()["mark"]
+    heads = pages.filter((mark <= F.lit(cut)) & (F.octet_length(payload) > 0)).select(F.substring(payload, 1, sample_bytes).alias("p")).limit(samples).toPandas()["p"]
     try:
         return zstandard.train_dictionary(size, [bytes(p) for p in heads]).as_bytes()
     except zstandard.ZstdError:
@@ -145,7 +145,7 @@ def write_archives(pages, key="page_id", url="url", payload="html", least_bytes=
         .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("digest", "first"))
     rows = rows.join(copies, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when((F.col("first") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
-    dictionary = spark.sparkContext.broadcast(train_dictionary(rows.select("page_id", "payload"), "page_id", "payload"))
+    dictionary = spark.sparkContext.broadcast(train_dictionary(pages.select(col(key).alias("page_id"), col(payload).cast("binary").alias("payload")), "page_id", "payload"))
     folder = shared_folder(spark, "warc")
 
     def write(batches):
