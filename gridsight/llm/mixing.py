@@ -20,7 +20,7 @@ from ..operators.common import col
 from ..operators.ordered import with_row_index
 from .common import WORD, stored, text_of
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 HEX_DIGITS = 6
 
 
