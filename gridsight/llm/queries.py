@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality_rules, simhash, token_files, toxicity, urls, warc
+from . import bpe, line_dedup, mixing, nearest, quality_rules, simhash, token_files, toxicity, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -79,5 +79,10 @@ def op9_url_filter(spark, folder):
     return urls.filter_urls(pages.select("page_id", "url"), urls.mirror_urls(pages), URL_RULES).drop("canonical")
 
 
+@query
+def op10_nearest(spark, folder):
+    return nearest.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
 def load():
     return QUERIES, SQL
