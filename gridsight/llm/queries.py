@@ -2,6 +2,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, line_dedup, mixing, nearest, quality_rules, simhash, token_files, toxicity, urls, warc
 from .sql import SQL
 
@@ -84,5 +86,10 @@ def op10_nearest(spark, folder):
     return nearest.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
 def load():
     return QUERIES, SQL
