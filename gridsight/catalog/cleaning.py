@@ -108,6 +108,14 @@ def t19_moving_average(spark, sf):
     return round_doubles(c.moving_average(table(spark, sf, "events").select("event_id", "ts", "value"), ["value"], ["ts", "event_id"]).select("event_id", "value"))
 
 
+@query("""WITH e AS (SELECT event_id, event_type, value, row_number() OVER x AS i, sum(value) OVER x AS s, greatest(3, count(*) OVER (PARTITION BY event_type) // 100) AS w FROM events WINDOW x AS (PARTITION BY event_type ORDER BY ts, event_id))
+  SELECT e.event_id, round(CASE WHEN hi.i IS NOT NULL AND (lo.i IS NOT NULL OR e.i - e.w//2 = 1) THEN (hi.s - coalesce(lo.s, 0))/e.w ELSE e.value END, 4) AS value FROM e
+  LEFT JOIN e hi ON hi.event_type = e.event_type AND hi.i = e.i + (e.w - 1 - e.w//2) LEFT JOIN e lo ON lo.event_type = e.event_type AND lo.i = e.i - e.w//2 - 1""")
+def t19_moving_average_grouped(spark, sf):
+    t = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    return round_doubles(c.moving_average(t, ["value"], ["ts", "event_id"], ["event_type"]).select("event_id", "value"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT event_id, value, event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
   r AS (SELECT event_id, k, i, value AS y FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.k, e.i, 0.1*e.value + 0.9*r.y FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1) SELECT event_id, round(y,4) AS value_smooth FROM r""")
 def t20_exp_smooth(spark, sf):

@@ -81,6 +81,13 @@ def d6_to_timestamp_smart(spark, sf):
     return d.to_timestamp_smart(mixed_dates(spark, sf), "stamp").select("o_orderkey", "stamp")
 
 
+@query("SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS stamp FROM orders")
+def d6_ambiguous_dates(spark, sf):
+    """Month-first dates, also of days up to 12."""
+    t = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("stamp"))
+    return d.to_timestamp_smart(t, "stamp")
+
+
 @query("""SELECT event_id, date_trunc('second', ts) AS s, date_trunc('millisecond', ts) AS ms, ts AS us, CAST(date_trunc('day', ts) AS TIMESTAMP) AS serial FROM events""")
 def d6_epoch_and_serial_numbers(spark, sf):
     ts = F.col("ts").cast("timestamp")

@@ -254,11 +254,17 @@ def a15_merge_count_partials(spark, sf):
 
 
 @query("""SELECT year(o_orderdate)::INTEGER AS batch, 'o_totalprice' AS "column", CAST(NULL AS VARCHAR) AS value, count(*) AS n, round(sum(o_totalprice),1) AS total,
-   round(sum(o_totalprice*o_totalprice)/1e6,1) AS total_sq, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1
-  UNION ALL SELECT year(o_orderdate)::INTEGER, 'o_orderpriority', o_orderpriority, count(*), NULL, NULL, NULL, NULL FROM orders GROUP BY 1, 3""")
+   round(sum(o_totalprice*o_totalprice)/1e6,1) AS total_sq, round(var_pop(o_totalprice)*count(*)/1e6,1) AS m2, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1
+  UNION ALL SELECT year(o_orderdate)::INTEGER, 'o_orderpriority', o_orderpriority, count(*), NULL, NULL, NULL, NULL, NULL FROM orders GROUP BY 1, 3""")
 def a15_partial_profile(spark, sf):
     t = yearly_partials(spark, sf)
-    return t.withColumn("total_sq", F.round(F.col("total_sq") / 1e6, 1)).withColumn("total", F.round("total", 1))
+    return t.withColumns({"total_sq": F.round(F.col("total_sq") / 1e6, 1), "m2": F.round(F.col("m2") / 1e6, 1), "total": F.round("total", 1)})
+
+
+@query("""SELECT 'shifted' AS "column", count(*) AS n, round(1e9 + avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(1e9 + min(value), 4) AS min, round(1e9 + max(value), 4) AS max FROM events""")
+def a15_merge_large_offset(spark, sf):
+    t = table(spark, sf, "events").withColumn("shifted", F.col("value") + 1e9)
+    return round_doubles(p.merge_numeric(p.partial_profile(t, "event_type", ["shifted"], ["event_type"]).filter("column = 'shifted'")), 4)
 
 
 @query("""WITH b AS (SELECT least(floor((l_discount-0.0)*10/(m-0.0)),9)::INTEGER AS bin, count(*) n FROM lineitem, (SELECT max(l_discount) m FROM lineitem) GROUP BY 1)

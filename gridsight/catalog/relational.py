@@ -118,6 +118,14 @@ def j3_asof_join_forward(spark, sf):
     return r.asof_join(e.select("event_id", "ts"), errors, "ts", direction="forward", right_key="err_id", left_key="event_id").select("event_id", "err_id")
 
 
+@query("SELECT o_orderkey, l_linenumber AS line, quantity FROM orders, (SELECT l_linenumber + 8 AS l_linenumber, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1 ORDER BY 1 DESC LIMIT 1)")
+def j3_asof_ties(spark, sf):
+    """Right rows of one time, keys 9 to 15: the largest number counts, not the last in the alphabet."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.lit(1).alias("at"))
+    lines = table(spark, sf, "lineitem").groupBy((F.col("l_linenumber") + 8).alias("line")).agg(F.avg("l_quantity").alias("quantity")).withColumn("at", F.lit(0))
+    return r.asof_join(o, lines, "at", right_key="line", left_key="o_orderkey").select("o_orderkey", "line", "quantity")
+
+
 @query("""SELECT 'l_quantity' AS a, 'l_tax' AS b, count(*) AS n FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', count(*) FROM lineitem UNION ALL SELECT 'l_tax', 'l_discount', count(*) FROM lineitem""")
 def j4_column_pairs(spark, sf):
     from ..operators.statistics import column_pairs, pair_table

@@ -21,6 +21,17 @@ def m1_analyze_series(spark, sf):
     return round_doubles(se.analyze_series(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", ["l_returnflag"], "m"), 3)
 
 
+KEYS = "CASE o_orderkey % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a' WHEN 2 THEN 'a/b/c' ELSE NULL END AS k1, CASE o_orderkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'b/c' ELSE NULL END AS k2"
+
+
+@query(f"""SELECT CASE WHEN k1 = 'a/b' THEN 'a\\/b/c' WHEN k1 = 'a' THEN 'a/b\\/c' WHEN k1 = 'a/b/c' THEN 'a\\/b\\/c/\\N' ELSE '\\N/\\N' END AS series_id, count(DISTINCT date_trunc('year', o_orderdate)) AS n
+  FROM (SELECT o_orderdate, {KEYS} FROM orders) GROUP BY 1""")
+def m1_series_keys(spark, sf):
+    """Keys with separators and nulls stay apart."""
+    t = table(spark, sf, "orders").selectExpr("o_orderdate", "o_totalprice", *KEYS.replace(" AS k1,", " AS k1;").split("; "))
+    return se.analyze_series(t, "o_orderdate", "o_totalprice", ["k1", "k2"], "y").select("series_id", "n")
+
+
 OUT = S + """, q AS (SELECT series_id, quantile_cont(value,.25) a, quantile_cont(value,.75) b, avg(value) m, stddev_samp(value) sd FROM s GROUP BY 1),
   f AS (SELECT p.*, (value-m)/sd AS z, abs((value-m)/sd) > 3 AS z_outlier, value < a-1.5*(b-a) OR value > b+1.5*(b-a) AS iqr_outlier FROM p JOIN q USING (series_id))"""
 

@@ -8,7 +8,7 @@ from ..functions import vocab
 from ..functions.vocab import NAME_TERMS
 from ..session import pin
 from .common import as_double, col, distinct_table, join_on, metric_table, numeric_columns, small, union_all, value_counts
-from .ordered import ewma, over_rows, with_row_index
+from .ordered import ewma, over_rows, running_sum, with_row_index
 from .profile import _modes, fences
 from .quantiles import quantile_values
 from .relational import drop_duplicate_columns, normal_names
@@ -175,17 +175,35 @@ def parse_numeric(df, cols):
 
 
 def moving_average(df, cols, order, by=(), window=None):
-    """Centred moving average over max(3, rows / 100) rows; values without a full window are kept."""
-    window = window or max(3, df.count() // 100)
-    back, ahead = window // 2, window - 1 - window // 2
+    """Centred moving average over max(3, rows / 100) rows of the group; values without a full window are kept.
 
-    def expr(c):
-        def build(w):
-            frame = w.rowsBetween(-back, ahead)
-            return F.coalesce(F.when(F.count(col(c)).over(frame) == window, F.avg(as_double(c)).over(frame)), as_double(c))
-        return build
-
-    return over_rows(with_row_index(df, order, by), {c: expr(c) for c in cols}, by, back, ahead, block=max(65_536, window)).drop("row_index")
+    Sums of a window are differences of two running sums, so the work does not depend on the window's length.
+    """
+    by, n = list(by), len(cols)
+    centre = df.agg(*[F.coalesce(F.avg(as_double(c)), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)]).first() if n else []
+    rows = with_row_index(df, order, by)
+    if window or not by:
+        rows = rows.withColumn("_window", F.lit(window or max(3, rows.count() // 100)).cast("long"))
+    else:
+        sizes = rows.groupBy(*by).agg(F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) / 100)).cast("long").alias("_window"))
+        rows = join_on(rows, sizes, by)
+    rows = rows.withColumns({f"_value{i}": F.coalesce(as_double(c) - F.lit(centre[i]), F.lit(0.0)) for i, c in enumerate(cols)})
+    rows = rows.withColumns({f"_known{i}": as_double(c).isNotNull().cast("long") for i, c in enumerate(cols)})
+    for i in range(n):
+        rows = running_sum(running_sum(rows, f"_value{i}", by, f"_s{i}"), f"_known{i}", by, f"_n{i}")
+    rows = pin(rows)
+    sums = [f"_{x}{i}" for i in range(n) for x in "sn"]
+    back = F.floor(F.col("_window") / 2)
+    upper = rows.select(*by, (F.col("row_index") - (F.col("_window") - 1 - back)).alias("row_index"), *[F.col(s).alias(f"{s}u") for s in sums])
+    lower = rows.select(*by, (F.col("row_index") + back + 1).alias("row_index"), *[F.col(s).alias(f"{s}l") for s in sums])
+    wide = join_on(join_on(rows, upper, [*by, "row_index"], "left"), lower, [*by, "row_index"], "left")
+
+    def smooth(i, c):
+        part = lambda x: F.col(f"_{x}{i}u") - F.coalesce(F.col(f"_{x}{i}l"), F.lit(0))
+        full = (F.col("row_index") >= back) & (part("n") == F.col("_window"))
+        return F.coalesce(F.when(full, part("s") / F.col("_window") + F.lit(centre[i])), as_double(c))
+
+    return wide.withColumns({c: smooth(i, c) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def exp_smooth(df, c, order, by=(), alpha=0.1):

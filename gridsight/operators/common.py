@@ -104,6 +104,12 @@ def text_metrics(df, cols, exprs):
     return long.groupBy("column").agg(*[fn("value").alias(m) for m, fn in exprs.items()])
 
 
+def series_name(by):
+    """One name for several key columns: no two different keys, nulls included, share a name."""
+    part = lambda b: F.coalesce(F.replace(F.replace(col(b).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")), F.lit("\\N"))
+    return F.concat_ws("/", *[part(b) for b in by])
+
+
 def join_on(left, right, keys, how="inner"):
     """Join on equal keys with null equal to null; key columns come from the left side only."""
     renamed = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})

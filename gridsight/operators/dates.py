@@ -65,10 +65,11 @@ def detect_date_format(df, cols):
     """
     long = df.select(*[F.trim(col(c).cast("string")).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
     v = F.col("value")
-    long = long.withColumn("_shape", shape(v))
+    # Each distinct value is read once.
+    long = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("_shape", shape(v))
     # One mark per format that reads the value, -1 for epoch digits, and -2 for every value.
     marks = [F.when(parse_with(v, f, F.col("_shape")).isNotNull(), i) for i, f in enumerate(DATE_FORMATS)] + [F.when(v.rlike(r"^\d{9,13}$"), -1), F.lit(-2)]
-    counts = long.select("column", F.explode(F.array_compact(F.array(*marks))).alias("i")).groupBy("column", "i").agg(F.count(F.lit(1)).alias("n"))
+    counts = long.select("column", "n", F.explode(F.array_compact(F.array(*marks))).alias("i")).groupBy("column", "i").agg(F.sum("n").alias("n"))
     at = lambda i: F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0))
     names = F.array(*[F.lit(f) for f in DATE_FORMATS])
     best = F.max(F.when(F.col("i") >= 0, F.struct("n", (-F.col("i")).alias("rank"), F.get(names, F.greatest("i", F.lit(0))).alias("format"))))
@@ -114,8 +115,19 @@ def excel_timestamp(v):
     return F.timestamp_micros(((v - 25569) * F.lit(86400000000)).cast("long"))
 
 
-def to_timestamp_smart(df, c, formats=None):
-    """Replace a column with timestamps; values no rule reads become null."""
+def column_formats(df, cols):
+    """{column: format} of text columns with a detected format: one job for all of them."""
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    found = detect_date_format(df, texts).collect() if texts else []
+    return {r["column"]: r["format"] for r in found if r["format"] not in (None, "unix")}
+
+
+def to_timestamp_smart(df, c, formats=None, first=None):
+    """Replace a column with timestamps; values no rule reads become null.
+
+    The column's own format is tried first (``first``; detected where neither it nor ``formats`` is given), so days up to 12
+    are read like the others. Further formats only serve values which that one cannot read.
+    """
     kind = df.schema[c].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return df.withColumn(c, col(c).cast("timestamp"))
@@ -125,7 +137,10 @@ def to_timestamp_smart(df, c, formats=None):
     text = F.trim(col(c))
     digits = F.when(text.rlike(r"^\d{9,19}$"), epoch_timestamp(text.try_cast("double")))
     serial = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), excel_timestamp(text.try_cast("double")))
-    parsed = [parse_with(text, f, F.col("_shape")) for f in (formats or DATE_FORMATS)]
+    if formats is None and first is None:
+        first = column_formats(df, [c]).get(c)
+    order = [*([first] if first else []), *[f for f in (formats or DATE_FORMATS) if f != first]]
+    parsed = [parse_with(text, f, F.col("_shape")) for f in order]
     return df.withColumn("_shape", shape(text)).withColumn(c, F.coalesce(digits, *parsed, serial)).drop("_shape")
 
 
@@ -133,8 +148,9 @@ def datetime_share(df, cols, threshold=0.85):
     """Share of non-null values that read as dates, and whether it reaches the threshold."""
     typed = {f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
     probe = df.select(*[col(c).alias(c) for c in cols])
+    own = column_formats(probe, cols)
     for c in cols:
-        probe = to_timestamp_smart(probe.withColumn(f"{c}__raw", col(c)), c)
+        probe = to_timestamp_smart(probe.withColumn(f"{c}__raw", col(c)), c, first=own.get(c, DATE_FORMATS[0]))
     t = metric_table(probe, cols, {
         "share": lambda c: F.when(F.count(col(f"{c}__raw")) > 0, F.lit(1.0) if c in typed else F.count(col(c)) / F.count(col(f"{c}__raw"))).otherwise(0.0)})
     return t.withColumn("is_datetime", F.col("share") >= threshold)

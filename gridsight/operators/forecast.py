@@ -239,8 +239,8 @@ def forecast(df, ts, value, by=(), h=10, exog=(), freq=None):
     orders = arima_orders(s, PERIODS[freq], season)
     if exog:
         from .relational import asof_join
-        from .common import col
-        name = F.concat_ws("/", *[col(b).cast("string") for b in by]) if by else F.lit(value)
+        from .common import col, series_name
+        name = series_name(by) if by else F.lit(value)
         side = df.select(name.alias("series_id"), col(ts).cast("timestamp").alias("ts"), *[col(x).cast("double").alias(x) for x in exog])
         s = asof_join(s, side, "ts", ["series_id"], right_key=exog[0])
     return forecast_arima(s, orders, h, exog=exog)

@@ -39,12 +39,19 @@ def nearest(queries, donors, cols, k, key, donor_key, scan_limit=SCAN_QUERIES):
     d = pin(d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r"))
     settled = []
     left, waiting = q, q.count()
+    k = min(k, d.agg(F.count(F.lit(1)).alias("n")).first()["n"])
+    if not k:
+        return q.join(d, F.lit(False)).select(F.col("q").alias(key), F.col("d").alias(donor_key), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     if waiting > scan_limit:
         spread = d.agg(*[F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(cols))]).first()
         axes = sorted(range(len(cols)), key=lambda i: -(spread[i] or 0.0))[:2]
         side = max((spread[axes[0]] or 1.0), 1e-12) * math.sqrt(k / max(d.count(), 1)) * 2
+        # Once cells are as wide as the box of all points, every ring of cells holds all donors and every query is settled.
+        ends = q.select("x").unionByName(d.select("x")).agg(*[f(F.get("x", F.lit(a))).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        widest = max(ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes)
         while waiting > scan_limit:
-            done, left = _grid_round(left, d, axes, side, k)
+            side = min(side, max(widest, 1e-12) * 1.001)
+            done, left = _grid_round(left, d, axes, side, k, side >= widest)
             settled.append(done)
             before, waiting = waiting, left.count()
             side *= 2.0 if waiting < before else 8.0
@@ -63,7 +70,7 @@ def _ranked(pairs, k):
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _grid_round(left, d, axes, side, k):
+def _grid_round(left, d, axes, side, k, all_seen=False):
     cell = lambda x: [F.floor(F.get(x, F.lit(a)) / side).alias(f"c{i}") for i, a in enumerate(axes)]
     around = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
     placed = left.select("q", "x", *cell(F.col("x")))
@@ -72,7 +79,7 @@ def _grid_round(left, d, axes, side, k):
     cells = d.select("d", F.col("x").alias("y"), *cell(F.col("x")))
     pairs = placed.join(cells, [f"c{i}" for i in range(len(axes))]).select("q", "d", _distance(F.col("x"), F.col("y")).alias("distance"))
     top = pin(_ranked(pairs, k))
-    done = top.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far")).filter((F.col("_n") == k) & (F.col("_far") <= side)).select("q")
+    done = top.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far")).filter((F.col("_n") == k) & ((F.col("_far") <= side) | F.lit(all_seen))).select("q")
     return top.join(done, "q", "left_semi").select("q", "d", "distance", "rank"), pin(left.join(done, "q", "left_anti"))
 
 

@@ -348,23 +348,24 @@ def partial_profile(df, batch, numeric, categorical):
     v = as_double
     sums = metric_table(df, numeric, {
         "n": lambda c: F.count(v(c)), "total": lambda c: F.sum(v(c)), "total_sq": lambda c: F.sum(v(c) * v(c)),
-        "low": lambda c: F.min(v(c)), "high": lambda c: F.max(v(c))}, [batch])
+        "m2": lambda c: F.var_pop(v(c)) * F.count(v(c)), "low": lambda c: F.min(v(c)), "high": lambda c: F.max(v(c))}, [batch])
     none = lambda t: F.lit(None).cast(t)
-    sums = sums.select(F.col(batch).alias("batch"), "column", none("string").alias("value"), "n", "total", "total_sq", "low", "high")
+    sums = sums.select(F.col(batch).alias("batch"), "column", none("string").alias("value"), "n", "total", "total_sq", "m2", "low", "high")
     counts = value_counts(df, categorical, [batch]).select(
         F.col(batch).alias("batch"), "column", "value", "n",
-        *[none("double").alias(c) for c in ("total", "total_sq", "low", "high")])
+        *[none("double").alias(c) for c in ("total", "total_sq", "m2", "low", "high")])
     return sums.unionByName(counts)
 
 
 def merge_numeric(partials):
     """Mean, population deviation and range from any number of partials."""
-    p = partials.filter(F.col("value").isNull()).groupBy("column").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("s"), F.sum("total_sq").alias("ss"),
+    p = partials.filter(F.col("value").isNull() & (F.col("n") > 0))
+    whole = p.groupBy("column").agg(F.sum("n").alias("_n"), (F.sum("total") / F.sum("n")).alias("_mean"))
+    # Squares are taken around the common mean, so a large offset costs no digits.
+    far = F.col("total") / F.col("n") - F.col("_mean")
+    return p.join(F.broadcast(whole), "column").groupBy("column").agg(
+        F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * far * far) / F.first("_n")).alias("std"),
         F.min("low").alias("min"), F.max("high").alias("max"))
-    mean = F.col("s") / F.col("n")
-    return p.select("column", "n", mean.alias("mean"),
-                    F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), "min", "max")
 
 
 def merge_counts(partials, top=10):

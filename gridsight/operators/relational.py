@@ -178,11 +178,12 @@ def asof_join(left, right, on, by=(), direction="backward", right_key=None, left
     """
     by, back = list(by), direction == "backward"
     values = [c for c in right.columns if c not in [*by, on]]
-    tie = lambda c: (col(c).cast("string") if c else F.lit("")).alias("_tie")
-    a = left.withColumns({"_side": F.lit(1 if back else 0), "_tie": tie(left_key)})
-    b = right.select(*by, on, tie(right_key), F.struct(*values).alias("_match")).withColumn("_side", F.lit(0 if back else 1))
+    # Each side's tie key keeps its own type, so 9 comes before 10.
+    tie = lambda c: col(c) if c else F.lit(0)
+    a = left.withColumns({"_side": F.lit(1 if back else 0), "_left_tie": tie(left_key)})
+    b = right.select(*by, on, tie(right_key).alias("_right_tie"), F.struct(*values).alias("_match")).withColumn("_side", F.lit(0 if back else 1))
     rows = a.unionByName(b, allowMissingColumns=True)
-    indexed = with_row_index(rows, [on, "_side", "_tie"], by)
+    indexed = with_row_index(rows, [on, "_side", "_left_tie", "_right_tie"], by)
     filled = fill_forward(indexed, ["_match"], by, backward=not back)
     kept = filled.filter(F.col("_side") == (1 if back else 0))
     return kept.select(*left.columns, *[F.col(f"_match.{c}").alias(c) for c in values])

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.special import p_value
-from .common import as_double, col, join_on, union_all
+from .common import as_double, col, join_on, series_name, union_all
 from .ordered import choose_frequency, resample
 from .quantiles import median_table, quantile_table
 
@@ -25,7 +25,7 @@ def in_order():
 def prepare_series(df, ts, value, by=(), freq=None):
     """Resample to period means and fill inner gaps linearly; ``freq`` defaults to the choice for the whole table."""
     freq = freq or choose_frequency(df, ts).first()["freq"]
-    name = F.concat_ws("/", *[col(b).cast("string") for b in by]) if by else F.lit(value)
+    name = series_name(by) if by else F.lit(value)
     rows = df.select(name.alias("series_id"), col(ts).alias("ts"), as_double(value).alias("value"))
     return resample(rows, "ts", "value", freq, ["series_id"], fill=True).select("series_id", "ts", "value")
 
