@@ -86,12 +86,12 @@ def c16_forest_importance(spark, sf):
 
 @query()
 def c20_kmeans_summary(spark, sf):
-    return round_doubles(ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], max_k=4)[1])
+    return round_doubles(ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])[1])
 
 
 @query()
 def c20_kmeans_labels(spark, sf):
-    return ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], max_k=3)[0].select("c_custkey", "cluster")
+    return ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])[0].select("c_custkey", "cluster")
 
 
 # Density clusters on one axis have a closed form: core points of a run no two neighbours of which are further apart than eps.
@@ -105,7 +105,7 @@ def c21_dbscan(spark, sf):
 
 @query()
 def c22_cluster_projection(spark, sf):
-    labels, _ = ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], max_k=3)
+    labels, _ = ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
     return round_doubles(ln.cluster_projection(labels, ["c_acctbal", "c_nationkey"], key="c_custkey"))
 
 

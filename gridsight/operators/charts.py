@@ -140,7 +140,7 @@ def range_bars(df, c):
 
 
 def likert_heatmap(df, cols):
-    return correlation_heatmap(df, cols[:5])
+    return correlation_heatmap(df, cols)
 
 
 def category_heatmap(df, a, b):
@@ -269,7 +269,10 @@ def chart(df, chart_type, cols, key=None):
 
 
 def automatic_charts(df, key, n=8):
-    """{name: dataset} of the first n charts that suit the table's roles."""
+    """{name: dataset} of the n charts that suit the table's roles best; ``n=None`` builds all of them.
+
+    Columns compete by what is measured on all of them: variance, distinct values, correlation and outliers.
+    """
     by = columns_by_role(infer_roles(df))
     num, cats, dates = by.get("numeric", []), by.get("categorical", []), by.get("datetime", [])
     likert, text = by.get("likert", []), by.get("text", [])
@@ -277,8 +280,9 @@ def automatic_charts(df, key, n=8):
     picks = []
     if num:
         var = {r["column"]: r["v"] or 0.0 for r in metric_table(df, num, {"v": lambda c: F.var_samp(as_double(c))}).collect()}
-        picks += [("histogram", [c]) for c in sorted(num, key=lambda c: (-var[c], c))[:2]]
-    small_cats = [c for c in cats if facts[c] <= 8]
+        num = sorted(num, key=lambda c: (-var[c], c))
+        picks += [("histogram", [c]) for c in num[:2]]
+    small_cats = sorted((c for c in cats if facts[c] <= 8), key=lambda c: (facts[c], c))
     picks += [("pie", [c]) for c in (by.get("gender", []) or small_cats)[:1]]
     picks += [("bar", [c]) for c in sorted((c for c in cats if facts[c] <= 15), key=lambda c: (-facts[c], c))[:1]]
     picks += [("line", [dates[0], num[0]])] if dates and num else []
@@ -286,16 +290,16 @@ def automatic_charts(df, key, n=8):
         best = st.pearson(df, num).orderBy(F.desc_nulls_last(F.abs("r")), "a", "b").first()
         picks.append(("scatter", [best["a"], best["b"]] if best["r"] is not None and abs(best["r"]) > 0.5 else num[:2]))
     picks += [("bar", [c, num[0]]) for c in cats if num and 2 <= facts[c] <= 10][:1]
-    picks += [("correlation", num[:5])] if len(num) >= 3 else []
+    picks += [("correlation", num)] if len(num) >= 3 else []
     if num:
-        f = {r["column"]: r for r in fences(df, num[:3], 1.5).collect()}
-        out = df.agg(*[F.count_if((as_double(c) < f[c]["low"]) | (as_double(c) > f[c]["high"])).alias(f"o{i}") for i, c in enumerate(num[:3])]).first()
-        picks += [("box", [c]) for i, c in enumerate(num[:3]) if out[i] > 0][:1]
+        f = {r["column"]: r for r in fences(df, num, 1.5).collect()}
+        out = df.agg(*[F.count_if((as_double(c) < f[c]["low"]) | (as_double(c) > f[c]["high"])).alias(f"o{i}") for i, c in enumerate(num)]).first()
+        picks += [("box", [c]) for _, c in sorted((-out[i], c) for i, c in enumerate(num) if out[i] > 0)[:1]]
     picks += [("grouped_histogram", [c, num[0]]) for c in cats if num and facts[c] == 2][:1]
-    picks += [("likert", [c]) for c in likert[:2]] + [("binary", [c]) for c in by.get("binary", [])[:2]]
-    picks += [("text_length", [c]) for c in text[:1]] + [("range", [c]) for c in by.get("range", [])[:1]]
-    picks += [("correlation", likert[:5])] if len(likert) >= 2 else []
-    picks += [("word_cloud", [c]) for c in text[:1]]
+    picks += [("likert", [c]) for c in likert] + [("binary", [c]) for c in by.get("binary", [])]
+    picks += [("text_length", [c]) for c in text] + [("range", [c]) for c in by.get("range", [])]
+    picks += [("correlation", likert)] if len(likert) >= 2 else []
+    picks += [("word_cloud", [c]) for c in text]
     return {f"{t}:{','.join(c)}": chart(df, t, c, key) for t, c in picks[:n]}
 
 

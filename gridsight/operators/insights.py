@@ -48,8 +48,7 @@ def summary_insight(df, roles):
 
 
 def distribution_insights(df, cols):
-    """Centre, skew and outliers of the first 3 numeric columns."""
-    cols = cols[:3]
+    """Centre, skew and outliers of the numeric columns."""
     t = metric_table(df, cols, {"mean": lambda c: F.avg(as_double(c)), "skew": lambda c: corrected_skew(as_double(c))})
     t = t.join(F.broadcast(median_table(df, cols).drop("n")), "column").join(F.broadcast(iqr_outliers(df, cols, 1.5).select("column", "outliers", "percent")), "column")
     shape = F.when(F.col("skew") > 1, "right-skewed").when(F.col("skew") < -1, "left-skewed").otherwise("normally distributed")
@@ -208,7 +207,8 @@ def insights(df, key, types=None):
     add = lambda kind, fn, *cols: parts.setdefault(kind, []).append(fn) if all(cols) else None
     add("distribution", lambda: distribution_insights(df, num), num)
     add("correlation", lambda: correlation_insights(df, num), num[1:])
-    add("trend", lambda: trend_insights(df, dates[0], num[:2], key), dates, num)
+    for ts in dates:
+        add("trend", lambda ts=ts: trend_insights(df, ts, num, key), num)
     add("outlier", lambda: outlier_insights(df, num), num)
     for role, fn in (("categorical", pattern_insights), ("binary", binary_insights), ("likert", likert_insights), ("gender", gender_insights), ("range", range_insights), ("text", text_insights)):
         add("pattern", lambda fn=fn, role=role: fn(df, by[role]), by.get(role))

@@ -193,9 +193,11 @@ def replace_outliers(df, cols, key, contamination=0.05):
 
 
 def _assembled(df, cols):
+    """All rows with standardised features; a null counts as its column's mean."""
     from .clean import standardize
-    rows = df.dropna(subset=cols)
-    scaled = standardize(rows.withColumns({f"_z{i}": as_double(c) for i, c in enumerate(cols)}), [f"_z{i}" for i in range(len(cols))])
+    names = [f"_z{i}" for i in range(len(cols))]
+    scaled = standardize(df.withColumns({n: as_double(c) for n, c in zip(names, cols)}), names)
+    scaled = scaled.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
     return VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol="_features").transform(scaled).drop(*[f"_z{i}" for i in range(len(cols))])
 
 
@@ -219,9 +221,17 @@ def pca_importance(loadings):
     return g.select("column", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("importance"))
 
 
+def _mean_filled(df, cols):
+    """Numeric columns as DOUBLE with nulls set to the column's mean (0 if there is none)."""
+    if not cols:
+        return df
+    mean = df.agg(*[F.coalesce(F.avg(as_double(c)), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return df.withColumns({c: F.coalesce(as_double(c), F.lit(mean[i])) for i, c in enumerate(cols)})
+
+
 def forest_importance(df, target, cols, seed=42):
     """Feature importance of a 50-tree random forest for a numeric target."""
-    data = df.dropna(subset=[target, *cols]).select(as_double(target).alias("label"), *[as_double(c).alias(c) for c in cols])
+    data = _mean_filled(df.dropna(subset=[target]), cols).select(as_double(target).alias("label"), *[col(c) for c in cols])
     model = RandomForestRegressor(numTrees=50, seed=seed, featuresCol="_features").fit(VectorAssembler(inputCols=cols, outputCol="_features").transform(data))
     return df.sparkSession.createDataFrame(list(zip(cols, map(float, model.featureImportances.toArray()))), "column string, importance double").orderBy(F.desc("importance"), "column")
 
@@ -248,7 +258,7 @@ def kmeans_auto(df, cols, max_k=10, seed=42):
 
 
 def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
-    """(key, cluster): density clusters named by their smallest key, -1 for noise.
+    """(key, cluster): density clusters named by their smallest key, -1 for noise, null for rows with a null coordinate.
 
     Cells have a diagonal of eps, so all points of a cell with ``min_samples`` points are core and
     belong together, and clusters are components of cells. Pairs of points are compared only where cell
@@ -256,7 +266,8 @@ def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
     """
     from .clean import standardize
     names = [f"_x{i}" for i in range(len(cols))]
-    rows = df.select(col(key).alias("k"), *[as_double(c).alias(n) for c, n in zip(cols, names)]).dropna()
+    given = df.select(col(key).alias("k"), *[as_double(c).alias(n) for c, n in zip(cols, names)])
+    rows = given.dropna(subset=names)
     rows = standardize(rows, names) if scale else rows
     n = rows.count()
     need = min_samples or max(2, n // 100)
@@ -306,7 +317,9 @@ def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
         _distance(F.col("x"), F.col("y")) <= eps).groupBy("k").agg(F.min("label").alias("label"))
     found = core_labels.select("k", "label").unionByName(border)
     out = points.select("k").join(found, "k", "left")
-    return out.select(F.col("k").alias(key), F.coalesce(F.col("label").cast("string"), F.lit("-1")).alias("cluster"))
+    named = out.select("k", F.coalesce(F.col("label").cast("string"), F.lit("-1")).alias("cluster"))
+    blank = given.filter(F.greatest(*[F.col(n).isNull().cast("int") for n in names], F.lit(0)) == 1)
+    return named.unionByName(blank.select("k", F.lit(None).cast("string").alias("cluster"))).withColumnRenamed("k", key)
 
 
 def cluster_projection(labels, cols, n=1000, key=None):
@@ -323,20 +336,23 @@ def cluster_projection(labels, cols, n=1000, key=None):
 def predict(df, key, target, features, model_type, test_size=0.2, seed=42):
     """(predictions, metrics, importance) of a random forest; rows are split by a hash of the key."""
     from .relational import split
-    data = df.dropna(subset=[target, *features])
     num = set(numeric_columns(df))
+    # Rows without a target cannot be learnt from or judged; all others take part, nulls as means or as a value of their own.
+    data = _mean_filled(df.dropna(subset=[target]), [f for f in features if f in num])
+    widest = 32
     for c in [f for f in features if f not in num]:
-        data = StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep").fit(data).transform(data)
+        index = StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep").fit(data)
+        data, widest = index.transform(data), max(widest, len(index.labels) + 1)
     inputs = [c if c in num else f"_i_{c}" for c in features]
     data = VectorAssembler(inputCols=inputs, outputCol="_features").transform(data)
     classes = None
     if model_type == "classification":
         indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(data)
         data, classes = indexer.transform(data), indexer.labels
-        forest = RandomForestClassifier(featuresCol="_features", numTrees=50, seed=seed, maxBins=1024)
+        forest = RandomForestClassifier(featuresCol="_features", numTrees=50, seed=seed, maxBins=widest)
     else:
         data = data.withColumn("label", as_double(target))
-        forest = RandomForestRegressor(featuresCol="_features", numTrees=50, seed=seed, maxBins=1024)
+        forest = RandomForestRegressor(featuresCol="_features", numTrees=50, seed=seed, maxBins=widest)
     train, test = split(data, key, 1.0 - test_size, seed)
     model = forest.fit(train)
     out = model.transform(test)

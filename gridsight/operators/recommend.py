@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chart_rules as rules
 from ..functions.special import p_value
 from . import statistics as st
+from ..session import pin
 from .common import as_double, col, datetime_columns, distinct_table, metric_table, union_all, value_counts
 from .dates import date_difference
 from .ordered import group_quarter_change, with_row_index
@@ -172,14 +173,15 @@ def correlation_evidence(df, cols):
 
 
 def series_evidence(df, date, cols):
-    """Time span and the season's deviation over the residual's, for the first measure."""
-    from .series import decompose, prepare_series
+    """Time span and the season's deviation over the residual's, of the measure where it is largest."""
+    from .series import decompose, stack_series
     days = datetime_evidence(df, [date]).first()["range_days"] or 0.0
     ratio = None
     if days > 60:
         freq, period = ("d", 7) if days < 180 else ("w", 52) if days < 900 else ("m", 12)
-        parts = decompose(prepare_series(df, date, cols[0], (), freq), period)
-        ratio = parts.agg((F.stddev_samp("seasonal") / F.stddev_samp("residual")).alias("x")).first()["x"]
+        parts = decompose(stack_series(df, [date], cols, freq), period)
+        each = parts.groupBy("series_id").agg((F.stddev_samp("seasonal") / F.nullif(F.stddev_samp("residual"), F.lit(0.0))).alias("x"))
+        ratio = each.agg(F.max("x").alias("x")).first()["x"]
     return df.sparkSession.createDataFrame([([date, *cols], float(days), ratio)], "columns array<string>, range_days double, seasonal_ratio double")
 
 
@@ -205,8 +207,8 @@ def recommend_charts(df, key, cols=None):
         (bins and num, lambda: binary_numeric_pairs(df, bins, num), rules.BINARY_NUMERIC, "binary by numeric"),
         (likert[1:], lambda: numeric_pairs(df, likert), rules.LIKERT_LIKERT, "likert by likert"),
         (num[2:], lambda: numeric_triples(df, num), rules.THREE_NUMERIC, "three numeric"), (num[2:], lambda: correlation_evidence(df, num), rules.CORRELATION, "correlation"),
-        (dates and num[1:], lambda: series_evidence(df, dates[0], num[:3]), rules.SERIES, "time series"),
     ]
+    jobs += [(num[1:], lambda d=d: series_evidence(df, d, num), rules.SERIES, "time series") for d in dates]
     jobs += [(True, lambda n=n, d=d, c=c: numeric_datetime_category(df, n, d, c, key), rules.NUMERIC_DATETIME_CATEGORICAL, "numeric, datetime and categorical") for n in num for d in dates for c in cats]
     jobs += [(pairs, lambda c=c: two_numeric_category(df, pairs, c), rules.TWO_NUMERIC_CATEGORICAL, "two numeric by categorical") for c in cats]
     return union_all([apply_rules(evidence(), rule_set, family) for wanted, evidence, rule_set, family in jobs if wanted])
@@ -254,9 +256,10 @@ def build_charts(df, key, k=6, quality=80.0):
     from .common import numeric_columns
     num, dates = set(numeric_columns(df)), set(datetime_columns(df))
     kind = lambda c: "n" if c in num else "d" if c in dates else "o"
-    out = {}
-    for r in best_charts(recommend_charts(df, key), quality, k).orderBy("position").collect():
-        columns = list(r["columns"])
-        if "".join(map(kind, columns)) in BUILDABLE.get(r["chart_type"], []):
-            out[f"{r['chart_type']}:{','.join(columns)}"] = chart(df, r["chart_type"], columns, key)
-    return out
+    recs = pin(recommend_charts(df, key))
+    # The best are chosen among those with a dataset: one small table of types and columns decides which.
+    seen = recs.select("chart_type", "columns").distinct().collect()
+    fit = [r for r in seen if "".join(map(kind, r["columns"])) in BUILDABLE.get(r["chart_type"], [])]
+    able = recs.join(F.broadcast(df.sparkSession.createDataFrame(fit, "chart_type string, columns array<string>")), ["chart_type", "columns"], "left_semi").select(recs.columns)
+    chosen = best_charts(able, quality, k).orderBy("position").collect()
+    return {f"{r['chart_type']}:{','.join(r['columns'])}": chart(df, r["chart_type"], list(r["columns"]), key) for r in chosen}

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.special import p_value
+from ..session import pin
 from .common import as_double, col, join_on, series_name, union_all
 from .ordered import choose_frequency, resample
 from .quantiles import median_table, quantile_table
@@ -325,9 +326,9 @@ def stack_series(df, dates, values, freq="d"):
     return resample(rows, "ts", "value", freq, ["series_id"], fill=True).select("series_id", "ts", "value")
 
 
-def analyze_all_series(df, roles, freq="m"):
-    """Info and decomposition of the first 2 date columns with the first 5 numeric columns."""
+def analyze_all_series(df, roles, freq="m", columns=None):
+    """Info and decomposition of every date column with every numeric column; ``columns`` keeps some of them only."""
     from .roles import columns_by_role
-    by = columns_by_role(roles)
-    s = stack_series(df, by.get("datetime", [])[:2], by.get("numeric", [])[:5], freq).persist()
+    by = {r: [c for c in cs if columns is None or c in columns] for r, cs in columns_by_role(roles).items()}
+    s = pin(stack_series(df, by.get("datetime", []), by.get("numeric", []), freq))
     return join_on(series_info(s), decomposition_summary(decompose(s, PERIODS[freq])), ["series_id"], "left")

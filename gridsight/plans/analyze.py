@@ -9,6 +9,7 @@ from ..operators.relational import filter_pairs
 from ..operators.roles import columns_by_role, infer_roles
 from ..operators.series import analyze_all_series
 from ..operators.text import tag_intent
+from ..session import pin
 
 KINDS = ("quality", "statistics", "insights", "visualizations", "advanced", "time_series")
 
@@ -24,8 +25,8 @@ def statistics_report(df, by):
         out["datetime_summary"] = datetime_summary(df, dates)
     if len(num) > 1:
         out["correlations"] = st.correlation_pairs(df, num)
-    for c in cats[:2]:
-        for n in num[:3]:
+    for c in cats:
+        for n in num:
             out[f"group:{c}:{n}"] = group_statistics(df, c, n)
             out[f"anova:{c}:{n}"] = st.anova(df, c, n)
     return out
@@ -40,7 +41,7 @@ def advanced_analysis(df, roles, key=None):
         out["pca_importance"] = learn.pca_importance(out["pca"])
         out["forest_importance"] = learn.forest_importance(df, num[0], num[1:])
     if len(num) >= 2:
-        labels, out["clusters"] = learn.kmeans_auto(df, num, max_k=5)
+        labels, out["clusters"] = learn.kmeans_auto(df, num)
         if key:
             out["cluster_projection"] = learn.cluster_projection(labels, num, key=key)
     if likert:
@@ -62,7 +63,8 @@ def advanced_analysis(df, roles, key=None):
 def analyze(df, key, kinds=("full",), as_of="2100-01-01"):
     """{name: table} for the wanted kinds (``full`` is all of them).
 
-    Quality is measured on the raw table; everything else looks at the cleaned one, which is cached once.
+    Quality is measured on the raw table; everything else looks at the cleaned one, which is computed once and
+    checkpointed to the shared folder.
     """
     kinds = set(KINDS if "full" in kinds else kinds)
     out = {}
@@ -71,7 +73,7 @@ def analyze(df, key, kinds=("full",), as_of="2100-01-01"):
         out.update(quality_metrics=m, quality_score=quality.overall_score(m), quality_issues=quality.issues(m), quality_recommendations=quality.recommendations(m))
     if kinds == {"quality"}:
         return out
-    table = clean(df, key).persist()
+    table = pin(clean(df, key))
     roles = infer_roles(table)
     by = columns_by_role(roles)
     out["roles"] = roles
@@ -106,14 +108,15 @@ def top_insights(df, key, n=10):
     by = columns_by_role(infer_roles(df))
     found = ins.insights(df, key)
     dates = [c for c in by.get("datetime", []) if c in datetime_columns(df)]
-    if dates and by.get("numeric"):
-        found = found.unionByName(ins.series_insights(df, dates[0], by["numeric"][0]))
+    for ts in dates:
+        for value in by.get("numeric", []):
+            found = found.unionByName(ins.series_insights(df, ts, value))
     return found.orderBy(F.desc("importance"), "type", "title").limit(n)
 
 
 def correlation_table(df, cols, threshold=0.3):
-    """The ranked pairs whose |r| reaches the threshold; charts take the first 10 columns."""
-    return filter_pairs(st.correlation_pairs(df, cols[:10], 45), threshold)
+    """The ranked pairs of all columns whose |r| reaches the threshold."""
+    return filter_pairs(st.correlation_pairs(df, cols, len(cols) * (len(cols) - 1) // 2), threshold)
 
 
 def report_sizes(report):

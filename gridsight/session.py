@@ -1,5 +1,6 @@
 """Session settings and the checkpoint folder."""
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,10 +23,13 @@ def local_session(cores="8", app="gridsight"):
 
 
 def ensure_checkpoint_dir(spark):
-    """Use the cluster's shared checkpoint folder; fall back to a fresh folder only where none is set."""
+    """Use the cluster's shared checkpoint folder. Only a local session without one gets a folder of this machine; on a cluster
+    executors and driver would not see each other's files there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridsight-checkpoint-"))
 
 

@@ -9,7 +9,6 @@ from ..operators.common import col, distinct_table, metric_table
 from ..session import ensure_checkpoint_dir
 
 DELIMITERS = [",", ";", "\t", "|"]
-SAMPLE_LINES = 1000
 
 
 def scratch_folder(spark):
@@ -19,14 +18,13 @@ def scratch_folder(spark):
 
 
 def guess_delimiter(lines):
-    """The delimiter whose most common column count is largest; ties go to the earlier one."""
-    best, width = DELIMITERS[0], 1
-    for d in DELIMITERS:
-        counts = [len(re.sub(r'"[^"]*"', "", line).split(d)) for line in lines]
-        mode = max(set(counts), key=lambda k: (counts.count(k), k)) if counts else 1
-        if mode > width:
-            best, width = d, mode
-    return best
+    """The delimiter whose most common column count over all lines (a table with ``value``) is largest; ties go to the earlier one."""
+    bare = F.regexp_replace("value", r'"[^"]*"', "")
+    widths = [F.struct(F.lit(i).alias("i"), (F.length(bare) - F.length(F.translate(bare, d, "")) + 1).alias("width")) for i, d in enumerate(DELIMITERS)]
+    counts = lines.select(F.explode(F.array(*widths)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.groupBy("w.i").agg(F.max(F.struct("n", "w.width")).alias("m"))
+    best = common.filter("m.width > 1").orderBy(F.desc("m.width"), "i").first()
+    return DELIMITERS[best["i"]] if best else DELIMITERS[0]
 
 
 def guess_encoding(spark, path):
@@ -39,7 +37,7 @@ def read_csv(spark, path, sep=None, encoding=None, schema=None):
     """Delimited text with a header; malformed lines are skipped. Pass ``schema`` to save the inference pass."""
     encoding = encoding or guess_encoding(spark, path)
     if sep is None:
-        sep = guess_delimiter([r["value"] for r in spark.read.text(path).limit(SAMPLE_LINES).collect()])
+        sep = guess_delimiter(spark.read.text(path))
     reader = spark.read.options(header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
