@@ -5,7 +5,7 @@ distance divided by d^2 follows a chi-square law with ``dims`` degrees of freedo
 to far and verifies each on the original vector. It stops where the law says that a neighbour nearer than the k-th found so far
 would, with probability ``sure``, have been met already.
 
-A kd-tree over a bounded sample (``fit_rows``) cuts the projected space into cells; every row of the table is indexed in its
+A kd-tree over a bounded sample (about ``fit_rows`` points, at most twice as many) cuts the projected space into cells; every row of the table is indexed in its
 cell, one file per cell and part in the shared folder, where a kd-tree orders its rows into leaves. Query blocks are dealt to tasks;
 a task reads one file at a time and skips files that the stopping test rules out for all of its queries.
 
@@ -184,7 +184,9 @@ def build_index(points, width, dims=DIMS, fit_rows=FIT_ROWS, cell_rows=CELL_ROWS
     planes = directions(width, dims)
     count = points.count()
     depth = min(int(MOST_CELLS).bit_length() - 1, max(0, -(-count // cell_rows) - 1).bit_length())
-    sample = points.select("vector").orderBy(F.xxhash64("place"), "place").limit(fit_rows) if depth else points.limit(0).select("vector")
+    # A hash range that holds about ``fit_rows`` ids, with a hard bound.
+    picked = F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_rows / max(count, 1)))
+    sample = points.select("vector").filter(picked).limit(2 * fit_rows) if depth else points.limit(0).select("vector")
     fitted = np.array(sample.toPandas()["vector"].tolist(), dtype=np.float64).reshape(-1, width)
     cuts = kd_cuts(unit(fitted) @ planes, depth) if depth else []
     folder = shared_folder(spark, "nearest-index")
