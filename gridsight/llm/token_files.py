@@ -14,6 +14,7 @@ import json
 import os
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import Memory, byte_texts, read_file, shared_folder, stored, text_o
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 22
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 MANIFEST = "path string, part int, seq int, docs long, tokens long"
 END_MARKS = b".,!?;:"
 
@@ -141,24 +142,23 @@ class ChunkTokenizer:
     def encode(self, texts):
         """An array of ids for each text, given as UTF-8 bytes."""
         split = [t.split() for t in texts]
-        here, missing = {}, {}
-        for chunk in {c for chunks in split for c in chunks}:
-            found = self.chunks.get(chunk)
-            if found is None:
-                missing[chunk] = self._words(chunk)
-            else:
-                here[chunk] = found
+        recent = self.chunks.young
+        known = [list(map(recent.get, chunks)) for chunks in split]
+        unknown = {c for chunks, parts in zip(split, known) for c, part in zip(chunks, parts) if part is None}
+        here = {c: self.chunks.get(c) for c in unknown}
+        missing = {c: self._words(c) for c, found in here.items() if found is None}
         words = {w: self.words.get(w) for parts in missing.values() for w in parts}
         asked = [w for w, found in words.items() if found is None]
         for word, encoded in zip(asked, self.library.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)):
-            words[word] = np.array(encoded.ids, dtype="<u4").tobytes()
+            ids = encoded.ids
+            words[word] = pack(f"<{len(ids)}I", *ids)
             if len(word) < 64:
                 self.words.put(word, words[word])
         for chunk, parts in missing.items():
             here[chunk] = b"".join([words[w] for w in parts])
             if len(chunk) < 64:
                 self.chunks.put(chunk, here[chunk])
-        return [np.frombuffer(b"".join([here[c] for c in chunks]), dtype="<u4") for chunks in split]
+        return [np.frombuffer(b"".join([here[c] if part is None else part for c, part in zip(chunks, parts)]), dtype="<u4") for chunks, parts in zip(split, known)]
 
 
 @lru_cache(maxsize=2)
