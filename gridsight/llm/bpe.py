@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,8 @@ from .common import Memory, byte_texts, text_of
 # Unicode white space, and the pattern that splits text before merging.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
+END_MARKS = ".,!?;:"
 PAIRS = 1 << 19
 
 
@@ -105,26 +107,21 @@ class ByteBpe:
             start = end - size + 1
             if size > reach[start]:
                 longest[start], reach[start] = token, size
-        return dict(enumerate(longest))
+        return longest
 
     def encode_piece(self, text):
         """Token ids of the bytes (as Latin-1 text) of one piece."""
-        longest = dict((end - size + 1, token) for end, (token, size) in self.automaton.iter_long(text))
-        complete = False
+        longest = self.longest_tokens(text)
         size, shorter, compatible = self.size, self.shorter, self.compatible
         closed = [False] * (len(text) + 1)
-        out, at, token = [], 0, longest.get(0)
+        out, at, token = [], 0, longest[0]
         while at < len(text):
             while token is not None and (closed[at + size[token]] or (out and not compatible(out[-1], token))):
                 token = shorter[token]
             if token is not None:
                 out.append(token)
                 at += size[token]
-                token = longest.get(at)
-                if token is None and at < len(text) and not complete:
-                    # The walk left the path of the longest tokens: from now on all starts are needed.
-                    longest, complete = self.longest_tokens(text), True
-                    token = longest[at]
+                token = longest[at]
             else:
                 closed[at] = True
                 token = out.pop()
@@ -132,33 +129,47 @@ class ByteBpe:
         return out
 
     def _piece(self, piece):
-        """(ids as bytes, ids as text) of a run of white space and what follows it up to the next one."""
-        ids = []
-        for word in self.split.findall(piece):
-            got = self.words.get(word)
-            if got is None:
-                got = self.encode_piece(word.encode().decode("latin-1"))
-                if len(word) < 64:
-                    self.words.put(word, got)
-            ids += got
-        return np.array(ids, dtype="<u4").tobytes(), ",".join(map(str, ids))
+        """(ids as bytes, ids as text) of a run of white space and what follows it up to the next one.
+
+        Marks that follow a letter at the end are a match of their own, so the word before them is remembered alone.
+        """
+        got = self.known.get(piece)
+        if got is None:
+            core = piece.rstrip(END_MARKS)
+            if core and len(core) < len(piece) and core[-1].isalpha():
+                word, marks = self._piece(core), self._piece(piece[len(core):])
+                got = word[0] + marks[0], f"{word[1]},{marks[1]}"
+                if len(piece) < 64:
+                    self.known.put(piece, got)
+                return got
+            ids = [i for word in self.split.findall(piece) for i in self._word(word)]
+            got = pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids))
+            if len(piece) < 64:
+                self.known.put(piece, got)
+        return got
+
+    def _word(self, word):
+        got = self.words.get(word)
+        if got is None:
+            got = self.encode_piece(word.encode().decode("latin-1"))
+            if len(word) < 64:
+                self.words.put(word, got)
+        return got
 
     def encode(self, text):
         """(ids as little-endian uint32 bytes, ids as decimal text)."""
-        raw, shown, known = [], [], self.known
+        raw, shown = [], []
         for part in self.added_split.split(text) if self.added_split and self.added_split.search(text) else (text,):
             if part in self.added:
-                raw.append(np.array([self.added[part]], dtype="<u4").tobytes())
+                raw.append(pack("<I", self.added[part]))
                 shown.append(str(self.added[part]))
                 continue
-            for piece in self.pieces.findall(part):
-                got = known.get(piece)
-                if got is None:
-                    got = self._piece(piece)
-                    if len(piece) < 64:
-                        known.put(piece, got)
-                raw.append(got[0])
-                shown.append(got[1])
+            pieces = self.pieces.findall(part)
+            found = list(map(self.known.young.get, pieces))
+            if None in found:
+                found = [got or self._piece(piece) for got, piece in zip(found, pieces)]
+            raw += [got[0] for got in found]
+            shown += [got[1] for got in found]
         return b"".join(raw), ",".join(shown)
 
     def decode_bytes(self, ids, chunk=1 << 20):
