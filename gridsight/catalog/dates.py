@@ -81,6 +81,25 @@ def d6_to_timestamp_smart(spark, sf):
     return d.to_timestamp_smart(mixed_dates(spark, sf), "stamp").select("o_orderkey", "stamp")
 
 
+@query("""SELECT 'en' AS "column", '%Y %b %d' AS format, count(*) AS matches, count(*) AS total FROM orders UNION ALL SELECT 'vi', '%b %d %Y', count(*) FILTER (WHERE o_orderkey % 4 <> 0), count(*) FROM orders
+   UNION ALL SELECT 'fr', '%d %b %Y', count(*), count(*) FROM orders UNION ALL SELECT 'none', NULL, 0, count(*) FROM orders""")
+def d3_detect_by_month_names(spark, sf):
+    vi, fr = ["tháng một", "tháng mười hai", "th3"], ["janvier", "août", "déc"]
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % 3).cast("int"))
+    day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
+    t = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy MMMM d").alias("en"), F.when(F.col("o_orderkey") % 4 == 0, "soon").otherwise(F.concat_ws(" ", pick(vi), F.concat(day, F.lit(",")), year)).alias("vi"),
+        F.concat_ws(" ", day, pick(fr), year).alias("fr"), F.lit("no month here").alias("none"))
+    return d.detect_by_month_names(t, ["en", "vi", "fr", "none"])
+
+
+@query("""SELECT c AS "column", f AS format, CASE WHEN f IS NULL THEN 0 ELSE n END AS matches, n AS total
+   FROM (VALUES ('dmy', '%d/%m/%Y'), ('mdy', '%m-%d-%y'), ('ymd', '%Y.%m.%d'), ('word', NULL)) v(c, f), (SELECT count(*) AS n FROM orders)""")
+def d3_detect_by_delimiter(spark, sf):
+    t = table(spark, sf, "orders").select(*[F.date_format("o_orderdate", f).alias(c) for c, f in (("dmy", "d/M/yyyy"), ("mdy", "MM-dd-yy"), ("ymd", "yyyy.MM.dd"))], F.lit("x").alias("word"))
+    return d.detect_by_delimiter(t, ["dmy", "mdy", "ymd", "word"])
+
+
 @query("SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS stamp FROM orders")
 def d6_ambiguous_dates(spark, sf):
     """Month-first dates, also of days up to 12."""

@@ -261,6 +261,19 @@ def a15_partial_profile(spark, sf):
     return t.withColumns({"total_sq": F.round(F.col("total_sq") / 1e6, 1), "m2": F.round(F.col("m2") / 1e6, 1), "total": F.round("total", 1)})
 
 
+TOP = """SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS rank FROM {t} GROUP BY 2 QUALIFY rank <= 10"""
+
+
+@query(TOP.format(c="p_brand", t="part") + " UNION ALL " + TOP.format(c="p_type", t="part"))
+def a13_top_values(spark, sf):
+    return p.top_values(table(spark, sf, "part"), ["p_brand", "p_type"])
+
+
+@query(TOP.format(c="l_quantity", t="(SELECT CAST(l_quantity AS INTEGER) AS l_quantity FROM lineitem)"))
+def a16_top_values(spark, sf):
+    return p.top_values(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("l_quantity")), ["l_quantity"])
+
+
 @query("""SELECT 'shifted' AS "column", count(*) AS n, round(1e9 + avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(1e9 + min(value), 4) AS min, round(1e9 + max(value), 4) AS max FROM events""")
 def a15_merge_large_offset(spark, sf):
     t = table(spark, sf, "events").withColumn("shifted", F.col("value") + 1e9)

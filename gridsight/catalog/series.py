@@ -32,6 +32,17 @@ def m1_series_keys(spark, sf):
     return se.analyze_series(t, "o_orderdate", "o_totalprice", ["k1", "k2"], "y").select("series_id", "n")
 
 
+@query("SELECT count(DISTINCT date_trunc('month', o_orderdate)) AS n, true AS spike_flagged, true AS spike_is_highest, true AS few FROM orders")
+def m2_forest_outliers(spark, sf):
+    """One month made a hundred times as high is flagged with the highest score, and few others are flagged."""
+    t = table(spark, sf, "orders")
+    s = se.prepare_series(t.withColumn("v", F.when(F.date_trunc("month", "o_orderdate") == "1997-06-01", F.col("o_totalprice") * 100).otherwise(F.col("o_totalprice"))), "o_orderdate", "v", (), "m")
+    f = se.forest_outliers(s)
+    spike = F.col("ts") == "1997-06-01"
+    return f.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(spike, F.col("is_outlier"))).alias("spike_flagged"),
+                 (F.max(F.when(spike, F.col("anomaly_score"))) == F.max("anomaly_score")).alias("spike_is_highest"), (F.count_if("is_outlier") <= 0.1 * F.count(F.lit(1))).alias("few"))
+
+
 OUT = S + """, q AS (SELECT series_id, quantile_cont(value,.25) a, quantile_cont(value,.75) b, avg(value) m, stddev_samp(value) sd FROM s GROUP BY 1),
   f AS (SELECT p.*, (value-m)/sd AS z, abs((value-m)/sd) > 3 AS z_outlier, value < a-1.5*(b-a) OR value > b+1.5*(b-a) AS iqr_outlier FROM p JOIN q USING (series_id))"""
 

@@ -81,6 +81,46 @@ def detect_date_format(df, cols):
         F.when(unix, F.col("unix")).when(enough, F.col("_b.n")).otherwise(0).alias("matches"), "total")
 
 
+# The format each order of day, month name and year stands for; M marks a month name.
+MONTH_NAME_ORDERS = [("%d %b %Y", r"\d{1,2}\s+M\s+\d{4}"), ("%b %d %Y", r"M\s+\d{1,2}\s*,?\s+\d{4}"), ("%Y %b %d", r"\d{4}\s+M\s+\d{1,2}")]
+DATE_DELIMITERS = ["-", "/", ".", " "]
+
+
+def _text_values(df, cols):
+    return df.select(*[F.trim(col(c).cast("string")).alias(c) for c in cols]).unpivot([], cols, "column", "value").filter("value <> ''")
+
+
+def detect_by_month_names(df, cols):
+    """(column, format, matches, total): the most frequent order of day, month name (English, Vietnamese, French) and year;
+    ties go to the earlier order, and a column without month names has no format."""
+    names = "|".join(sorted((n for months in MONTH_NAMES for n in months), key=lambda n: (-len(n), n)))
+    marked = F.regexp_replace(F.lower("value"), rf"(^|[^\p{{L}}])(?:{names})(?=$|[^\p{{L}}])", "$1M")
+    order = F.coalesce(*[F.when(F.col("m").rlike(pattern), i) for i, (_, pattern) in enumerate(MONTH_NAME_ORDERS)])
+    seen = _text_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("m", marked)
+    counts = seen.groupBy("column", order.alias("i")).agg(F.sum("n").alias("n"))
+    best = F.max(F.when(F.col("i").isNotNull(), F.struct("n", (-F.col("i")).alias("rank"))))
+    t = counts.groupBy("column").agg(best.alias("b"), F.sum("n").alias("total"))
+    return t.select("column", F.get(F.array(*[F.lit(f) for f, _ in MONTH_NAME_ORDERS]), -F.col("b.rank")).alias("format"), F.coalesce("b.n", F.lit(0)).alias("matches"), "total")
+
+
+def detect_by_delimiter(df, cols):
+    """(column, format): order and delimiter of all-number dates. The delimiter must occur 0.7 times per value on average;
+    days come first unless second numbers above 12, and no first ones, say otherwise."""
+    v = F.col("value")
+    part = lambda i: F.regexp_extract(v, r"^(\d{1,4})[-/. ](\d{1,2})[-/. ](\d{1,4})", i)
+    marks = [F.sum(F.length(v) - F.length(F.translate(v, d, ""))).alias(f"d{i}") for i, d in enumerate(DATE_DELIMITERS)]
+    t = _text_values(df, cols).groupBy("column").agg(
+        *marks, F.count(F.lit(1)).alias("total"), F.count_if(part(1) != "").alias("read"), F.count_if(F.length(part(1)) == 4).alias("year_first"),
+        F.count_if(F.length(part(3)) == 4).alias("year_last"), F.max(part(1).try_cast("int")).alias("a"), F.max(part(2).try_cast("int")).alias("b"))
+    main = F.greatest(*[F.struct(F.col(f"d{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("mark")) for i, d in enumerate(DATE_DELIMITERS)])
+    t = t.withColumn("main", main)
+    year = F.when(F.col("year_last") > 0, "%Y").otherwise("%y")
+    order = F.when(2 * F.col("year_first") > F.col("read"), F.array(F.lit("%Y"), F.lit("%m"), F.lit("%d"))).when(
+        (F.col("b") > 12) & (F.col("a") <= 12), F.array(F.lit("%m"), F.lit("%d"), year)).otherwise(F.array(F.lit("%d"), F.lit("%m"), year))
+    known = (F.col("main.n") >= 0.7 * F.col("total")) & (2 * F.col("read") > F.col("total"))
+    return t.select("column", F.when(known, F.concat(F.get(order, F.lit(0)), F.col("main.mark"), F.get(order, F.lit(1)), F.col("main.mark"), F.get(order, F.lit(2)))).alias("format"), F.col("read").alias("matches"), "total")
+
+
 def date_label(c):
     """Kind of date text: timestamp, iso, dmy, mdy, ymd or unknown."""
     c = F.trim(c)

@@ -147,9 +147,13 @@ def isolation_forest(df, cols, key, contamination=0.05, seed=42, trees=100, samp
     """
     mid = quantile_values(df, cols, [0.5])
     point = F.array(*[F.coalesce(as_double(c), F.lit(mid[c][0])) for c in cols])
-    ranked = df.select(point.alias("x"), hash_rank(col(key), seed).alias("h")).orderBy("h").limit(trees * sample)
-    spots = ranked.withColumn("tree", F.pmod(F.row_number().over(Window.orderBy("h")), F.lit(trees)).cast("int"))
-    size = min(sample, max(1, df.count() // trees if df.count() < trees * sample else sample))
+    rows = df.count()
+    size = max(1, min(sample, rows))
+    # Each tree takes ``size`` neighbours in hash order; a small table is gone through several times.
+    ranked = df.select(point.alias("x"), hash_rank(col(key), seed).alias("h")).orderBy("h").limit(trees * size)
+    again = F.sequence(F.lit(0), F.lit(max(0, -(-trees * size // max(rows, 1)) - 1)))
+    slots = ranked.withColumn("i", F.row_number().over(Window.orderBy("h")) - 1).withColumn("turn", F.explode(again)).withColumn("slot", F.col("i") + rows * F.col("turn"))
+    spots = slots.filter(F.col("slot") < trees * size).withColumn("tree", F.floor(F.col("slot") / size).cast("int"))
     limit = math.ceil(math.log2(max(2, size)))
 
     def fit(pdf):

@@ -61,6 +61,17 @@ def series_outliers(s):
     return flags.withColumn("outlier", F.col("z_outlier") | F.col("iqr_outlier")).drop("_a", "_b")
 
 
+def forest_outliers(s, contamination=0.05, least=30):
+    """(series_id, ts, value, z, anomaly_score, is_outlier) of series with at least ``least`` points: one isolation forest over
+    the z-score and the relative position, which all series share."""
+    from .learn import isolation_forest
+    t = positions(s).filter(F.col("n") >= least)
+    each = Window.partitionBy("series_id")
+    z = F.coalesce((F.col("value") - F.avg("value").over(each)) / F.nullif(F.stddev_samp("value").over(each), F.lit(0.0)), F.lit(0.0))
+    t = pin(t.withColumns({"z": z, "share": F.col("pos") / F.col("n"), "_key": F.to_json(F.struct("series_id", "ts"))}))
+    return isolation_forest(t, ["z", "share"], "_key", contamination).select("series_id", "ts", "value", "z", "anomaly_score", "is_outlier")
+
+
 def outlier_summary(flags, first=10):
     """Counts, range and the first few outliers of each series."""
     out = flags.filter("outlier")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ..operators import charts, insights as ins, learn, quality, statistics as st, text
 from ..operators.clean import clean
 from ..operators.common import datetime_columns
-from ..operators.profile import binary_summary, categorical_summary, datetime_summary, group_statistics, likert_summary, numeric_summary, range_summary, text_summary
+from ..operators.profile import binary_summary, categorical_summary, datetime_summary, group_statistics, likert_summary, numeric_summary, range_summary, text_summary, top_values
 from ..operators.relational import filter_pairs
 from ..operators.roles import columns_by_role, infer_roles
 from ..operators.series import analyze_all_series
@@ -23,6 +23,9 @@ def statistics_report(df, by):
     dates = [c for c in by.get("datetime", []) if c in datetime_columns(df)]
     if dates:
         out["datetime_summary"] = datetime_summary(df, dates)
+    labels = cats + by.get("text", [])
+    if labels:
+        out["top_values"] = top_values(df, labels)
     if len(num) > 1:
         out["correlations"] = st.correlation_pairs(df, num)
     for c in cats:
