@@ -39,6 +39,15 @@ def stored(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def in_batches(df, rows=1000):
+    """The frame, its session set to Arrow batches of at most ``rows`` rows unless the user chose a size: rows are whole
+    documents here, and 10,000 of them (the default) would fill much of a Python worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(rows))
+    return df
+
+
 def write_file(folder, prefix):
     """Open a file of a name no other attempt uses; the caller reports its path, and only reported files count."""
     store, path = fs.FileSystem.from_uri(folder)

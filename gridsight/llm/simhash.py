@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import col
 from ..operators.common import join_on
-from .common import byte_texts, stored, text_of
+from .common import byte_texts, in_batches, stored, text_of
 from .components import connected_components
 
 GROUP_ROWS = 8192
@@ -58,7 +58,7 @@ def fingerprints(docs, key="doc_id", text="text", shingle=3):
             marks = np.fromiter((fingerprint(t, shingle) for t in byte_texts(batch.column(2))), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], names=[key, "text_hash", "fingerprint"])
 
-    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, text_hash long, fingerprint long")
+    return in_batches(rows).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, text_hash long, fingerprint long")
 
 
 def bit_planes(values):

@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.common import col
-from .common import Memory, byte_texts, read_file, shared_folder, stored, text_of, write_file
+from .common import Memory, byte_texts, in_batches, read_file, shared_folder, stored, text_of, write_file
 
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
@@ -203,7 +203,7 @@ def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_
         if ids:
             yield flush()
 
-    return stored(rows.select("id", F.lit(0).alias("tie"), "text").mapInArrow(run, MANIFEST), "tokens-manifest")
+    return stored(in_batches(rows.select("id", F.lit(0).alias("tie"), "text")).mapInArrow(run, MANIFEST), "tokens-manifest")
 
 
 def with_starts(manifest):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from ..operators.common import col
-from .common import read_file, shared_folder, stored, write_file
+from .common import in_batches, read_file, shared_folder, stored, write_file
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -175,7 +175,7 @@ def write_archives(pages, key="page_id", url="url", payload="html", least_bytes=
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
 
-    return stored(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    return stored(in_batches(rows).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest, payloads=False):
