@@ -84,6 +84,64 @@ def c16_forest_importance(spark, sf):
     return ln.forest_importance(lines(spark, sf), "net", LI)
 
 
+# Closed forms: y = 2x has one component with equal loadings; a target that is twice a feature owes nothing to a constant.
+def on_a_line(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x"), (2 * F.col("l_quantity")).alias("y"), F.lit(1.0).alias("flat"))
+
+
+@query("SELECT 1 AS component, c AS \"column\", 0.7071 AS loading, 1.0::DOUBLE AS explained_variance FROM (VALUES ('x'), ('y')) v(c)")
+def c13_pca_loadings_of_a_line(spark, sf):
+    return round_doubles(ln.pca(on_a_line(spark, sf), ["x", "y"])[1])
+
+
+@query("SELECT l_orderkey, l_quantity AS x, round(sqrt(2)*(l_quantity - avg(l_quantity) OVER ())/stddev_pop(l_quantity) OVER (), 4) + 0.0 AS pc1 FROM lineitem")
+def c13_pca_scores_of_a_line(spark, sf):
+    return round_doubles(ln.pca(on_a_line(spark, sf), ["x", "y"])[0].select("l_orderkey", "x", "pc1"))
+
+
+@query("SELECT c AS \"column\", 0.5::DOUBLE AS importance FROM (VALUES ('x'), ('y')) v(c)")
+def c14_pca_importance_of_a_line(spark, sf):
+    return round_doubles(ln.pca_importance(ln.pca(on_a_line(spark, sf), ["x", "y"])[1]))
+
+
+@query("SELECT c AS \"column\", i::DOUBLE AS importance FROM (VALUES ('x', 1), ('flat', 0)) v(c, i)")
+def c16_forest_importance_of_a_line(spark, sf):
+    return round_doubles(ln.forest_importance(on_a_line(spark, sf), "y", ["x", "flat"]))
+
+
+def three_centres(spark, sf):
+    """Three far centres; every seventh row lacks one coordinate and is labelled all the same."""
+    centre = F.col("c_custkey") % 3
+    return table(spark, sf, "customer").select(
+        "c_custkey", centre.alias("centre"), (centre * 100 + F.col("c_acctbal") / 1e5).alias("x"), (centre * centre * 100 + F.col("c_nationkey") / 1e3).alias("y"))
+
+
+@query("SELECT c_custkey % 3 AS centre, count(*) AS n, 1::BIGINT AS clusters, 3::BIGINT AS all_clusters FROM customer GROUP BY 1")
+def c20_kmeans_three_centres(spark, sf):
+    labels, summary = ln.kmeans_auto(three_centres(spark, sf), ["x", "y"])
+    every = summary.agg(F.count_distinct("cluster").alias("all_clusters"))
+    return labels.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters")).join(F.broadcast(every), F.lit(True))
+
+
+@query("SELECT count(*) AS n, count(*) AS labelled FROM customer")
+def c20_kmeans_labels_rows_with_nulls(spark, sf):
+    t = three_centres(spark, sf).withColumn("x", F.when(F.col("c_custkey") % 7 != 0, F.col("x")))
+    return ln.kmeans_auto(t, ["x", "y"], max_k=3)[0].agg(F.count(F.lit(1)).alias("n"), F.count("cluster").alias("labelled"))
+
+
+@query("SELECT true AS close, true AS importance_sums_to_one")
+def c28_predict_regression_of_a_line(spark, sf):
+    t = on_a_line(spark, sf).withColumn("row", F.xxhash64("l_orderkey", "x", F.monotonically_increasing_id()))
+    _, metrics, importance = ln.predict(t, "row", "y", ["x"], "regression")
+    return metrics.select((F.col("r2") > 0.9).alias("close")).join(importance.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("importance_sums_to_one")), F.lit(True))
+
+
+@query("SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1")
+def c28_predict_classification_of_a_rule(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice").alias("row"), "l_quantity", F.when(F.col("l_quantity") > 25, "many").otherwise("few").alias("size"))
+    return round_doubles(ln.predict(t, "row", "size", ["l_quantity"], "classification")[1])
+
+
 @query()
 def c20_kmeans_summary(spark, sf):
     return round_doubles(ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])[1])

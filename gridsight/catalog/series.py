@@ -115,6 +115,37 @@ def m9_pacf(spark, sf):
     return round_doubles(se.pacf(se.acf(monthly(spark, sf))))
 
 
+@query(ACF + """, w AS (SELECT series_id, max(r) FILTER (WHERE lag = 1) a, max(r) FILTER (WHERE lag = 2) b FROM r GROUP BY 1)
+  SELECT series_id, unnest([0, 1, 2]) AS lag, round(unnest([1.0, a, (b - a*a)/(1 - a*a)]), 4) + 0.0 AS pacf FROM w""")
+def m9_pacf_first_lags(spark, sf):
+    return round_doubles(se.pacf(se.acf(monthly(spark, sf))).filter("lag <= 2").select("series_id", "lag", "pacf"))
+
+
+def planted_months(spark, sf, value):
+    """A monthly series of known shape over the months of lineitem."""
+    month = F.months_between(F.date_trunc("month", "l_shipdate"), F.lit("1995-01-01"))
+    return se.prepare_series(table(spark, sf, "lineitem").withColumn("planted", value(F.round(month), F.col("l_shipdate"))), "l_shipdate", "planted", (), "m")
+
+
+@query("SELECT 'planted' AS series_id, TIMESTAMP '1998-07-01' AS ts, true AS near_100")
+def m11_change_point_of_a_step(spark, sf):
+    s = planted_months(spark, sf, lambda m, d: F.when(d >= "1998-07-01", 100.0).otherwise(0.0) + m % 2)
+    top = se.change_points(s).orderBy(F.desc("magnitude")).limit(1)
+    return top.select("series_id", "ts", F.col("magnitude").between(95, 105).alias("near_100"))
+
+
+@query("SELECT 'planted' AS series_id, 1 AS rank, true AS near_12")
+def m13_period_of_a_sine(spark, sf):
+    s = planted_months(spark, sf, lambda m, d: 10 * F.sin(2 * 3.141592653589793 * m / 12))
+    return se.periodicity(s).filter("rank = 1").select("series_id", "rank", F.col("period").between(11, 13).alias("near_12"))
+
+
+@query("SELECT 'planted' AS series_id, false AS stationary")
+def m4_adf_of_a_curve(spark, sf):
+    """A value that accelerates has a unit root at least."""
+    return fc.adf(planted_months(spark, sf, lambda m, d: m * m)).select("series_id", "stationary")
+
+
 @query()
 def m10_order_hint(spark, sf):
     a = se.acf(monthly(spark, sf))
