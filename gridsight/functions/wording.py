@@ -91,9 +91,9 @@ BLOCK_TYPES = ["DISTRIBUTION", "CORRELATION", "TREND", "OUTLIER", "PATTERN", "BI
 
 # Calling codes.
 CALLING_CODES = {
-    "1": "USA/Canada", "7": "Russia", "20": "Egypt", "27": "South Africa", "31": "Netherlands", "33": "France", "34": "Spain",
-    "39": "Italy", "41": "Switzerland", "44": "UK", "46": "Sweden", "48": "Poland", "49": "Germany", "52": "Mexico", "55": "Brazil",
-    "60": "Malaysia", "61": "Australia", "62": "Indonesia", "63": "Philippines", "65": "Singapore", "66": "Thailand", "81": "Japan",
-    "82": "South Korea", "84": "Vietnam", "86": "China", "91": "India", "234": "Nigeria", "966": "Saudi Arabia", "971": "UAE",
-    "972": "Israel",
+    "1": "USA/Canada", "44": "UK", "49": "Germany", "33": "France", "81": "Japan", "86": "China", "91": "India", "61": "Australia",
+    "55": "Brazil", "7": "Russia", "82": "South Korea", "39": "Italy", "34": "Spain", "52": "Mexico", "971": "UAE", "65": "Singapore",
+    "31": "Netherlands", "48": "Poland", "966": "Saudi Arabia", "46": "Sweden", "41": "Switzerland", "84": "Vietnam",
+    "63": "Philippines", "62": "Indonesia", "60": "Malaysia", "66": "Thailand", "234": "Nigeria", "27": "South Africa",
+    "20": "Egypt", "972": "Israel",
 }

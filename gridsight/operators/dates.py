@@ -122,7 +122,7 @@ def detect_by_delimiter(df, cols):
 
 
 def date_label(c):
-    """Kind of date text: timestamp, iso, dmy, mdy, ymd or unknown."""
+    """Kind of date text: timestamp, iso, dmy, mdy, ymd or unknown. The patterns of the kinds."""
     c = F.trim(c)
     iso = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$")
     valid = F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()

@@ -3,6 +3,8 @@
 Models are fitted by two-stage conditional least squares (Hannan and Rissanen): a long autoregression gives
 residuals, then values are regressed on their own lags and those residuals. Seasonal terms enter at lag s.
 """
+
+# The wording of all sentences below; results must agree on it.
 import math
 
 import numpy as np

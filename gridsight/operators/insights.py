@@ -1,4 +1,6 @@
 """Ranked findings. Statistics come from the profile and test operators; texts are expressions over those small tables."""
+
+# The wording of all sentences below; results must agree on it.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -110,9 +110,11 @@ def likert_summary(df, cols):
     stats = metric_table(df, cols, {
         "count": lambda c: F.count(as_double(c)), "mean": lambda c: F.avg(as_double(c)),
         "std": lambda c: F.stddev_samp(as_double(c)), "min": lambda c: F.min(as_double(c)),
-        "max": lambda c: F.max(as_double(c)), "scale_points": lambda c: F.count_distinct(as_double(c)),
+        "max": lambda c: F.max(as_double(c)),
     })
     counts = value_counts(df, cols).withColumn("value", F.col("value").cast("double"))
+    # The counted values are few, so their number comes from there and not from a distinct count of all rows.
+    stats = stats.join(counts.groupBy("column").agg(F.count_distinct("value").alias("scale_points")), "column")
     return (
         counts.join(F.broadcast(stats), "column").join(F.broadcast(median_table(df, cols).drop("n")), "column")
         .join(F.broadcast(_modes(counts)), "column")
@@ -134,12 +136,11 @@ def range_bounds(c):
 def range_summary(df, cols, top=5):
     """Mean bounds and width of interval text, with its most frequent values."""
     stats = metric_table(df, cols, {
-        "distinct_values": lambda c: F.count_distinct(col(c)),
         "mean_lo": lambda c: F.avg(range_bounds(c)[0]), "mean_hi": lambda c: F.avg(range_bounds(c)[1]),
         "mean_width": lambda c: F.avg(range_bounds(c)[1] - range_bounds(c)[0]),
         "nulls": lambda c: F.count_if(col(c).isNull()),
     })
-    return _top(value_counts(df, cols), top).join(F.broadcast(stats), "column")
+    return _top(value_counts(df, cols), top).join(F.broadcast(stats.join(distinct_table(df, cols), "column")), "column")
 
 
 def word_count(c):
@@ -149,11 +150,14 @@ def word_count(c):
 
 
 def text_summary(df, cols):
-    return metric_table(df, cols, {
-        "distinct_values": lambda c: F.count_distinct(col(c)), "mean_length": lambda c: F.avg(F.length(col(c))),
+    hashed = df.select(*[F.sha2(col(c).cast("string"), 256).alias(c) for c in cols])
+    stats = metric_table(df, cols, {
+        "mean_length": lambda c: F.avg(F.length(col(c))),
         "min_length": lambda c: F.min(F.length(col(c))), "max_length": lambda c: F.max(F.length(col(c))),
         "mean_words": lambda c: F.avg(word_count(col(c))), "nulls": lambda c: F.count_if(col(c).isNull()),
     })
+    # Whole texts are not shuffled: their hashes are counted.
+    return stats.join(distinct_table(hashed, cols), "column")
 
 
 def date_parts(c):
@@ -378,10 +382,9 @@ def column_stats(df, cols, bins=10):
     """Statistics with up to ``bins`` equal bins per numeric column; the last bin includes the maximum."""
     stats = metric_table(df, cols, {
         "count": lambda c: F.count(as_double(c)), "missing": lambda c: F.count_if(as_double(c).isNull()),
-        "distinct_values": lambda c: F.count_distinct(as_double(c)), "min": lambda c: F.min(as_double(c)),
-        "max": lambda c: F.max(as_double(c)), "mean": lambda c: F.avg(as_double(c)),
+        "min": lambda c: F.min(as_double(c)), "max": lambda c: F.max(as_double(c)), "mean": lambda c: F.avg(as_double(c)),
         "std": lambda c: F.stddev_pop(as_double(c)),
-    }).join(F.broadcast(median_table(df, cols).drop("n")), "column")
+    }).join(F.broadcast(median_table(df, cols).drop("n")), "column").join(distinct_table(df.select(*[as_double(c).alias(c) for c in cols]), cols), "column")
     known = {r["column"]: r for r in stats.collect() if r["count"]}
     parts = []
     for c, r in known.items():

@@ -217,7 +217,7 @@ def recommend_charts(df, key, cols=None):
 def best_charts(recs, quality=80.0, k=6):
     """The k best and most varied: first of each chart type, then new categories, one complex chart, then by score."""
     scaled = recs.withColumn("score", F.round(F.col("score") * F.lit(0.8 + quality / 500), 4))
-    w = Window.partitionBy("chart_type").orderBy(F.desc("score"), F.array_join("columns", ","), "subcategory")
+    w = Window.partitionBy("chart_type", "category", "complexity").orderBy(F.desc("score"), F.array_join("columns", ","), "subcategory")
     # Each list is cut to what the greedy fill could use, so a handful of rows reach the driver.
     rows = scaled.withColumn("_first", F.row_number().over(w)).filter(F.col("_first") <= 2 * k).collect()
     order = sorted(rows, key=lambda r: (-r["score"], r["chart_type"], ",".join(r["columns"]), r["subcategory"]))

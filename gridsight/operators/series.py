@@ -4,6 +4,8 @@ A series frame is (series_id, ts, value) on a regular grid, made by ``prepare_se
 first and is a partial aggregate, so a series never has more rows than periods in its time span, however
 many raw rows its key has; the keyed windows below rest on that bound.
 """
+
+# The wording of all sentences below; results must agree on it.
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
