@@ -89,12 +89,10 @@ class MovingMean(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values([self.order, self.key])
         held = [v[0] for v in self.held.get()] if self.held.exists() else []
-        out = []
-        for request, v in zip(batch[self.key], batch[self.value]):
-            held = [*held, float(v)][-self.n:]
-            out.append((key[0], request, sum(held) / len(held)))
-        self.held.put([(v,) for v in held])
-        yield pd.DataFrame(out, columns=["group", "request", "mean"])
+        values = pd.Series([*held, *batch[self.value].astype(float)])
+        means = values.rolling(self.n, min_periods=1).mean().iloc[len(held):]
+        self.held.put([(float(v),) for v in values.iloc[-self.n:]])
+        yield pd.DataFrame({"group": [key[0]] * len(batch), "request": batch[self.key].to_numpy(), "mean": means.to_numpy()})
 
     def close(self):
         pass
