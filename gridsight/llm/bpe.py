@@ -14,7 +14,6 @@ Null and empty texts have no tokens. Added tokens in a text (``<|endoftext|>``)
 import hashlib
 import json
 import re
-from functools import lru_cache
 from struct import pack
 
 import ahocorasick
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import types as T
 
 from ..operators.common import col
-from .common import Memory, byte_texts, in_batches, text_of
+from .common import Memory, byte_texts, in_batches, kept_by_process, text_of
 
 # Unicode white space, and the pattern that splits text before merging.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -186,10 +185,9 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path):
     """One tokenizer per worker process and file."""
-    return ByteBpe(path)
+    return kept_by_process(("byte bpe", path), lambda: ByteBpe(path))
 
 
 MADE = (("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()))

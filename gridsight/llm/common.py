@@ -1,5 +1,7 @@
 """Shared pieces of the corpus operators: text columns, stored tables, and files in the shared folder."""
 import re
+import sys
+import types
 import uuid
 
 import pyarrow as pa
@@ -67,6 +69,19 @@ def byte_texts(column):
         yield value.as_py() or b""
 
 
+def kept_by_process(name, make, most=2):
+    """A value that a worker process makes once and keeps for later tasks, at most ``most`` per kind; ``name`` is (kind, ...).
+
+    It hangs on a module of its own and not on this package, which executors need not have installed.
+    """
+    shelf = sys.modules.setdefault("_gridsight_kept", types.ModuleType("_gridsight_kept")).__dict__.setdefault(name[0], {})
+    if name not in shelf:
+        while len(shelf) >= most:
+            shelf.pop(next(iter(shelf)))
+        shelf[name] = make()
+    return shelf[name]
+
+
 class Memory:
     """A bounded memo in two generations: when the young one is full it becomes the old one, and what is used again moves on."""
 

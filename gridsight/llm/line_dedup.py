@@ -12,7 +12,6 @@ Null and empty texts are one empty line. Empty keys (lines of white space) are n
 repeated rows, too. A text that loses all lines becomes empty. Other columns are carried along; ``n_lines`` and
 ``n_dropped`` replace columns of the same name.
 """
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.common import col
-from .common import byte_texts, in_batches, read_file, shared_folder, stored, text_of, write_file
+from .common import byte_texts, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, write_file
 from .perfect_hash import Table
 
 SHARD_KEYS = 1 << 18
@@ -76,10 +75,13 @@ def build_index(counts, shard_keys=SHARD_KEYS):
     return shards, {r["shard"]: r["path"] for r in stored(files, "lines-shards").collect()}
 
 
-@lru_cache(maxsize=8)
 def load_shard(path):
-    with read_file(path) as source:
-        return Table.from_bytes(source.read())
+    """One shard; a worker process keeps the last eight."""
+    def load():
+        with read_file(path) as source:
+            return Table.from_bytes(source.read())
+
+    return kept_by_process(("line shard", path), load, most=8)
 
 
 def docs_with_line(keys, shards, files):

@@ -13,7 +13,6 @@ An empty table gives an empty manifest. Other columns are ignored.
 import json
 import os
 import zlib
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.common import col
-from .common import Memory, byte_texts, in_batches, read_file, shared_folder, stored, text_of, write_file
+from .common import Memory, byte_texts, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, write_file
 
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
@@ -42,10 +41,10 @@ class Codes:
 
     @classmethod
     def encode(cls, numbers):
-        levels, bitmaps, left = [], [], numbers.astype(np.uint64)
+        levels, bitmaps, left = [], [], numbers.astype(np.uint32)
         for width in WIDTHS:
-            levels.append((left & np.uint64((1 << width) - 1)).astype(np.uint8 if width == 8 else np.uint16))
-            left = left >> np.uint64(width)
+            levels.append((left & np.uint32((1 << width) - 1)).astype(np.uint8 if width == 8 else np.uint16))
+            left = left >> np.uint32(width)
             more = left > 0
             padded = np.zeros(-(-len(more) // 64) * 64, dtype=bool)
             padded[: len(more)] = more
@@ -84,12 +83,13 @@ class TokenFile:
     @classmethod
     def build(cls, doc_ids, documents):
         ids = np.concatenate(documents)
-        names, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        order = np.lexsort((names, -counts))
-        number = np.empty(len(names), dtype=np.int64)
-        number[order] = np.arange(len(names))
+        # A vocabulary's ids are dense, so counts and numbers are plain arrays over them.
+        counts = np.bincount(ids)
+        names = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        number = np.zeros(len(counts), dtype=np.uint32)
+        number[names] = np.arange(len(names), dtype=np.uint32)
         return cls(np.array([0 if d is None else d for d in doc_ids], dtype="<i8"), np.array([d is not None for d in doc_ids], dtype=np.uint8),
-                   np.cumsum([0] + [len(d) for d in documents]).astype("<i8"), names[order].astype("<u4"), Codes.encode(number[place]))
+                   np.cumsum([0] + [len(d) for d in documents]).astype("<i8"), names.astype("<u4"), Codes.encode(number[ids]))
 
     def tokens(self, positions):
         """The ids at any positions of the file."""
@@ -161,10 +161,9 @@ class ChunkTokenizer:
         return [np.frombuffer(b"".join([here[c] if part is None else part for c, part in zip(chunks, parts)]), dtype="<u4") for chunks, parts in zip(split, known)]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path):
     """One tokenizer per worker process and file."""
-    return ChunkTokenizer(path)
+    return kept_by_process(("chunks", path), lambda: ChunkTokenizer(path))
 
 
 def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=2 << 20):
