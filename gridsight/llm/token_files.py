@@ -27,7 +27,7 @@ from .common import Memory, byte_texts, in_batches, kept_by_process, read_file,
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 22
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 17
 MANIFEST = "path string, part int, seq int, docs long, tokens long"
 END_MARKS = b".,!?;:"
 
@@ -131,33 +131,41 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED)
 
     def _words(self, chunk):
+        """The parts of a chunk that are encoded apart."""
         core = chunk.rstrip(END_MARKS)
-        if core and len(core) < len(chunk) and core.decode()[-1].isalpha():
-            return [core.lower() if core.isascii() and b"<|" not in core else core, chunk[len(core):]]
-        return [chunk.lower() if chunk.isascii() and b"<|" not in chunk else chunk]
+        plain = chunk.isascii() and b"<|" not in chunk
+        if len(core) == len(chunk) or not core or not (core[-1:].isalpha() if core[-1] < 128 else core.decode()[-1].isalpha()):
+            return [chunk.lower() if plain else chunk]
+        return [core.lower() if plain else core, chunk[len(core):]]
 
     def encode(self, texts):
         """An array of ids for each text, given as UTF-8 bytes."""
         split = [t.split() for t in texts]
-        recent = self.chunks.young
+        recent, memory = self.memory.young, self.memory
         known = [list(map(recent.get, chunks)) for chunks in split]
-        unknown = {c for chunks, parts in zip(split, known) for c, part in zip(chunks, parts) if part is None}
-        here = {c: self.chunks.get(c) for c in unknown}
-        missing = {c: self._words(c) for c, found in here.items() if found is None}
-        words = {w: self.words.get(w) for parts in missing.values() for w in parts}
-        asked = [w for w, found in words.items() if found is None]
-        for word, encoded in zip(asked, self.library.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)):
+        here, missing, asked = {}, {}, {}
+        for chunk in {c for chunks, parts in zip(split, known) for c, part in zip(chunks, parts) if part is None}:
+            found = memory.get(chunk)
+            if found is None:
+                missing[chunk] = parts = self._words(chunk)
+                for word in parts:
+                    if word not in asked:
+                        asked[word] = memory.get(word)
+            else:
+                here[chunk] = found
+        new = [w for w, found in asked.items() if found is None]
+        for word, encoded in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             ids = encoded.ids
-            words[word] = pack(f"<{len(ids)}I", *ids)
+            asked[word] = value = pack(f"<{len(ids)}I", *ids)
             if len(word) < 64:
-                self.words.put(word, words[word])
+                memory.put(word, value)
         for chunk, parts in missing.items():
-            here[chunk] = b"".join([words[w] for w in parts])
-            if len(chunk) < 64:
-                self.chunks.put(chunk, here[chunk])
+            here[chunk] = value = b"".join([asked[w] for w in parts])
+            if parts[0] != chunk and len(chunk) < 64:
+                memory.put(chunk, value)
         return [np.frombuffer(b"".join([here[c] if part is None else part for c, part in zip(chunks, parts)]), dtype="<u4") for chunks, parts in zip(split, known)]
 
 
