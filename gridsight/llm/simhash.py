@@ -188,27 +188,41 @@ def links(distinct, radius=2, group_rows=GROUP_ROWS, aim_rows=AIM_ROWS):
     return edges.distinct()
 
 
-def components(marks, key="doc_id", radius=2):
-    """(key, text_hash, fingerprint, component_id, first_hash): the smallest id that links reach, and its text's hash.
-    ``marks`` comes from ``fingerprints``."""
-    marks = stored(marks, "simhash-marks")
+def first_rows(marks, mark, key, name):
+    """(mark, first): the smallest id of the rows that share a mark, and its text's hash."""
     first = F.min(F.struct(col(key).isNull().alias("none"), col(key).alias("id"), F.col("text_hash").alias("hash"))).alias("first")
-    nodes = stored(marks.groupBy("fingerprint").agg(first), "simhash-nodes")
-    roots = connected_components(links(nodes, radius), "simhash").select(F.col("node").alias("fingerprint"), "root")
-    linked = nodes.join(roots, "fingerprint").select("fingerprint", "root", "first")
+    return stored(marks.groupBy(mark).agg(first), name)
+
+
+def name_rows(marks, nodes, roots, mark, key, name):
+    """(key, text_hash, mark, component_id, first_hash) of the rows of ``marks``, from the roots (_node, root) of linked marks."""
+    linked = nodes.join(roots.withColumnRenamed("_node", mark), mark).select(mark, "root", "first")
     tops = linked.groupBy("root").agg(F.min("first").alias("top"))
-    named = linked.join(tops, "root").select("fingerprint", "top")
-    named = stored(nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("top", "first").alias("top")), "simhash-names")
-    return marks.join(named, "fingerprint").select(
-        key, "text_hash", "fingerprint", F.col("top.id").alias("component_id"), F.col("top.hash").alias("first_hash"))
+    named = linked.join(tops, "root").select(mark, "top")
+    named = stored(nodes.join(named, mark, "left").select(mark, F.coalesce("top", "first").alias("top")), name)
+    return marks.join(named, mark).select(
+        key, "text_hash", mark, F.col("top.id").alias("component_id"), F.col("top.hash").alias("first_hash"))
 
 
-def keep_one(docs, key="doc_id", text="text", shingle=3, radius=2):
+def keep_first(docs, named, key, text, name):
     """``docs`` with one row of each component: that of the smallest id."""
-    named = components(fingerprints(docs, key, text, shingle), key, radius)
     kept = named.filter(col(key).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    kept = stored(kept.groupBy(col(key).alias(key), "text_hash").agg(F.count(F.lit(1)).alias("_n")), "simhash-kept")
+    kept = stored(kept.groupBy(col(key).alias(key), "text_hash").agg(F.count(F.lit(1)).alias("_n")), name)
     rows = join_on(docs.withColumn("text_hash_", F.xxhash64(text_of(text))), kept.withColumnRenamed("text_hash", "text_hash_"), [key, "text_hash_"])
     if not kept.filter("_n > 1").isEmpty():
         rows = rows.filter("_n = 1").unionByName(rows.filter("_n > 1").dropDuplicates([key, "text_hash_"]))
     return rows.select(*[col(c) for c in docs.columns])
+
+
+def components(marks, key="doc_id", radius=2):
+    """(key, text_hash, fingerprint, component_id, first_hash): the smallest id that links reach, and its text's hash.
+    ``marks`` comes from ``fingerprints``."""
+    marks = stored(marks, "simhash-marks")
+    nodes = first_rows(marks, "fingerprint", key, "simhash-nodes")
+    roots = connected_components(links(nodes, radius), "simhash").withColumnRenamed("node", "_node")
+    return name_rows(marks, nodes, roots, "fingerprint", key, "simhash-names")
+
+
+def keep_one(docs, key="doc_id", text="text", shingle=3, radius=2):
+    """``docs`` with one row of each component: that of the smallest id."""
+    return keep_first(docs, components(fingerprints(docs, key, text, shingle), key, radius), key, text, "simhash-kept")
