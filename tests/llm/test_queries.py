@@ -131,3 +131,18 @@ def test_pipeline_stages_follow_each_other(spark, sf):
     assert hashlib.sha256(library.decode(list(row["ids"]), skip_special_tokens=False).encode()).hexdigest() == row["decoded_sha256"]
     kept = pd.DataFrame({"doc_id": got["doc_id"].unique()}).merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     assert (kept["toxic"] == 0).mean() > 0.97
+
+
+def test_toxicity_recall_over_all_held_out_rows(spark, record_property):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    got = QUERIES["op6_toxicity"](spark, sf).toPandas()
+    fold = got[got["held_out"]].merge(labels, on="doc_id")
+    toxic = fold[fold["toxic"] == 1]
+    low = toxic[toxic["quality"] == 0]
+    assert len(low)
+    # Rows of quality 0 count, too; some of them hold no toxic word any more. Their share and recall are told apart.
+    told = f"{toxic['predicted'].sum()} of {len(toxic)} toxic rows; of quality 0: {low['predicted'].sum()} of {len(low)}"
+    record_property("recall", told)
+    print(told)
+    assert toxic["predicted"].mean() >= 0.8, told
