@@ -29,18 +29,6 @@ def j8_nearest_on_grid(spark, sf):
     return round_doubles(ln.nearest(s, c, ["bal", "nation"], 3, "s_suppkey", "donor", scan_limit=10))
 
 
-# Two donors for all orders and five wanted: every query gets both, by either plan.
-FEW = """SELECT o_orderkey, donor, round(abs(o_totalprice - price),4) AS distance, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(o_totalprice - price), donor) AS INTEGER) AS rank
-   FROM orders, (SELECT s_suppkey AS donor, s_acctbal AS price FROM supplier ORDER BY 1 LIMIT 2)"""
-
-
-@query(FEW)
-def j8_nearest_few_donors(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(0).alias("one"))
-    s = table(spark, sf, "supplier").orderBy("s_suppkey").limit(2).select(F.col("s_suppkey").alias("donor"), F.col("s_acctbal").alias("price"), F.lit(0).alias("one"))
-    return round_doubles(ln.nearest(o, s, ["price", "one"], 5, "o_orderkey", "donor", scan_limit=3))
-
-
 @query("""WITH p AS (SELECT c_custkey k, c_nationkey::DOUBLE a, (c_custkey % 100)::DOUBLE b, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END t FROM customer),
   r AS (SELECT q.k, d.t, row_number() OVER (PARTITION BY q.k ORDER BY sqrt(power(q.a-d.a,2)+power(q.b-d.b,2)), d.k) i FROM p q, p d WHERE q.t IS NULL AND d.t IS NOT NULL),
   f AS (SELECT k, avg(t) v FROM r WHERE i <= least(5, (SELECT count(*)//20 FROM p)) GROUP BY 1)

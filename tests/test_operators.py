@@ -183,3 +183,25 @@ def test_roles_of_fixture(spark):
     pdf = pd.DataFrame({"numeric_col": range(1, 11), "category_col": list("ABACBACBAB"), "date_col": pd.date_range("2023-01-01", periods=10)})
     got = {r["column"]: r["role"] for r in roles.infer_roles(spark.createDataFrame(pdf)).collect()}
     assert got["date_col"] == "datetime" and got["numeric_col"] == "id"
+
+
+@pytest.mark.parametrize("scan_limit", [3, 1000])
+def test_nearest_with_fewer_donors_than_wanted(spark, scan_limit):
+    """Two donors and five wanted: every query gets both, by either plan."""
+    prices = [(i, float(i * i % 37), 0.0) for i in range(40)]
+    donors = [(1, 5.0, 0.0), (2, 30.0, 0.0)]
+    q = spark.createDataFrame(prices, "q long, price double, one double")
+    d = spark.createDataFrame(donors, "d long, price double, one double")
+    got = learn.nearest(q, d, ["price", "one"], 5, "q", "d", scan_limit=scan_limit).collect()
+    want = []
+    for i, price, _ in prices:
+        near = sorted((abs(price - x), k) for k, x, _ in donors)
+        want += [(i, k, distance, rank) for rank, (distance, k) in enumerate(near, 1)]
+    assert sorted((r["q"], r["d"], r["distance"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_registered_neighbour_queries_search_whole_tables():
+    from gridsight import catalog
+    names, sql = catalog.load()
+    assert {n for n in names if n.startswith("j8_")} == {"j8_nearest", "j8_nearest_on_grid"}
+    assert not any("LIMIT" in sql[n].upper() for n in names if n.startswith("j8_"))
