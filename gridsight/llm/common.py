@@ -41,6 +41,18 @@ def stored(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def join_counted(left, right, key, count, share=1000):
+    """``left`` with the columns of ``right`` (one row per key, ``count``: its rows in ``left``), null for keys it lacks.
+
+    Keys with more than one in ``share`` of all rows of ``left`` are at most ``share``; they are broadcast and move no row.
+    All others are joined by a shuffle. Both sides should be stored tables, as they are read twice.
+    """
+    hot = left.count() // share
+    often, rest = right.filter(F.col(count) > hot), right.filter(F.col(count) <= hot)
+    marked = left.join(F.broadcast(often), key, "left")
+    return marked.filter(F.col(count).isNotNull()).unionByName(marked.filter(F.col(count).isNull()).select(*left.columns).join(rest, key, "left"))
+
+
 def in_batches(df, rows=1000):
     """The frame, its session set to Arrow batches of at most ``rows`` rows unless the user chose a size: rows are whole
     documents here, and 10,000 of them (the default) would fill much of a Python worker's memory."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, mixing, nearest, quality_rules, simhash, token_files, toxicity, urls, warc
+from . import bpe, exact_dedup, line_dedup, mixing, nearest, quality_rules, simhash, token_files, toxicity, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -86,6 +86,13 @@ def op10_nearest(spark, folder):
     return nearest.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def op11_exact_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = exact_dedup.label(exact_dedup.build(docs))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -77,3 +77,8 @@ f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >=
 j AS (SELECT r, i, line, f.key IS NOT NULL gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, n::BIGINT n_lines, g::BIGINT n_dropped, sha256(coalesce(t, '')) kept_sha256
 FROM (SELECT r, count(*) n, count(*) FILTER (gone) g, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) t FROM j GROUP BY r) JOIN d USING (r)"""
+
+SQL["op11_exact_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') t FROM documents),
+g AS (SELECT t, min(doc_id) keep_id, count(*)::BIGINT group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(t) text_sha256 FROM d JOIN g USING (t)"""
