@@ -34,21 +34,26 @@ def shared_folder(spark, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df, name):
-    """Write a table to the shared folder and read it back: computed once, safe against lost executors."""
+def written(df, name):
+    """Write a table to the shared folder; returns the folder."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return folder
+
+
+def stored(df, name):
+    """Write a table to the shared folder and read it back: computed once, safe against lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
-def join_counted(left, right, key, count, share=1000):
+def join_counted(left, right, key, count, short=None, share=1000):
     """``left`` with the columns of ``right`` (one row per key, ``count``: its rows in ``left``), null for keys it lacks.
 
-    Keys with more than one in ``share`` of all rows of ``left`` are at most ``share``; they are broadcast and move no row.
+    Keys with more than one in ``share`` of all rows of ``left`` are at most ``share``; those whose row is ``short`` are broadcast and move no row.
     All others are joined by a shuffle. Both sides should be stored tables, as they are read twice.
     """
-    hot = left.count() // share
-    often, rest = right.filter(F.col(count) > hot), right.filter(F.col(count) <= hot)
+    hot, short = left.count() // share, F.lit(True) if short is None else short
+    often, rest = right.filter((F.col(count) > hot) & short), right.filter((F.col(count) <= hot) | ~short)
     marked = left.join(F.broadcast(often), key, "left")
     return marked.filter(F.col(count).isNotNull()).unionByName(marked.filter(F.col(count).isNull()).select(*left.columns).join(rest, key, "left"))
 

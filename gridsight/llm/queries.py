@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, line_dedup, mixing, nearest, quality_rules, simhash, token_files, toxicity, urls, warc
+from . import bpe, exact_dedup, lexical, line_dedup, mixing, nearest, quality_rules, repair, simhash, token_files, toxicity, urls, warc
 from .sql import SQL
 
 QUERIES = {}
@@ -93,6 +93,19 @@ def op11_exact_dedup(spark, folder):
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query
+def op12_ranked_search(spark, folder):
+    found = lexical.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    found = repair.repair_all(turns, repair.damage(turns))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("sha").alias("repaired_sha256"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

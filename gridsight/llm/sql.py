@@ -82,3 +82,15 @@ SQL["op11_exact_dedup"] = """
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') t FROM documents),
 g AS (SELECT t, min(doc_id) keep_id, count(*)::BIGINT group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(t) text_sha256 FROM d JOIN g USING (t)"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SQL["op12_ranked_search"] = f"""
+WITH p AS (SELECT doc_id, term, count(*)::BIGINT tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {A_Z}), '{_TERM}')) term FROM documents) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*)::BIGINT times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {A_Z}), '{_TERM}')) term FROM benchmark) GROUP BY ALL),
+z AS (SELECT doc_id, sum(tf)::BIGINT n FROM p GROUP BY doc_id), a AS (SELECT count(*)::BIGINT all_docs, sum(n)::BIGINT all_terms FROM z),
+f AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1)))::BIGINT w FROM p, a GROUP BY term, all_docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))::BIGINT score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN z USING (doc_id), a GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
