@@ -1,4 +1,5 @@
 """Queries for time series: monthly mean price per return flag, daily event value, and orders."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import query, table
@@ -180,6 +181,27 @@ def m15_forecast_arima(spark, sf):
     return round_doubles(fc.forecast_arima(s, fc.arima_orders(s), 6))
 
 
+# An autoregression of order 1 around zero: with A, B and C below, the estimate solves n (B - C f)(1 - f^2) = f (A - 2 B f + C f^2).
+AR1 = S + """, d AS (SELECT series_id, pos, n, sum(value - m) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS y
+    FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS m FROM p)),
+  l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM d),
+  k AS (SELECT series_id, any_value(n) AS n, sum(y*y) AS a, sum(y*before) AS b, sum(y*y) FILTER (WHERE pos > 0 AND pos < n - 1) AS c FROM l GROUP BY 1)"""
+
+
+@query("WITH RECURSIVE " + AR1[5:] + """, r AS (SELECT series_id, 0 AS i, -1.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM k
+    UNION ALL SELECT series_id, i + 1, CASE WHEN up THEN f ELSE lo END, CASE WHEN up THEN hi ELSE f END
+    FROM (SELECT r.series_id, i, lo, hi, (lo+hi)/2 AS f, n*(b - c*f)*(1 - f*f) > f*(a - 2*b*f + c*f*f) AS up FROM r JOIN k USING (series_id) WHERE i < 60)),
+  f AS (SELECT series_id, lo AS f FROM r WHERE i = 60), v AS (SELECT *, (a - 2*b*f + c*f*f)/n AS v FROM k JOIN f USING (series_id))
+  SELECT series_id, n, round(f, 3) + 0.0 AS ar, round(v/1e6, 2) AS variance, round(-n/2.0*(ln(2*pi()*v) + 1) + 0.5*ln(1 - f*f), 3) AS loglik FROM v""")
+def m15_ar1_likelihood(spark, sf):
+    """Four-month sums of the deviations from the mean, as an autoregression of order 1."""
+    each = Window.partitionBy("series_id")
+    s = monthly(spark, sf).withColumn("value", F.col("value") - F.avg("value").over(each))
+    s = s.withColumn("value", F.sum("value").over(each.orderBy("ts").rowsBetween(-3, 0)))
+    found = fc.likelihood(s)
+    return found.select("series_id", "n", (F.round(F.col("ar")[0], 3) + 0.0).alias("ar"), F.round(F.col("variance") / 1e6, 2).alias("variance"), F.round("loglik", 3).alias("loglik"))
+
+
 @query()
 def m16_forecast_with_exogenous(spark, sf):
     return round_doubles(fc.forecast(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", ["l_returnflag"], 6, ["l_quantity"], "m"))

@@ -1,7 +1,7 @@
 """Unit-root test and ARIMA forecasts, one task per resampled series (see ``series.prepare_series``).
 
-Models are fitted by two-stage conditional least squares (Hannan and Rissanen): a long autoregression gives
-residuals, then values are regressed on their own lags and those residuals. Seasonal terms enter at lag s.
+Models are fitted by exact likelihood (``state_space``): multiplicative seasonal polynomials, regressors by generalised
+least squares, missing values skipped by the filter.
 """
 
 # The wording of all sentences below; results must agree on it.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import join_on
 from .ordered import choose_frequency
+from .state_space import Sarimax
 from .series import PERIODS, acf, decompose, decomposition_summary, levinson, pacf, positions, prepare_series, repair_outliers
 
 # MacKinnon's response surface for a unit-root test with a constant.
@@ -106,58 +107,18 @@ def arima_orders(s, period=12, seasonal=None):
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, p int, d int, q int, season int")
 
 
-def fit_arima(x, p, d, q, season):
-    """Coefficients and residuals of the differenced series."""
-    w = np.diff(x, d) if d else np.asarray(x, dtype=float)
-    ar = sorted({*range(1, p + 1), *([season] if season else [])})
-    ma = sorted({*range(1, q + 1), *([season] if season else [])})
-    longest = max([*ar, *ma, 1])
-    if len(w) <= 2 * longest + len(ar) + len(ma) + 2:
-        ar, ma = [k for k in ar if k == 1 and len(w) > 6], []
-        longest = 1
-    lagged = lambda v, k, start: v[start - k:len(v) - k]
-    e = np.zeros(len(w))
-    if ma:
-        m = min(max(longest, int(round(math.log(len(w)) ** 2))), (len(w) - 2) // 2)
-        stack = np.column_stack([np.ones(len(w) - m), *[lagged(w, k, m) for k in range(1, m + 1)]])
-        e[m:] = _ols(stack, w[m:])[1]
-        start = min(m + longest, len(w) - len(ar) - len(ma) - 2)
-    else:
-        start = longest
-    start = max(start, longest)
-    m = np.column_stack([np.ones(len(w) - start), *[lagged(w, k, start) for k in ar], *[lagged(e, k, start) for k in ma]])
-    beta, _ = _ols(m, w[start:])
-    resid = np.zeros(len(w))
-    for t in range(longest, len(w)):
-        resid[t] = w[t] - beta[0] - sum(b * w[t - k] for b, k in zip(beta[1:], ar)) - sum(b * resid[t - k] for b, k in zip(beta[1 + len(ar):], ma))
-    if not np.all(np.isfinite(resid)) or np.abs(resid).max() > 1e6 * (np.abs(w).max() + 1):
-        resid = np.zeros(len(w))
-        resid[start:] = w[start:] - m @ beta
-    return {"w": w, "ar": ar, "ma": ma, "beta": beta, "resid": resid, "from": longest}
-
-
-def project(x, model, d, h, level=0.95):
-    """h forecasts with bounds from the model's impulse weights."""
-    ar, ma, beta = model["ar"], model["ma"], model["beta"]
-    phi, theta = dict(zip(ar, beta[1:])), dict(zip(ma, beta[1 + len(ar):]))
-    w, e = list(model["w"]), list(model["resid"])
-    for _ in range(h):
-        w.append(beta[0] + sum(b * w[-k] for k, b in phi.items()) + sum(b * e[-k] for k, b in theta.items()))
-        e.append(0.0)
-    path = np.array(w[-h:])
-    psi = np.zeros(h)
-    for j in range(h):
-        psi[j] = (1.0 if j == 0 else theta.get(j, 0.0)) + sum(b * psi[j - k] for k, b in phi.items() if k <= j)
-    for _ in range(d):
-        psi = np.cumsum(psi)
-    tails = [np.diff(x, i)[-1] if i else x[-1] for i in range(d)]
-    for tail in reversed(tails):
-        path = tail + np.cumsum(path)
-    used = model["resid"][model["from"]:]
-    s2 = float(used @ used / max(len(used) - len(beta), 1)) if len(used) else 0.0
-    z = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}[level]
-    wide = z * np.sqrt(s2 * np.cumsum(psi ** 2))
-    return path, path - wide, path + wide, s2
+def fit_arima(x, p, d, q, season, exog=None):
+    """A fitted model of one series, NaN where values are missing; short series get fewer terms. Seasonal orders are (1, 0, 1)."""
+    n = int(np.isfinite(x).sum())
+    if season and n < 2 * season + p + q + d + 4:
+        season = 0
+    if n < 2 * (p + q) + d + 4:
+        p, q = int(n > 6), 0
+    return Sarimax(x, (p, d, q), (1, 0, 1) if season else (0, 0, 0), season, exog).fit()
+
+
+# Two-sided points of the normal distribution.
+Z = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
 def _future(ts, h):
@@ -175,32 +136,42 @@ FORECAST = "series_id string, step int, ts timestamp, forecast double, lower dou
 
 
 def forecast_arima(s, orders, h=10, level=0.95, exog=()):
-    """(series_id, step, ts, forecast, lower, upper, aic, bic, mae, mse). Extra regressors are held at their last value."""
+    """(series_id, step, ts, forecast, lower, upper, aic, bic, mae, mse). Extra regressors are held at their last value.
+    Periods whose value is null are gaps; those before the first and after the last value do not count."""
     exog = list(exog)
-    rows = join_on(s.filter(F.col("value").isNotNull()), orders, ["series_id"])
+    rows = join_on(s, orders, ["series_id"])
 
     def run(pdf):
         pdf = pdf.sort_values("ts")
-        x = pdf["value"].to_numpy(dtype=float)
+        known = np.flatnonzero(pdf["value"].notna().to_numpy())
+        if not len(known):
+            return pd.DataFrame()
+        pdf = pdf.iloc[known[0]:known[-1] + 1]
         p, d, q, season = (int(pdf[c].iloc[0]) for c in ("p", "d", "q", "season"))
-        shift = 0.0
-        if exog:
-            m = np.column_stack([np.ones(len(x)), pdf[exog].astype(float).ffill().bfill().fillna(0.0).to_numpy()])
-            beta, rest = _ols(m, x)
-            shift, x = float(m[-1] @ beta), rest
-        model = fit_arima(x, p, d, q, season)
-        path, lo, hi, s2 = project(x, model, d, h, level)
-        e = model["resid"][model["from"]:]
-        k, n = len(model["beta"]) + 1, max(len(e), 1)
-        loglik = -0.5 * n * (math.log(2 * math.pi * max(s2, 1e-300)) + 1)
-        fit = (2 * k - 2 * loglik, k * math.log(n) - 2 * loglik, float(np.abs(e).mean()) if len(e) else 0.0, float((e ** 2).mean()) if len(e) else 0.0)
-        name = pdf["series_id"].iloc[0]
-        return pd.DataFrame([(name, i + 1, t, path[i] + shift, lo[i] + shift, hi[i] + shift, *fit) for i, t in enumerate(_future(pdf["ts"], h))],
+        given = pdf[exog].astype(float).ffill().bfill().fillna(0.0).to_numpy() if exog else None
+        model = fit_arima(pdf["value"].to_numpy(dtype=float), p, d, q, season, given)
+        path, variance = model.forecast(h, np.repeat(given[-1:], h, axis=0) if exog else None)
+        wide = Z[level] * np.sqrt(variance)
+        name, fit = pdf["series_id"].iloc[0], model.summary()
+        return pd.DataFrame([(name, i + 1, t, path[i], path[i] - wide[i], path[i] + wide[i], *fit) for i, t in enumerate(_future(pdf["ts"], h))],
                             columns=[f.split()[0] for f in FORECAST.split(", ")])
 
     return rows.groupBy("series_id").applyInPandas(run, FORECAST)
 
 
+def likelihood(s, p=1, d=0, q=0, seasonal=(0, 0, 0), season=0, constant=False):
+    """(series_id, n, loglik, variance, ar ARRAY, ma ARRAY): the exact maximum of one model for every series."""
+    schema = "series_id string, n long, loglik double, variance double, ar array<double>, ma array<double>"
+
+    def run(pdf):
+        y = pdf.sort_values("ts")["value"].to_numpy(dtype=float)
+        model = Sarimax(y, (p, d, q), seasonal, season, constant=constant).fit()
+        ar, ma = model.coefficients(model.theta)
+        return pd.DataFrame([(pdf["series_id"].iloc[0], int(np.isfinite(y).sum()), model.at["loglik"], model.at["scale"], ar.tolist(), ma.tolist())], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return s.groupBy("series_id").applyInPandas(run, schema)
+
+
 def rolling_validation(s, orders, folds=None):
     """(series_id, mae, rmse, mape, folds): one-step forecasts from 3 to 5 growing training spans."""
     t = join_on(positions(s), orders, ["series_id"])
@@ -214,7 +185,7 @@ def rolling_validation(s, orders, folds=None):
         pdf = pdf.sort_values("pos")
         x = pdf["value"].to_numpy(dtype=float)
         p, d, q, season = (int(pdf[c].iloc[0]) for c in ("p", "d", "q", "season"))
-        guess = project(x[:-1], fit_arima(x[:-1], p, d, q, season), d, 1)[0][0]
+        guess = fit_arima(x[:-1], p, d, q, season).forecast(1)[0][0]
         return pd.DataFrame([(pdf["series_id"].iloc[0], int(pdf["fold"].iloc[0]), x[-1], float(guess))], columns=["series_id", "fold", "actual", "predicted"])
 
     each = t.groupBy("series_id", "fold").applyInPandas(run, "series_id string, fold int, actual double, predicted double")

@@ -141,7 +141,7 @@ def test_unit_root_and_ar_forecast(spark):
     found = {r["series_id"]: r["stationary"] for r in forecast.adf(both).collect()}
     assert found == {"ar": True, "walk": False}
     fit = forecast.fit_arima(ar, 1, 0, 0, 0)
-    assert fit["beta"][1] == pytest.approx(0.6, abs=0.1)
+    assert fit.coefficients(fit.theta)[0][0] == pytest.approx(0.6, abs=0.1)
     f = forecast.forecast_arima(monthly(spark, ar, "ar"), spark.createDataFrame([("ar", 1, 0, 0, 0)], "series_id string, p int, d int, q int, season int"), 5).orderBy("step").collect()
     assert len(f) == 5 and all(r["lower"] < r["forecast"] < r["upper"] for r in f)
 
