@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from . import query, table
 from .planted import CLEAN_SQL, dirty_orders
 from ..operators import learn as ln
+from ..operators import neighbours as nb
 from ..operators.common import round_doubles
 
 # One donor per customer; nearest by balance and nation.
@@ -20,13 +21,13 @@ def supplier_points(spark, sf):
 @query(KNN)
 def j8_nearest(spark, sf):
     s, c = supplier_points(spark, sf)
-    return round_doubles(ln.nearest(s, c, ["bal", "nation"], 3, "s_suppkey", "donor"))
+    return round_doubles(nb.nearest(s, c, ["bal", "nation"], 3, "s_suppkey", "donor"))
 
 
 @query(KNN)
 def j8_nearest_on_grid(spark, sf):
     s, c = supplier_points(spark, sf)
-    return round_doubles(ln.nearest(s, c, ["bal", "nation"], 3, "s_suppkey", "donor", scan_limit=10))
+    return round_doubles(nb.nearest(s, c, ["bal", "nation"], 3, "s_suppkey", "donor", cell_rows=64))
 
 
 @query("""WITH p AS (SELECT c_custkey k, c_nationkey::DOUBLE a, (c_custkey % 100)::DOUBLE b, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END t FROM customer),
@@ -36,7 +37,24 @@ def j8_nearest_on_grid(spark, sf):
 def t4_impute_knn(spark, sf):
     t = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 100).alias("b"),
                                             F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_acctbal")).alias("balance"))
-    return round_doubles(ln.impute_knn(t, "balance", ["a", "b"], "c_custkey").select("c_custkey", "balance"))
+    return round_doubles(nb.impute_knn(t, "balance", ["a", "b"], "c_custkey").select("c_custkey", "balance"))
+
+
+SPARSE = {
+    "a": "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 7 ELSE c_nationkey END", "b": "CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey % 100 END",
+    "c": "CASE WHEN c_custkey % 11 = 0 OR c_custkey % 35 = 0 THEN NULL ELSE c_custkey * 37 % 50 END", "balance": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END"}
+GAP = "coalesce(power(q.{0}-d.{0},2),0)"
+SEEN = "(q.{0}-d.{0} IS NOT NULL)::INT"
+
+
+@query("WITH p AS (SELECT c_custkey k, " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in SPARSE.items()) + " FROM customer), g AS (SELECT q.k, d.k dk, d.balance t, " + " + ".join(GAP.format(c) for c in "abc")
+       + " AS s, " + " + ".join(SEEN.format(c) for c in "abc") + """ AS n FROM p q, p d WHERE q.balance IS NULL AND d.balance IS NOT NULL),
+  r AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY sqrt(s*(3/n)), dk) i FROM g WHERE n > 0), f AS (SELECT k, avg(t) v FROM r WHERE i <= least(5, (SELECT count(*)//20 FROM p)) GROUP BY 1)
+  SELECT p.k AS c_custkey, round(coalesce(balance, v, (SELECT avg(balance) FROM p)),4) AS balance FROM p LEFT JOIN f USING (k)""")
+def t4_impute_knn_sparse_helpers(spark, sf):
+    """Three helpers with nulls in all combinations; a third of one helper is a single value."""
+    t = table(spark, sf, "customer").select("c_custkey", *[F.expr(e).alias(c) for c, e in SPARSE.items()])
+    return round_doubles(nb.impute_knn(t, "balance", ["a", "b", "c"], "c_custkey").select("c_custkey", "balance"))
 
 
 @query()

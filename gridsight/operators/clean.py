@@ -287,7 +287,7 @@ def _synthesise(low, high, by):
 
 def apply_null_plan(df, plan, key=None):
     """Carry out a null plan. Nearest-neighbour steps need a row ``key`` and fall back to medians without one."""
-    from .learn import impute_knn
+    from .neighbours import impute_knn
     steps = {}
     for r in plan.collect():
         steps.setdefault(r["action"], []).append(r)

@@ -1,4 +1,4 @@
-"""Nearest neighbours, isolation forest, projection, clustering and prediction."""
+"""Isolation forest, projection, clustering and prediction."""
 import math
 
 import numpy as np
@@ -17,99 +17,10 @@ from .common import as_double, col, numeric_columns, union_all
 from .ordered import hash_rank
 from .quantiles import quantile_values
 
-SCAN_QUERIES = 2_000
-
-
-# ---- nearest neighbours
-
-
-def nearest(queries, donors, cols, k, key, donor_key, scan_limit=SCAN_QUERIES):
-    """(key, donor_key, distance, rank): the exact k nearest donors of each query by Euclidean distance, ties by key.
-
-    Few queries travel with the task closures and the donors are scanned once. Many queries are settled
-    round by round on a grid whose cells grow: a query is done when its k-th distance lies inside the
-    ring of cells it has seen, and the last few are scanned.
-    """
-    point = F.array(*[as_double(c) for c in cols])
-    whole = lambda p: ~F.exists(p, lambda v: v.isNull())
-    q = pin(queries.select(col(key).alias("q"), point.alias("x")).filter(whole(F.col("x"))))
-    # At most k donors of each distinct point can ever be among the nearest.
-    w = Window.partitionBy("x").orderBy("d")
-    d = donors.select(col(donor_key).alias("d"), point.alias("x")).filter(whole(F.col("x")))
-    d = pin(d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r"))
-    settled = []
-    left, waiting = q, q.count()
-    k = min(k, d.agg(F.count(F.lit(1)).alias("n")).first()["n"])
-    if not k:
-        return q.join(d, F.lit(False)).select(F.col("q").alias(key), F.col("d").alias(donor_key), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-    if waiting > scan_limit:
-        spread = d.agg(*[F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(cols))]).first()
-        axes = sorted(range(len(cols)), key=lambda i: -(spread[i] or 0.0))[:2]
-        side = max((spread[axes[0]] or 1.0), 1e-12) * math.sqrt(k / max(d.count(), 1)) * 2
-        # Once cells are as wide as the box of all points, every ring of cells holds all donors and every query is settled.
-        ends = q.select("x").unionByName(d.select("x")).agg(*[f(F.get("x", F.lit(a))).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
-        widest = max(ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes)
-        while waiting > scan_limit:
-            side = min(side, max(widest, 1e-12) * 1.001)
-            done, left = _grid_round(left, d, axes, side, k, side >= widest)
-            settled.append(done)
-            before, waiting = waiting, left.count()
-            side *= 2.0 if waiting < before else 8.0
-    if waiting:
-        settled.append(_scan(left, d, k))
-    names = {"q": key, "d": donor_key}
-    return union_all(settled).withColumnsRenamed(names)
-
-
 def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _ranked(pairs, k):
-    w = Window.partitionBy("q").orderBy("distance", "d")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _grid_round(left, d, axes, side, k, all_seen=False):
-    cell = lambda x: [F.floor(F.get(x, F.lit(a)) / side).alias(f"c{i}") for i, a in enumerate(axes)]
-    around = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
-    placed = left.select("q", "x", *cell(F.col("x")))
-    for i in range(len(axes)):
-        placed = placed.withColumn("_s", F.explode(around)).withColumn(f"c{i}", F.col(f"c{i}") + F.col("_s")).drop("_s")
-    cells = d.select("d", F.col("x").alias("y"), *cell(F.col("x")))
-    pairs = placed.join(cells, [f"c{i}" for i in range(len(axes))]).select("q", "d", _distance(F.col("x"), F.col("y")).alias("distance"))
-    top = pin(_ranked(pairs, k))
-    done = top.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far")).filter((F.col("_n") == k) & ((F.col("_far") <= side) | F.lit(all_seen))).select("q")
-    return top.join(done, "q", "left_semi").select("q", "d", "distance", "rank"), pin(left.join(done, "q", "left_anti"))
-
-
-def _scan(left, d, k):
-    rows = left.collect()
-    names, points = [r["q"] for r in rows], np.array([r["x"] for r in rows], dtype="float64")
-
-    def best(batches):
-        for batch in batches:
-            x, ids = np.stack(batch["x"].to_numpy()).astype("float64"), batch["d"].to_numpy()
-            for i, p in enumerate(points):
-                dist = np.sqrt(((x - p) ** 2).sum(axis=1))
-                top = np.lexsort((ids, dist))[:k]
-                yield pd.DataFrame({"q": [names[i]] * len(top), "d": ids[top], "distance": dist[top]})
-
-    kinds = dict(left.dtypes)["q"], dict(d.dtypes)["d"]
-    return _ranked(d.mapInPandas(best, f"q {kinds[0]}, d {kinds[1]}, distance double"), k).select("q", "d", "distance", "rank")
-
-
-def impute_knn(df, c, helpers, key, k=5):
-    """Fill nulls by the mean of the k nearest rows over the helper columns (a helper's nulls count as its median)."""
-    k = max(1, min(k, df.count() // 20))
-    mid = quantile_values(df, helpers, [0.5])
-    frame = df.select(key, as_double(c).alias("_t"), *[F.coalesce(as_double(h), F.lit(mid[h][0])).alias(h) for h in helpers])
-    donors = frame.filter(F.col("_t").isNotNull())
-    near = nearest(frame.filter(F.col("_t").isNull()), donors.withColumnRenamed(key, "_donor"), helpers, k, key, "_donor")
-    fill = near.join(donors.select(col(key).alias("_donor"), "_t"), "_donor").groupBy(key).agg(F.avg("_t").alias("_fill"))
-    return df.join(fill, key, "left").withColumn(c, F.coalesce(as_double(c), F.col("_fill"))).select(*df.columns)
-
-
 # ---- isolation forest
 
 

@@ -1,11 +1,13 @@
 """Hand-computed tables, planted truths and invariants."""
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridsight.functions import special
-from gridsight.operators import charts, forecast, learn, quality, relational, roles, series
+from gridsight.operators import charts, forecast, learn, neighbours, quality, relational, roles, series
 from gridsight.operators import clean as cleaning
 from gridsight.operators import ordered
 from gridsight.operators import profile as p
@@ -87,7 +89,7 @@ def test_nearest_on_grid_is_exact(spark):
     d = np.concatenate([np.zeros((200, 2)), rng.normal(0, 1, (200, 2)), rng.normal(20, 0.1, (100, 2))])
     q = np.concatenate([rng.normal(0, 2, (60, 2)), [[1000.0, -1000.0]]])
     frame = lambda a, key: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{key} int, x double, y double")
-    got = learn.nearest(frame(q, "q"), frame(d, "d"), ["x", "y"], 4, "q", "d", scan_limit=5).orderBy("q", "rank").collect()
+    got = neighbours.nearest(frame(q, "q"), frame(d, "d"), ["x", "y"], 4, "q", "d", cell_rows=16, slice_rows=7).orderBy("q", "rank").collect()
     want = brute_knn(q, d, 4)
     assert {i: [r["d"] for r in got if r["q"] == i] for i in want} == want
 
@@ -185,14 +187,14 @@ def test_roles_of_fixture(spark):
     assert got["date_col"] == "datetime" and got["numeric_col"] == "id"
 
 
-@pytest.mark.parametrize("scan_limit", [3, 1000])
-def test_nearest_with_fewer_donors_than_wanted(spark, scan_limit):
+@pytest.mark.parametrize("cell_rows", [1, 1000])
+def test_nearest_with_fewer_donors_than_wanted(spark, cell_rows):
     """Two donors and five wanted: every query gets both, by either plan."""
     prices = [(i, float(i * i % 37), 0.0) for i in range(40)]
     donors = [(1, 5.0, 0.0), (2, 30.0, 0.0)]
     q = spark.createDataFrame(prices, "q long, price double, one double")
     d = spark.createDataFrame(donors, "d long, price double, one double")
-    got = learn.nearest(q, d, ["price", "one"], 5, "q", "d", scan_limit=scan_limit).collect()
+    got = neighbours.nearest(q, d, ["price", "one"], 5, "q", "d", cell_rows=cell_rows).collect()
     want = []
     for i, price, _ in prices:
         near = sorted((abs(price - x), k) for k, x, _ in donors)
@@ -200,6 +202,51 @@ def test_nearest_with_fewer_donors_than_wanted(spark, scan_limit):
     assert sorted((r["q"], r["d"], r["distance"], r["rank"]) for r in got) == sorted(want)
 
 
+def sparse_distance(a, b):
+    shared = [(x, y) for x, y in zip(a, b) if x is not None and y is not None]
+    return math.sqrt(len(a) / len(shared) * sum((x - y) ** 2 for x, y in shared)) if shared else None
+
+
+@pytest.mark.parametrize("cell_rows, slice_rows", [(8192, 32768), (10, 25)])
+def test_nearest_with_nulls_on_three_axes(spark, cell_rows, slice_rows):
+    """All patterns of nulls, a hot cell, repeated points, rows without any axis and a donor pattern that hardly anyone has."""
+    rng = np.random.default_rng(5)
+
+    def points(n, odds):
+        x = rng.normal(0, 3, (n, 3)).round(1)
+        x[: n // 3] = [1.0, 2.0, 3.0]
+        return [(i, *[None if rng.random() < odds else float(v) for v in row]) for i, row in enumerate(x)]
+
+    q = [*points(200, 0.3), (900, None, None, None)]
+    d = [*points(300, 0.3), (901, None, None, None), (902, 1.0, 2.0, 3.0)]
+    fields = "long, a double, b double, c double"
+    got = neighbours.nearest(spark.createDataFrame(q, f"q {fields}"), spark.createDataFrame(d, f"d {fields}"), ["a", "b", "c"], 4, "q", "d", cell_rows, slice_rows).collect()
+    want = {}
+    for i, *x in q:
+        near = sorted((dist, j) for j, *y in d if (dist := sparse_distance(x, y)) is not None)
+        want[i] = near[:4]
+    for i, near in want.items():
+        mine = sorted((r["rank"], r["d"], r["distance"]) for r in got if r["q"] == i)
+        assert [r[0] for r in mine] == list(range(1, len(near) + 1))
+        assert [r[2] for r in mine] == pytest.approx([n[0] for n in near])
+        assert {r[1] for r in mine if r[2] < near[-1][0] - 1e-9} == {j for dist, j in near if dist < near[-1][0] - 1e-9}
+
+
+def test_neighbours_that_share_no_axis(spark):
+    fields = "long, a double, b double"
+    q = spark.createDataFrame([(1, 1.0, None), (2, None, 1.0)], f"q {fields}")
+    d = spark.createDataFrame([(i, float(i), None) for i in range(9)] + [(50, None, 4.0)], f"d {fields}")
+    got = sorted((r["q"], r["d"]) for r in neighbours.nearest(q, d, ["a", "b"], 2, "q", "d").collect())
+    assert got == [(1, 0), (1, 1), (2, 50)]
+    assert neighbours.nearest(q, d.limit(0), ["a", "b"], 2, "q", "d").count() == 0 and neighbours.nearest(q.limit(0), d, ["a", "b"], 2, "q", "d").count() == 0
+
+
+def test_imputation_falls_back_to_the_mean(spark):
+    t = spark.createDataFrame([(i, float(i % 5), float(i), "own") for i in range(60)] + [(100, 2.0, None, "own"), (101, None, None, "own")], "key long, h double, v double, fill string")
+    got = {r["key"]: r for r in neighbours.impute_knn(t, "v", ["h"], "key").collect()}
+    assert got[100]["v"] == pytest.approx((2 + 7 + 12) / 3) and got[101]["v"] == pytest.approx(29.5) and got[5]["v"] == 5 and {r["fill"] for r in got.values()} == {"own"}
+
+
 def test_registered_neighbour_queries_search_whole_tables():
     from gridsight import catalog
     names, sql = catalog.load()
