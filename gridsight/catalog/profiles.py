@@ -261,6 +261,25 @@ def a15_partial_profile(spark, sf):
     return t.withColumns({"total_sq": F.round(F.col("total_sq") / 1e6, 1), "m2": F.round(F.col("m2") / 1e6, 1), "total": F.round("total", 1)})
 
 
+SKETCHED = ["l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]
+
+
+def yearly_sketches(spark, sf):
+    return p.sketch_profile(table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")), "year", *SKETCHED)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n, count(DISTINCT {c}) AS distinct_values, quantile_disc({c}, .25) AS q25, quantile_disc({c}, .5) AS median, quantile_disc({c}, .75) AS q75 FROM lineitem""" for c in SKETCHED[0])
+       + "".join(f" UNION ALL SELECT '{c}', count(*), count(DISTINCT {c}), NULL, NULL, NULL FROM lineitem" for c in SKETCHED[1]))
+def a15_merge_sketches(spark, sf):
+    """Columns of few values, whose quartiles lie well inside a value: sketches must give the exact ones."""
+    return p.merge_sketches(yearly_sketches(spark, sf)).select("column", "n", "distinct_values", *[F.col("q")[i].alias(n) for i, n in enumerate(["q25", "median", "q75"])])
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank FROM lineitem GROUP BY 2""" for c in SKETCHED[1]))
+def a15_merge_frequent_sketches(spark, sf):
+    return p.merge_top(yearly_sketches(spark, sf))
+
+
 TOP = """SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS rank FROM {t} GROUP BY 2 QUALIFY rank <= 10"""
 
 

@@ -71,3 +71,13 @@ def w4_profile_streamed(spark, sf):
 @query("""SELECT 'event_type' AS "column", event_type AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS rank, first_value(event_type) OVER (ORDER BY count(*) DESC, event_type) AS mode FROM events GROUP BY 2""")
 def w4_profile_counts_streamed(spark, sf):
     return streamed_profile(spark, sf)[1]
+
+
+@query("""SELECT 'event_type' AS "column", event_type AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS rank, (SELECT count(DISTINCT event_type) FROM events) AS distinct_values, (SELECT count(value) FROM events) AS numbers FROM events GROUP BY 2""")
+def w4_sketches_streamed(spark, sf):
+    """Frequent values and distinct counts merged from the sketches of a stream's micro-batches."""
+    path = scratch_folder(spark)
+    m.stream_sketches(event_stream(spark, sf), f"{path}/out", ["value"], ["event_type"], f"{path}/state").awaitTermination()
+    facts, top = m.read_sketches(spark, f"{path}/out")
+    sizes = facts.groupBy().agg(F.max(F.when(F.col("column") == "event_type", F.col("distinct_values"))).alias("distinct_values"), F.max(F.when(F.col("column") == "value", F.col("n"))).alias("numbers"))
+    return top.crossJoin(F.broadcast(sizes))

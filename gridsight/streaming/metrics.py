@@ -6,7 +6,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.common import as_double, col
 from ..operators.ordered import over_rows, with_row_index
-from ..operators.profile import merge_counts, merge_numeric, partial_profile
+from ..operators.profile import merge_counts, merge_numeric, merge_sketches, merge_top, partial_profile, sketch_profile
 
 
 def _windowed(df, ts, by, ok, latency, window):
@@ -103,13 +103,14 @@ def stream_moving_mean(stream, by, value, order, key, n=5):
     return stream.groupBy(by).transformWithStateInPandas(MovingMean(n, value, order, key), "group string, request long, mean double", "Append", "None")
 
 
-def stream_profile(stream, path, numeric, categorical, checkpoint=None):
-    """Start a query that writes each micro-batch's partial profile; ``read_profile`` merges them.
+def stream_profile(stream, path, numeric, categorical, checkpoint=None, partial=partial_profile):
+    """Start a query that writes each micro-batch's partial profile; ``read_profile`` merges them. With
+    ``partial=sketch_profile`` partials have a fixed size, and ``read_sketches`` merges them.
 
     A batch has a folder of its own, so a batch that is run again replaces its own partials.
     """
     def write(batch, number):
-        parts = partial_profile(batch.withColumn("_batch", F.lit(number)), "_batch", numeric, categorical)
+        parts = partial(batch.withColumn("_batch", F.lit(number)), "_batch", numeric, categorical)
         parts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).trigger(availableNow=True)
@@ -122,6 +123,17 @@ def read_profile(spark, path):
     return merge_numeric(parts), merge_counts(parts)
 
 
+def stream_sketches(stream, path, numeric, categorical, checkpoint=None):
+    """``stream_profile`` with partials of a fixed size."""
+    return stream_profile(stream, path, numeric, categorical, checkpoint, sketch_profile)
+
+
+def read_sketches(spark, path, quantiles=(0.25, 0.5, 0.75), top=10):
+    """(quantiles and distinct counts, frequent values) merged over all batches written so far."""
+    parts = spark.read.parquet(path)
+    return merge_sketches(parts, quantiles), merge_top(parts, top)
+
+
 def run_to_table(stream, path, checkpoint, mode="append"):
     """Run a streaming frame over its available input and return what it wrote."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
