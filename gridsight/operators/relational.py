@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import all_of, any_of, as_double, col, distinct_table, metric_table, numeric_columns, small, union_all
+from .common import all_of, any_of, as_double, col, metric_table, numeric_columns, small, union_all
 from .ordered import fill_forward, hash_rank, take_smallest, with_row_index
 
 # ---- projection, predicates and row changes
@@ -195,33 +195,51 @@ def map_labels(df, c, mapping, default="unknown", name="mapped"):
     return df.join(F.broadcast(table), col(c) == F.col("_label"), "left").drop("_label").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def fk_candidates(tables):
-    """(child_table, child_column, parent_table, parent_column): values all found in a unique parent column.
+WORD_BITS = 63
+
+
+def inclusions(tables):
+    """(child_table, child_column, parent_table, parent_column, parent_is_key): every column of whole numbers or text
+    whose values (nulls aside) all occur in a column of another table of the same kind.
 
-    Ranges and distinct counts from one aggregate per table rule out most pairs before any join.
+    An inverted index in one pass: each distinct value knows the set of columns that hold it, as bits; the columns
+    that hold all values of a column are the intersection (``bit_and``) of the sets of its values. The number of jobs does
+    not depend on the number of columns, and a value that many rows share is counted before it moves.
     """
-    facts = {}
-    for name, df in tables.items():
-        cols = [f.name for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.StringType))]
-        text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-        t = metric_table(df, cols, {
-            "rows": lambda c: F.count(F.lit(1)), "n": lambda c: F.count(col(c)),
-            "lo": lambda c: F.min(col(c)).cast("string"), "hi": lambda c: F.max(col(c)).cast("string")})
-        t = t.join(distinct_table(df, cols).withColumnRenamed("distinct_values", "d"), "column")
-        for r in t.collect():
-            if r["d"]:
-                as_value = str if r["column"] in text else int
-                facts[name, r["column"]] = (r["column"] in text, r["rows"] == r["d"] == r["n"], r["d"], as_value(r["lo"]), as_value(r["hi"]))
-    found = []
-    for (ct, cc), (text, _, d, lo, hi) in facts.items():
-        for (pt, pc), (ptext, unique, pd, plo, phi) in facts.items():
-            if ct == pt or not unique or text != ptext or d > pd or lo < plo or hi > phi:
-                continue
-            child = tables[ct].select(col(cc).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-            if child.join(tables[pt].select(col(pc).alias("_v")), "_v", "left_anti").isEmpty():
-                found.append((ct, cc, pt, pc))
+    names = [(t, f.name, isinstance(f.dataType, T.StringType)) for t, df in tables.items() for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.StringType))]
+    number = {(t, c): i for i, (t, c, _) in enumerate(names)}
+    long = []
+    for t, df in tables.items():
+        own = [(c, text) for u, c, text in names if u == t]
+        if own:
+            cells = F.array(*[F.struct(F.lit(number[t, c]).alias("c"), F.lit(text).alias("text"), col(c).cast("string").alias("v")) for c, text in own])
+            long.append(df.select(F.explode(cells).alias("_e")).select("_e.*"))
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(found, "child_table string, child_column string, parent_table string, parent_column string")
+    schema = "child_table string, child_column string, parent_table string, parent_column string, parent_is_key boolean"
+    if not long:
+        return spark.createDataFrame([], schema)
+    words = -(-len(names) // WORD_BITS)
+    counted = union_all(long).groupBy("text", "v", "c").agg(F.count(F.lit(1)).alias("n"))
+    bit = lambda w: F.when(F.floor(F.col("c") / WORD_BITS) == w, F.expr(f"shiftleft(1L, c % {WORD_BITS})")).otherwise(F.lit(0).cast("long"))
+    sets = counted.groupBy("text", "v").agg(F.collect_list(F.struct("c", "n")).alias("held"), *[F.bit_or(bit(w)).alias(f"w{w}") for w in range(words)])
+    each = sets.select("v", *[f"w{w}" for w in range(words)], F.explode("held").alias("_h"))
+    has = F.col("v").isNotNull()
+    per = each.groupBy("_h.c").agg(
+        F.count_if(has).alias("distinct"), F.max(~has | (F.col("_h.n") > 1)).alias("repeats"), *[F.bit_and(F.when(has, F.col(f"w{w}"))).alias(f"w{w}") for w in range(words)])
+    found = []
+    rows = {r["c"]: r for r in per.collect()}  # a row per column
+    for i, r in rows.items():
+        if not r["distinct"]:
+            continue
+        for j, (t, c, _) in enumerate(names):
+            if t != names[i][0] and r[f"w{j // WORD_BITS}"] >> j % WORD_BITS & 1:
+                found.append((names[i][0], names[i][1], t, c, not rows[j]["repeats"]))
+    return spark.createDataFrame(found, schema)
+
+
+def fk_candidates(tables):
+    """(child_table, child_column, parent_table, parent_column): values all found in a unique parent column without nulls."""
+    return inclusions(tables).filter("parent_is_key").drop("parent_is_key")
 
 
 def link_endpoints(links, source="source", target="target"):
