@@ -78,7 +78,7 @@ URL_RULES = (
 @query
 def op9_url_filter(spark, folder):
     pages = table(spark, folder, "pages")
-    return urls.filter_urls(pages.select("page_id", "url"), urls.mirror_urls(pages), URL_RULES).drop("canonical")
+    return urls.filter_urls(pages.select("page_id", "url"), urls.listed_urls(pages), URL_RULES).drop("canonical")
 
 
 @query

@@ -44,7 +44,7 @@ c AS (SELECT page_id, html, coalesce(translate(h, {A_Z}), '') host, coalesce(reg
   regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '') q FROM b),
 u AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END canonical FROM c),
 k AS (SELECT canonical, min(canonical) OVER (PARTITION BY sha256(html)) first FROM u WHERE strlen(html) >= 100 AND canonical IS NOT NULL),
-listed AS (SELECT DISTINCT canonical FROM k WHERE canonical > first)"""
+listed AS (SELECT canonical FROM k WHERE canonical > first UNION SELECT canonical FROM u WHERE canonical IS NOT NULL AND (len(regexp_extract_all(html, '###|[*][*][*]|%%%')) >= 10 OR len(regexp_extract_all(html, '<p>')) < 2))"""
 
 SQL["op9_url_filter"] = _URL_PARTS + """,
 rules(outcome, rule, domain, prefix) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),

@@ -61,6 +61,20 @@ def mirror_urls(pages, url="url", payload="html", least_bytes=100):
     return seen.join(first.filter("first < last"), "digest").filter("canonical > first").select("canonical").distinct()
 
 
+def poor_urls(pages, url="url", payload="html", junk=10, paragraphs=2):
+    """Canonical URLs that serve a payload with at least ``junk`` runs of three equal signs ``#``, ``*`` or ``%``, or with
+    fewer than ``paragraphs`` paragraphs. A null payload is not judged."""
+    runs = F.regexp_count(col(payload).cast("string"), F.lit(r"###|\*\*\*|%%%"))
+    marks = F.regexp_count(col(payload).cast("string"), F.lit("<p>"))
+    found = pages.filter((runs >= junk) | (marks < paragraphs)).select(canonical_url(col(url)).alias("canonical"))
+    return found.filter("canonical is not null").distinct()
+
+
+def listed_urls(pages, url="url", payload="html"):
+    """The production list, made from the pages themselves: URLs of poor payloads and of copied payloads."""
+    return poor_urls(pages, url, payload).unionByName(mirror_urls(pages, url, payload))
+
+
 def _hashes(name):
     return F.xxhash64(name), F.xxhash64(name, F.lit("bit"))
 
