@@ -117,3 +117,17 @@ class Memory:
         if len(self.young) >= self.most:
             self.young, self.old = {}, self.young
         self.young[key] = value
+
+    def known(self, keys):
+        """{key: value or None}; what the old generation knows moves on."""
+        out = dict(zip(keys, map(self.young.get, keys)))
+        again = {k: value for k in [k for k, v in out.items() if v is None] if (value := self.old.get(k)) is not None}
+        self.put_all(again)
+        out.update(again)
+        return out
+
+    def put_all(self, found, longest=64):
+        """Remember many at once, but for long keys; a generation may exceed its size by one such call."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young.update({k: v for k, v in found.items() if len(k) < longest})

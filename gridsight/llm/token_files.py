@@ -12,7 +12,9 @@ An empty table gives an empty manifest. Other columns are ignored.
 """
 import json
 import os
+import re
 import zlib
+from itertools import chain, compress
 from struct import pack
 
 import numpy as np
@@ -27,9 +29,8 @@ from .common import Memory, byte_texts, in_batches, kept_by_process, read_file,
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 22
-REMEMBERED = 3 << 17
+REMEMBERED = 5 << 17
 MANIFEST = "path string, part int, seq int, docs long, tokens long"
-END_MARKS = b".,!?;:"
 
 
 class Codes:
@@ -118,11 +119,19 @@ class TokenFile:
         return cls(*parts[:4], Codes(parts[4:4 + n], parts[4 + n:]))
 
 
+# The tokenizer's split pattern over the characters of ``PLAIN``, in lower case; its normalizer changes nothing else there.
+PLAIN = re.compile("[!-~¡¿«»À-ÖØ-öø-įı-ſ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|\n|[^a-zß-öø-įı-ſ0-9\n]+")
+JOINED = 200
+
+
 class ChunkTokenizer:
-    """The library's tokenizer, called once for each chunk between ASCII white space that is not remembered.
+    """The library's tokenizer, asked for what is not remembered only.
 
-    Its normalizer and its split pattern never look across white space, so chunks may be encoded apart. Closing marks after a
-    letter are a match of their own and are encoded apart, too; ASCII words are lower-cased first, as the normalizer does.
+    Its normalizer and its split pattern never look across white space, so texts fall into chunks between ASCII white space.
+    A chunk of plain characters is lower-cased and cut into the pieces that the split pattern makes of it; pieces that are not
+    remembered are encoded many at a time, joined by spaces, and the ids are cut after tokens that end a word. All other
+    chunks, and those that may hold special tokens, go to the library as they are.
     """
 
     def __init__(self, path):
@@ -132,41 +141,57 @@ class ChunkTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.memory = Memory(REMEMBERED)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one_by_one(self, texts):
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces):
+        """The ids of each piece as bytes."""
+        groups = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
+        out = []
+        for group, encoded in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(group):
+                out += self._one_by_one(group)
+                continue
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
 
-    def _words(self, chunk):
-        """The parts of a chunk that are encoded apart."""
-        core = chunk.rstrip(END_MARKS)
-        plain = chunk.isascii() and b"<|" not in chunk
-        if len(core) == len(chunk) or not core or not (core[-1:].isalpha() if core[-1] < 128 else core.decode()[-1].isalpha()):
-            return [chunk.lower() if plain else chunk]
-        return [core.lower() if plain else core, chunk[len(core):]]
+    def _missing(self, chunks):
+        """{chunk: ids as bytes} of chunks that are not remembered."""
+        alpha = [c for c in chunks if c.isalpha()]
+        rest = [c for c in chunks if not c.isalpha()]
+        texts = b"\n".join(rest).decode().split("\n") if rest else []
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        words = b"\n".join(alpha).lower().decode().split("\n") if alpha else []
+        # Chunks hold no white space, so one pass cuts them all; a line break stands between any two.
+        flat = PIECES.findall("\n".join(compress(texts, plain)).lower())
+        pieces = self.memory.known({*words, *flat} - {"\n"})
+        new = [p for p, value in pieces.items() if value is None]
+        encoded = dict(zip(new, self._pieces(new)))
+        pieces.update(encoded)
+        found = dict(zip(alpha, map(pieces.__getitem__, words)))
+        pieces["\n"] = b""
+        values = list(map(pieces.__getitem__, flat))
+        breaks = [i for i, p in enumerate(flat) if p == "\n"]
+        found.update(zip(compress(rest, plain), [b"".join(values[i:j]) for i, j in zip([0, *breaks], [*breaks, len(flat)])]))
+        other = [c for c, ok in zip(rest, plain) if not ok]
+        found.update(zip(other, self._one_by_one([c.decode() for c in other])))
+        self.memory.put_all(encoded)
+        self.memory.put_all(found)
+        return found
 
     def encode(self, texts):
         """An array of ids for each text, given as UTF-8 bytes."""
         split = [t.split() for t in texts]
-        recent, memory = self.memory.young, self.memory
-        known = [list(map(recent.get, chunks)) for chunks in split]
-        here, missing, asked = {}, {}, {}
-        for chunk in {c for chunks, parts in zip(split, known) for c, part in zip(chunks, parts) if part is None}:
-            found = memory.get(chunk)
-            if found is None:
-                missing[chunk] = parts = self._words(chunk)
-                for word in parts:
-                    if word not in asked:
-                        asked[word] = memory.get(word)
-            else:
-                here[chunk] = found
-        new = [w for w, found in asked.items() if found is None]
-        for word, encoded in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            ids = encoded.ids
-            asked[word] = value = pack(f"<{len(ids)}I", *ids)
-            if len(word) < 64:
-                memory.put(word, value)
-        for chunk, parts in missing.items():
-            here[chunk] = value = b"".join([asked[w] for w in parts])
-            if parts[0] != chunk and len(chunk) < 64:
-                memory.put(chunk, value)
-        return [np.frombuffer(b"".join([here[c] if part is None else part for c, part in zip(chunks, parts)]), dtype="<u4") for chunks, parts in zip(split, known)]
+        ids = self.memory.known(set(chain.from_iterable(split)))
+        ids.update(self._missing([c for c, value in ids.items() if value is None]))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, chunks)), dtype="<u4") for chunks in split]
 
 
 def tokenizer(path):
@@ -174,7 +199,7 @@ def tokenizer(path):
     return kept_by_process(("chunks", path), lambda: ChunkTokenizer(path))
 
 
-def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=2 << 20):
+def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=4 << 20):
     """Encode and write all documents; returns the manifest."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
