@@ -135,6 +135,15 @@ def c20_kmeans_labels_rows_with_nulls(spark, sf):
     return ln.kmeans_auto(t, ["x", "y"], max_k=3)[0].agg(F.count(F.lit(1)).alias("n"), F.count("cluster").alias("labelled"))
 
 
+@query("SELECT 0 AS cluster, count(*) AS n, 1::BIGINT AS size_is_n, CAST(NULL AS DOUBLE) AS silhouette FROM customer")
+def c20_kmeans_constant_rows(spark, sf):
+    """Rows that are all equal are one cluster."""
+    labels, summary = ln.kmeans_auto(table(spark, sf, "customer").select("c_custkey", F.lit(5.0).alias("x"), F.lit(None).cast("double").alias("y")), ["x", "y"])
+    n = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    one = summary.groupBy("cluster").agg(F.max("size").alias("size"), F.max("silhouette").alias("silhouette"))
+    return n.join(F.broadcast(one), "cluster").select("cluster", "n", (F.col("size") == F.col("n")).cast("long").alias("size_is_n"), "silhouette")
+
+
 @query("SELECT true AS close, true AS importance_sums_to_one")
 def c28_predict_regression_of_a_line(spark, sf):
     t = on_a_line(spark, sf).withColumn("row", F.xxhash64("l_orderkey", "x", F.monotonically_increasing_id()))
@@ -167,6 +176,13 @@ def c21_dbscan(spark, sf):
     return ln.dbscan(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], eps=100.0, min_samples=4, scale=False)
 
 
+@query("SELECT p_partkey, CAST(min(p_partkey) OVER (PARTITION BY p_partkey // 1000) AS VARCHAR) AS cluster FROM part")
+def c21_dbscan_chain(spark, sf):
+    """A thousand cells in a row, each linked to the next only; then a gap."""
+    t = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 0.9 + F.floor(F.col("p_partkey") / 1000) * 50).alias("x"))
+    return ln.dbscan(t, "p_partkey", ["x"], eps=1.0, min_samples=2, scale=False)
+
+
 @query()
 def c22_cluster_projection(spark, sf):
     labels, _ = ln.kmeans_auto(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])

@@ -3,9 +3,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -13,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .common import as_double, col, numeric_columns, union_all
+from .common import as_double, col, join_on, numeric_columns
+from .components import components
 from .ordered import hash_rank
 from .quantiles import quantile_values
 
@@ -107,13 +106,18 @@ def replace_outliers(df, cols, key, contamination=0.05):
 # ---- projection and importance
 
 
-def _assembled(df, cols):
-    """All rows with standardised features; a null counts as its column's mean."""
+def _standardised(df, cols):
+    """All rows with standardised columns _z0, _z1, ...; a null counts as its column's mean."""
     from .clean import standardize
     names = [f"_z{i}" for i in range(len(cols))]
     scaled = standardize(df.withColumns({n: as_double(c) for n, c in zip(names, cols)}), names)
-    scaled = scaled.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
-    return VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol="_features").transform(scaled).drop(*[f"_z{i}" for i in range(len(cols))])
+    return scaled.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+
+
+def _assembled(df, cols):
+    """All rows with standardised features as one vector."""
+    names = [f"_z{i}" for i in range(len(cols))]
+    return VectorAssembler(inputCols=names, outputCol="_features").transform(_standardised(df, cols)).drop(*names)
 
 
 def pca(df, cols, variance=0.95, k=None):
@@ -154,22 +158,114 @@ def forest_importance(df, target, cols, seed=42):
 # ---- clustering
 
 
+LEAVES = 4096
+TRIES = 5
+
+
+def cluster_features(rows, names, most=LEAVES):
+    """(n ARRAY, means, mean squared lengths) of the rows' cells in the finest grid that has about ``most`` cells at most.
+
+    The widths are powers of two, so a cell of one grid lies in one of the next coarser: one pass counts the cells of all
+    widths by sketches, a second sums up the cells of the chosen width, each task its own first."""
+    widths = [2.0 ** -i for i in range(-6, 9)]
+    cell = lambda w: [F.floor(F.col(c) / w) for c in names]
+    counts = rows.agg(*[F.approx_count_distinct(F.xxhash64(*cell(w))).alias(f"w{i}") for i, w in enumerate(widths)]).first()
+    width = next((w for i, w in reversed(list(enumerate(widths))) if counts[i] <= most), widths[0])
+    sums = rows.groupBy(*cell(width)).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], F.sum(sum(F.col(c) * F.col(c) for c in names)).alias("q"))
+    held = sums.select("n", *[f"s{i}" for i in range(len(names))], "q").toPandas()
+    # Spark gives cells in any order; the search below must not depend on it.
+    held = held.sort_values(list(held.columns)).to_numpy(dtype=float).reshape(-1, len(names) + 2)
+    n = np.maximum(held[:, 0], 1.0)
+    return held[:, 0], held[:, 1:-1] / n[:, None], held[:, -1] / n
+
+
+def _weighted_means(n, x, k, rng, rounds=100):
+    """The best of some runs of k-means on weighted points: (cost, centres, labels)."""
+    best = None
+    for _ in range(TRIES):
+        centres = x[[rng.choice(len(x), p=n / n.sum())]]
+        while len(centres) < k:
+            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) * n
+            if d.sum() <= 0:
+                break
+            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
+        label = None
+        for _ in range(rounds):
+            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+            now = d.argmin(axis=1)
+            if label is not None and (now == label).all():
+                break
+            label = now
+            for c in np.unique(label):
+                centres[c] = np.average(x[label == c], axis=0, weights=n[label == c])
+        cost = float((d.min(axis=1) * n).sum())
+        if best is None or cost < best[0] - 1e-12:
+            best = cost, centres, label
+    return best
+
+
+def _silhouette(n, x, squares, label):
+    """Of squared distances, from sums per cluster: what single points would give, but for the spread inside a cell."""
+    used, label = np.unique(label, return_inverse=True)
+    size = np.bincount(label, weights=n)
+    total = np.stack([np.bincount(label, weights=n * x[:, i]) for i in range(x.shape[1])], axis=1)
+    length = np.bincount(label, weights=n * squares)
+    away = squares[:, None] + (length / size)[None] - 2 * x @ (total / size[:, None]).T
+    own = away[np.arange(len(x)), label] * size[label] / np.maximum(size[label] - 1, 1)
+    away[np.arange(len(x)), label] = np.inf
+    other = away.min(axis=1)
+    top = np.maximum(own, other)
+    s = np.where((size[label] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1.0), 0.0)
+    return float((s * n).sum() / n.sum())
+
+
 def kmeans_auto(df, cols, max_k=10, seed=42):
-    """(labels, summary): k-means on standardised columns with the k of the best silhouette; clusters numbered by size."""
-    data = pin(_assembled(df, cols))
-    tried = []
-    for k in range(2, max_k + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_c").fit(data)
-        if model.summary.k > 1:
-            tried.append((ClusteringEvaluator(featuresCol="_features", predictionCol="_c").evaluate(model.transform(data)), -k, model))
-    score, neg, model = max(tried, key=lambda t: t[:2])
-    labelled = model.transform(data)
-    sizes = {r["_c"]: r["count"] for r in labelled.groupBy("_c").count().collect()}
-    order = {c: i for i, (c, _) in enumerate(sorted(sizes.items(), key=lambda x: (-x[1], x[0])))}
-    number = F.get(F.array(*[F.lit(order.get(c, -1)) for c in range(-neg)]), F.col("_c"))
-    labels = labelled.withColumn("cluster", number).drop("_features", "_c")
-    centres = [(order[c], sizes[c], float(score), name, float(model.clusterCenters()[c][i])) for c in sizes for i, name in enumerate(cols)]
-    return labels, df.sparkSession.createDataFrame(centres, "cluster int, size long, silhouette double, column string, centre double")
+    """(labels, summary): k-means on standardised columns with the k of the best silhouette; clusters numbered by size.
+
+    All k are fitted and judged on cluster features, a bounded summary of the rows; then each row gets its nearest
+    centre. k is at most the number of distinct cells; rows that are all equal are one cluster without a silhouette.
+    """
+    names = [f"_z{i}" for i in range(len(cols))]
+    data = pin(_standardised(df, cols))
+    n, x, squares = cluster_features(data, names)
+    score, centres = None, np.zeros((1, len(cols)))
+    for k in range(2, min(max_k, len(n)) + 1):
+        _, found, label = _weighted_means(n, x, k, np.random.default_rng(seed))
+        if len(np.unique(label)) > 1:
+            here = _silhouette(n, x, squares, label)
+            if score is None or here > score:
+                score, centres = here, found[np.unique(label)]
+    away = [sum((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(names, centre)) for centre in centres]
+    nearest = F.array_position(F.array(*away), F.array_min(F.array(*away))).cast("int") - 1
+    labelled = pin(data.withColumn("_c", nearest))
+    means = labelled.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).collect()
+    order = {r["_c"]: i for i, r in enumerate(sorted(means, key=lambda r: (-r["n"], *[r[c] for c in names])))}
+    number = F.get(F.array(*[F.lit(order.get(c, -1)) for c in range(len(centres))]), F.col("_c"))
+    labels = labelled.withColumn("cluster", number).drop(*names, "_c")
+    rows = [(order[r["_c"]], r["n"], score, name, float(r[z])) for r in means for name, z in zip(cols, names)]
+    return labels, df.sparkSession.createDataFrame(rows, "cluster int, size long, silhouette double, column string, centre double")
+
+
+def _linked_cells(core, links, axes, side, eps):
+    """The pairs of cells (a, b) of ``links`` that have core points within eps of each other.
+
+    Each cell's points are summed up in sub-cells with exact envelopes. Two envelopes that lie wholly within eps settle a pair,
+    two that lie apart say nothing; points are compared only between the others, and only for pairs that are open.
+    """
+    fine = side / (4 if axes <= 2 else 2)
+    points = core.withColumn("s", F.transform("x", lambda v: F.floor(v / fine)))
+    ends = lambda f: F.array(*[f(F.get("x", F.lit(i))) for i in range(axes)])
+    subs = pin(points.groupBy("c", "s").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi")))
+    of = lambda c: subs.select(F.col("c").alias(c), F.col("s").alias(f"s{c}"), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}"))
+    over = lambda u, v: F.zip_with(u, v, lambda x, y: x - y)
+    length = lambda p, q, least: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: F.greatest(x, y, F.lit(least))), F.lit(0.0), lambda t, v: t + v * v))
+    near = links.join(of("a"), "a").join(of("b"), "b")
+    near = near.withColumn("gap", length(over("lob", "hia"), over("loa", "hib"), 0.0)).withColumn("span", length(over("hib", "loa"), over("hia", "lob"), 0.0))
+    near = pin(near.filter(F.col("gap") <= eps).select("a", "b", "sa", "sb", (F.col("span") <= eps).alias("sure")))
+    sure = near.filter("sure").select("a", "b").distinct()
+    left = near.join(sure, ["a", "b"], "left_anti").join(points.select(F.col("c").alias("a"), F.col("s").alias("sa"), "x"), ["a", "sa"])
+    open_ = left.join(points.select(F.col("c").alias("b"), F.col("s").alias("sb"), F.col("x").alias("y")), ["b", "sb"]).filter(_distance(F.col("x"), F.col("y")) <= eps)
+    return sure.unionByName(open_.select("a", "b").distinct())
 
 
 def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
@@ -213,19 +309,12 @@ def dbscan(df, key, cols, eps=0.5, min_samples=None, scale=True):
     some = open_.join(extra, "k", "left").filter(F.col("m") + F.coalesce("e", F.lit(0)) >= need).select("k")
     core_keys = sure.filter(F.col("m") >= need).select("k").unionByName(some).unionByName(points.join(cells.filter(F.col("n") >= need), "c").select("k"))
     core = pin(points.join(core_keys, "k", "left_semi"))
-    # Cells are linked when some pair of their core points lies within eps.
     core_cells = core.groupBy("c").agg(F.min("k").alias("label"))
     links = touching.filter(F.col("a") < F.col("b")).select("a", "b").join(core_cells.select(F.col("c").alias("a")), "a", "left_semi").join(core_cells.select(F.col("c").alias("b")), "b", "left_semi")
-    left_side = links.join(core.select(F.col("c").alias("a"), "x"), "a").filter(length(corner("b", False)) <= eps)
-    linked = left_side.join(core.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").filter(_distance(F.col("x"), F.col("y")) <= eps).select("a", "b").distinct()
-    edges = pin(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = pin(core_cells)
-    while True:
-        passed = edges.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("new"))
-        step = pin(labels.join(passed, "c", "left").select("c", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("moved")))
-        labels = step.select("c", "label")
-        if step.filter("moved").isEmpty():
-            break
+    linked = _linked_cells(core, links, len(cols), side, eps)
+    name = lambda c: core_cells.select(F.col("c").alias(c), F.col("label").alias(f"_{c}"))
+    roots, _ = components(linked.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    labels = core_cells.join(roots, F.col("label") == F.col("node"), "left").select("c", F.coalesce("root", "label").alias("label"))
     core_labels = core.join(labels, "c").select("k", "x", "c", F.col("label").cast("string").alias("cluster"), "label")
     loose = points.join(core.select("k"), "k", "left_anti").select("k", "x", F.col("c").alias("a"))
     border = loose.join(touching.select("a", "b"), "a").join(core_labels.select(F.col("x").alias("y"), F.col("c").alias("b"), "label"), "b").filter(
@@ -299,11 +388,11 @@ def classification_metrics(pred):
 
 
 def confusion_matrix(pred):
-    """Counts of every (actual, predicted) pair of labels, zeros included; bounded by the number of labels."""
+    """Counts of every (actual, predicted) pair of labels, zeros included: the square of the label table, which is small beside the rows."""
     cells = pred.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    labels = sorted({r[0] for r in cells.select("actual").distinct().collect()} | {r[0] for r in cells.select("predicted").distinct().collect()})
-    grid = pred.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], cells.select("actual", "predicted").schema)
-    return grid.join(F.broadcast(cells) if len(labels) <= 300 else cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    labels = pin(cells.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct())
+    grid = labels.withColumnRenamed("label", "actual").crossJoin(labels.withColumnRenamed("label", "predicted"))
+    return join_on(grid, cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def actual_vs_predicted(pred, key):
