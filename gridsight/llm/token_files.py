@@ -99,6 +99,17 @@ class TokenFile:
     def document(self, i):
         return self.tokens(np.arange(self.starts[i], self.starts[i + 1]))
 
+    def documents(self, most=1 << 18):
+        """The ids of every document in turn; up to ``most`` tokens of neighbouring documents are looked up at once."""
+        first = 0
+        while first < len(self.doc_ids):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, side="right")) - 1)
+            last = min(last, len(self.doc_ids))
+            found = self.tokens(np.arange(self.starts[first], self.starts[last]))
+            cuts = (self.starts[first:last + 1] - self.starts[first]).tolist()
+            yield from (found[a:b] for a, b in zip(cuts, cuts[1:]))
+            first = last
+
     def to_bytes(self):
         parts = [self.doc_ids, self.valid, self.starts, self.names, *self.codes.levels, *self.codes.bitmaps]
         head = json.dumps({"levels": len(self.codes.levels), "parts": [[p.dtype.str, len(p)] for p in parts]}).encode()
@@ -255,12 +266,12 @@ def read_files(manifest, ids=False):
                     file = TokenFile.from_bytes(source.read())
                 if len(file.codes) != tokens:
                     raise ValueError(f"{path} has {len(file.codes)} tokens, {tokens} were written")
-                found = [file.document(i) for i in range(len(file.doc_ids))]
+                found = [(zlib.crc32(d), d.astype(np.int32) if ids else None) for d in file.documents()]
                 columns = [
                     pa.array(file.doc_ids, mask=file.valid == 0), pa.array(file.starts[:-1] + first), pa.array(np.diff(file.starts)),
-                    pa.array([zlib.crc32(d.tobytes()) for d in found], pa.int64())]
+                    pa.array([f[0] for f in found], pa.int64())]
                 if ids:
-                    columns.append(pa.array([d.astype(np.int32) for d in found], pa.list_(pa.int32())))
+                    columns.append(pa.array([f[1] for f in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     files = with_starts(manifest).select("path", "start", "tokens")
