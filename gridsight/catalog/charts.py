@@ -209,6 +209,14 @@ def v28_gantt(spark, sf):
     return round_doubles(ch.gantt(t, "a", "b", "event_type", "user_id"))
 
 
+@query("""WITH z AS (SELECT s_suppkey, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS a, (s_acctbal * 0.5 + s_suppkey - avg(s_acctbal * 0.5 + s_suppkey) OVER ()) / stddev_pop(s_acctbal * 0.5 + s_suppkey) OVER () AS b FROM supplier)
+  SELECT s_suppkey, round((a+b)/sqrt(2),4) + 0.0 AS pc1, round(abs(a-b)/sqrt(2),4) AS pc2 FROM z""")
+def v30_pca_of_two_columns(spark, sf):
+    """At most a thousand suppliers, so all of them are drawn; the sign of the second component is free."""
+    t = rows(spark, sf, "supplier").withColumn("b", F.col("s_acctbal") * 0.5 + F.col("s_suppkey"))
+    return round_doubles(ch.pca_scatter(t, ["s_acctbal", "b"], "s_suppkey").withColumn("pc2", F.abs("pc2")))
+
+
 @query()
 def v30_pca_scatter(spark, sf):
     return round_doubles(ch.pca_scatter(rows(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey"))

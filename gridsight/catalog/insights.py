@@ -132,6 +132,12 @@ def i17_advanced_recommendations(spark, sf):
     return ins.advanced_recommendations(t, infer_roles(t))
 
 
+@query("""WITH r AS (SELECT string_agg(concat('r_regionkey: ', r_regionkey, ', r_name: ', r_name), chr(10) ORDER BY r_regionkey) AS t, count(*) AS n FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 3))
+  SELECT concat((SELECT count(*) FROM region), ' rows, 2 columns', chr(10), '- r_regionkey (', (SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' ELSE 'int' END FROM information_schema.columns WHERE table_name = 'region' AND column_name = 'r_regionkey'), ', ', chr(10), t) AS text FROM r""".replace("', ', chr(10), t)", "', id)', chr(10), '- r_name (string, name)', chr(10), t)"))
+def i18_context_of_regions(spark, sf):
+    return ins.context_block(table(spark, sf, "region"), "r_regionkey")
+
+
 @query()
 def i18_context_block(spark, sf):
     return ins.context_block(table(spark, sf, "customer"), "c_custkey")

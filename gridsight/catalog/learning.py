@@ -63,6 +63,15 @@ def t9_isolation_forest(spark, sf):
     return ln.isolation_forest(t, ["price", "k", "d"], "o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 7")
+def t9_forest_of_planted_outliers(spark, sf):
+    """One order in a hundred is far off in two columns; exactly those have the highest scores."""
+    far = F.col("o_orderkey") % 100 == 7
+    t = table(spark, sf, "orders").select("o_orderkey", F.when(far, F.col("o_totalprice") * 40 + 1e7).otherwise(F.col("o_totalprice")).alias("price"), F.when(far, -5000.0).otherwise(F.dayofyear("o_orderdate").cast("double")).alias("day"))
+    scored = ln.isolation_forest(t, ["price", "day"], "o_orderkey", contamination=0.05)
+    return scored.orderBy(F.desc("anomaly_score")).limit(t.filter(far).count()).select("o_orderkey")
+
+
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -176,6 +185,17 @@ def c21_dbscan(spark, sf):
     return ln.dbscan(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], eps=100.0, min_samples=4, scale=False)
 
 
+# Of two standardised columns the components are their sum and difference over the root of two.
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 3 AS centre, (c_custkey % 3) * 100 + c_acctbal / 1e5 AS x, (c_custkey % 3) * (c_custkey % 3) * 100 + c_nationkey / 1e3 AS y FROM customer),
+  z AS (SELECT c_custkey, centre, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS a, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS b FROM t)
+  SELECT centre, count(*) AS n, 1::BIGINT AS clusters, round(avg((a+b)/sqrt(2)),4) AS pc1, round(avg(abs(a-b)/sqrt(2)),4) AS pc2 FROM z GROUP BY 1""")
+def c22_projection_of_three_centres(spark, sf):
+    labels, _ = ln.kmeans_auto(three_centres(spark, sf), ["x", "y"])
+    flat = ln.cluster_projection(labels, ["x", "y"], n=labels.count(), key="c_custkey")
+    return round_doubles(flat.groupBy((F.col("c_custkey") % 3).alias("centre")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"), F.avg("pc1").alias("pc1"), F.avg(F.abs("pc2")).alias("pc2")))
+
+
 @query("SELECT p_partkey, CAST(min(p_partkey) OVER (PARTITION BY p_partkey // 1000) AS VARCHAR) AS cluster FROM part")
 def c21_dbscan_chain(spark, sf):
     """A thousand cells in a row, each linked to the next only; then a gap."""

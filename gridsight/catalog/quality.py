@@ -166,6 +166,13 @@ def q16_recommendations(spark, sf):
     return q.recommendations(q.quality_metrics(dirty_orders(spark, sf), AS_OF))
 
 
+@query(ORDER_SCORES + """, s AS (SELECT *, .3*completeness+.2*consistency+.2*uniqueness+.2*integrity+.1*accuracy AS overall FROM p)
+  SELECT 'score' AS kind, unnest([0, 1, 2, 3, 4, 5]) AS position, unnest(['overall', 'completeness', 'consistency', 'uniqueness', 'integrity', 'accuracy']) AS text,
+    round(unnest([overall, completeness, consistency, uniqueness, integrity, accuracy]), 2) AS value FROM s""")
+def q17_summary_scores(spark, sf):
+    return q.quality_summary(order_metrics(spark, sf)).filter("kind = 'score'")
+
+
 @query()
 def q17_quality_summary(spark, sf):
     return q.quality_summary(q.quality_metrics(dirty_orders(spark, sf), AS_OF))

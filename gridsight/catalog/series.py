@@ -153,18 +153,39 @@ def m10_order_hint(spark, sf):
     return se.order_hint(a, se.pacf(a))
 
 
+@query(ACF + """, c AS (SELECT series_id, coalesce(min(lag) FILTER (WHERE lag > 0 AND abs(r) <= 1.96/sqrt(n)), max(lag) + 1) AS a FROM r GROUP BY 1),
+  h AS (SELECT series_id, coalesce(min(lag) FILTER (WHERE lag > 0 AND abs(r*r) <= 1.96/sqrt(n)), max(lag) + 1) AS p FROM r GROUP BY 1),
+  o AS (SELECT *, (a > 5 AND p > 5) OR (a <= 5 AND p <= 5) AS same FROM c JOIN h USING (series_id)),
+  k AS (SELECT *, CASE WHEN same THEN least(2, p) WHEN p <= 5 THEN p ELSE 0 END AS ar, CASE WHEN same THEN least(2, a) WHEN a <= 5 THEN a ELSE 0 END AS ma FROM o)
+  SELECT series_id, CAST(a AS INTEGER) AS acf_cut, CAST(p AS INTEGER) AS pacf_cut, CAST(CASE WHEN ar = 0 AND ma = 0 THEN 1 ELSE ar END AS INTEGER) AS ar_order, CAST(ma AS INTEGER) AS ma_order FROM k""")
+def m10_order_hint_of_squares(spark, sf):
+    """The rule by itself: squared autocorrelations stand for the partial ones."""
+    a = se.acf(monthly(spark, sf))
+    return se.order_hint(a, a.select("series_id", "lag", (F.col("acf") * F.col("acf")).alias("pacf"), "limit"))
+
+
 @query()
 def m11_change_points(spark, sf):
     return round_doubles(se.change_points(monthly(spark, sf)))
 
 
-@query(S + """, w AS (SELECT *, greatest(2, least(10, n//5)) AS w FROM p), z AS (SELECT a.series_id, a.pos, a.ts, a.value, a.w, abs(a.value - (SELECT avg(b.value) FROM w b WHERE b.series_id=a.series_id AND b.pos BETWEEN a.pos-a.w+1 AND a.pos))
+ZSCORES = S + """, w AS (SELECT *, greatest(2, least(10, n//5)) AS w FROM p), z AS (SELECT a.series_id, a.pos, a.ts, a.value, a.w, abs(a.value - (SELECT avg(b.value) FROM w b WHERE b.series_id=a.series_id AND b.pos BETWEEN a.pos-a.w+1 AND a.pos))
     / (SELECT stddev_samp(b.value) FROM w b WHERE b.series_id=a.series_id AND b.pos BETWEEN a.pos-a.w+1 AND a.pos) AS z FROM w a WHERE a.pos >= a.w)
-  SELECT series_id, CAST(pos AS INTEGER) AS pos, ts, round(value,3) AS value, round(z,3) AS z_score FROM z a WHERE z > 2.84 AND z > 3 AND NOT EXISTS (SELECT 1 FROM z b WHERE b.series_id=a.series_id AND abs(b.pos-a.pos) < a.w AND b.z > a.z)""")
+  SELECT series_id, CAST(pos AS INTEGER) AS pos, ts, round(value,3) AS value, round(z,3) AS z_score FROM z a WHERE z > {threshold} AND NOT EXISTS (SELECT 1 FROM z b WHERE b.series_id=a.series_id AND abs(b.pos-a.pos) < a.w AND b.z > a.z)
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY z DESC, pos) <= 5"""
+
+
+@query(ZSCORES.replace("{threshold}", "3"))
 def m12_zscore_change_points(spark, sf):
     return round_doubles(se.zscore_change_points(monthly(spark, sf)), 3)
 
 
+@query(ZSCORES.replace("{threshold}", "2"))
+def m12_zscore_change_points_above_2(spark, sf):
+    """A window of ten values can't reach 3 (its largest trailing score is 2.85), but it can reach 2."""
+    return round_doubles(se.zscore_change_points(monthly(spark, sf), threshold=2.0), 3)
+
+
 @query()
 def m13_periodicity(spark, sf):
     return round_doubles(se.periodicity(monthly(spark, sf)))
@@ -225,6 +246,54 @@ def m19_forecast_insights(spark, sf):
     return fc.forecast_insights(fc.forecast_arima(s, fc.arima_orders(s), 6), se.series_info(s).select("series_id", "last_value"))
 
 
+# The first twelve months stand for a forecast made after the thirteenth.
+KNOWN = S + """, f AS (SELECT series_id, CAST(pos + 1 AS INTEGER) AS step, ts, value AS forecast, value - 10 AS lower, value + 10 AS upper FROM p WHERE pos < 12)"""
+
+
+def known_forecast(spark, sf):
+    p = se.positions(monthly(spark, sf)).filter("pos < 13")
+    f = p.filter("pos < 12").select("series_id", (F.col("pos") + 1).cast("int").alias("step"), "ts", F.col("value").alias("forecast"), (F.col("value") - 10).alias("lower"), (F.col("value") + 10).alias("upper"))
+    return f, p.filter("pos = 12").select("series_id", F.col("value").alias("last_value"))
+
+
+@query(KNOWN + """, l AS (SELECT series_id, value AS last FROM p WHERE pos = 12), d AS (SELECT *, sign(forecast - lag(forecast) OVER x) AS sg FROM f WINDOW x AS (PARTITION BY series_id ORDER BY step)),
+  t AS (SELECT *, (sg <> lag(sg) OVER (PARTITION BY series_id ORDER BY step))::INT AS turn FROM d),
+  g AS (SELECT t.series_id, any_value(last) AS last, count(*) AS h, arg_max(forecast, step) AS final, min(sg) AS lo, max(sg) AS hi, sum(turn) AS turns, max(forecast) AS top, min(forecast) AS bottom, arg_max(step, forecast) AS top_at, arg_min(step, forecast) AS bottom_at
+    FROM t JOIN l USING (series_id) GROUP BY 1)
+  SELECT series_id, 1 AS position, printf('The forecast predicts an overall %s trend of %.1f%% over the next %d periods.', CASE WHEN final > last THEN 'increasing' ELSE 'decreasing' END, abs((final/last - 1)*100), h) AS text FROM g
+  UNION ALL SELECT series_id, 2, CASE WHEN lo > 0 THEN 'The forecast shows a consistent increasing pattern.' WHEN hi < 0 THEN 'The forecast shows a consistent decreasing pattern.' WHEN turns >= h // 2 THEN 'The forecast shows a fluctuating pattern with frequent changes in direction.'
+    ELSE 'The forecast shows some fluctuations without a clear consistent pattern.' END FROM g
+  UNION ALL SELECT series_id, 3, printf('The forecast reaches a peak value in period %d.', top_at) FROM g WHERE top > last*1.2 UNION ALL SELECT series_id, 4, printf('The forecast reaches a minimum value in period %d.', bottom_at) FROM g WHERE bottom < last*0.8""")
+def m19_insights_of_known_forecasts(spark, sf):
+    return fc.forecast_insights(*known_forecast(spark, sf))
+
+
+@query(KNOWN + " SELECT series_id, step, ts, round(forecast,3) AS forecast, round(lower,3) AS lower, round(upper,3) AS upper FROM f")
+def v29_line_of_known_forecasts(spark, sf):
+    from ..operators.charts import forecast_line
+    return round_doubles(forecast_line(known_forecast(spark, sf)[0]), 3)
+
+
+EVIDENCE = {
+    "series_id": "n_name", "stationary": "CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey % 3 = 1 END", "homoscedastic": "n_nationkey % 5 > 1", "has_seasonality": "n_nationkey % 2 = 0", "has_trend": "n_nationkey % 7 > 2",
+    "trend_direction": "CASE n_nationkey % 3 WHEN 0 THEN 'increasing' WHEN 1 THEN 'decreasing' ELSE 'no significant direction' END", "change_points": "n_nationkey % 4", "cycles": "n_nationkey % 3", "z_outliers": "n_nationkey % 6"}
+ADVICE = [
+    ("NOT stationary", "Apply differencing to make the time series stationary before modeling."), ("NOT stationary AND NOT homoscedastic", "Consider applying log or Box-Cox transformation to stabilize variance."),
+    ("has_seasonality", "Use seasonal models (like SARIMA) to capture the seasonal patterns in the data."), ("has_trend AND trend_direction = 'increasing'", "The series shows an increasing trend. Use models that can capture this movement."),
+    ("has_trend AND trend_direction = 'decreasing'", "The series shows a decreasing trend. Use models that can capture this movement."), ("has_seasonality", "SARIMA is recommended for this time series due to its seasonal patterns."),
+    ("NOT has_seasonality AND has_trend", "ARIMA with appropriate differencing is suitable for capturing the trend in this time series."),
+    ("NOT has_seasonality AND NOT has_trend", "Simple forecasting methods like ARIMA or exponential smoothing may be sufficient for this time series."),
+    ("change_points > 0", "The time series contains structural changes. Consider using piecewise models or including regime variables."), ("cycles > 0", "The detected periodicity should be incorporated into the modeling approach, possibly using Fourier terms."),
+    ("z_outliers > 0", "Consider treating outliers before modeling to improve forecast accuracy."), ("true", "If available, include relevant external variables to improve forecast accuracy."),
+    ("true", "Use time series cross-validation techniques to evaluate model performance more reliably.")]
+
+
+@query("WITH e AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in EVIDENCE.items()) + " FROM nation) " + " UNION ALL ".join(f"SELECT series_id, {i - (i > 4)} AS position, '{t}' AS text FROM e WHERE {c}" for i, (c, t) in enumerate(ADVICE, 1)))
+def m20_recommendations_of_known_evidence(spark, sf):
+    """Every rule fires for some nation and is silent for another."""
+    return se.series_recommendations(table(spark, sf, "nation").select(*[F.expr(e).alias(c) for c, e in EVIDENCE.items()]))
+
+
 @query()
 def m20_series_recommendations(spark, sf):
     return se.series_recommendations(se.series_evidence(monthly(spark, sf), 12))

@@ -259,8 +259,8 @@ def change_points(s, penalty=10.0, min_size=5, top=5):
         find, "series_id string, pos int, ts timestamp, value double, magnitude double, percent_change double")
 
 
-def zscore_change_points(s, top=5):
-    """Change points without a search: trailing z-scores above 3 that are the largest within a window's distance."""
+def zscore_change_points(s, top=5, threshold=3.0):
+    """Change points without a search: trailing z-scores above ``threshold`` that are the largest within a window's distance."""
     t = positions(s)
     w = F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.col("n") / 5))).cast("int")
     held = F.collect_list("value").over(in_order().rowsBetween(-9, 0))
@@ -272,7 +272,7 @@ def zscore_change_points(s, top=5):
     t = t.filter(F.col("pos") >= F.col("w")).withColumn("z_score", F.when(F.col("_s") > 0, F.abs(F.col("value") - F.col("_m")) / F.col("_s")).otherwise(0.0))
     around = F.collect_list(F.struct("pos", "z_score")).over(in_order().rowsBetween(-9, 9))
     rival = F.exists(around, lambda x: (F.abs(x["pos"] - F.col("pos")) < F.col("w")) & ((x["z_score"] > F.col("z_score")) | ((x["z_score"] == F.col("z_score")) & (x["pos"] < F.col("pos")))))
-    peaks = t.withColumn("_rival", rival).filter((F.col("z_score") > 3) & ~F.col("_rival"))
+    peaks = t.withColumn("_rival", rival).filter((F.col("z_score") > threshold) & ~F.col("_rival"))
     r = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("z_score"), "pos"))
     return peaks.withColumn("_r", r).filter(F.col("_r") <= top).select("series_id", "pos", "ts", "value", "z_score")
 
