@@ -210,7 +210,7 @@ def tokenizer(path):
     return kept_by_process(("chunks", path), lambda: ChunkTokenizer(path))
 
 
-def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=4 << 20):
+def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=8 << 20):
     """Encode and write all documents; returns the manifest."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
@@ -229,20 +229,29 @@ def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_
             return pa.RecordBatch.from_pydict(
                 {"path": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": [len(ids)], "tokens": [size]})
 
+        held, keys, bytes_held = [], [], 0
+
+        def encode():
+            nonlocal size, bytes_held
+            for found in coder.encode(held):
+                documents.append(np.concatenate((found, end)))
+                size += len(found) + 1
+            ids.extend(keys)
+            held.clear()
+            keys.clear()
+            bytes_held = 0
+
         for batch in batches:
-            held, bytes_held, keys = [], 0, batch.column(0).to_pylist()
-            for i, value in enumerate(byte_texts(batch.column(2))):
+            for key, value in zip(batch.column(0).to_pylist(), byte_texts(batch.column(2))):
+                keys.append(key)
                 held.append(value)
                 bytes_held += len(value)
-                if bytes_held >= group_bytes or i == batch.num_rows - 1:
-                    for found in coder.encode(held):
-                        documents.append(np.concatenate((found, end)))
-                        size += len(found) + 1
-                    ids += keys[i + 1 - len(held):i + 1]
-                    held, bytes_held = [], 0
+                if bytes_held >= group_bytes:
+                    encode()
                     if size >= file_tokens:
                         yield flush()
                         seq, ids, documents, size = seq + 1, [], [], 0
+        encode()
         if ids:
             yield flush()
 
