@@ -54,21 +54,24 @@ def words_in_repeats(windows):
 def measures(docs, text="text"):
     """``docs`` with one column per measure. Ratios of texts without words or lines are 0."""
     value = text_of(text)
-    lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    # Working columns get names that no column of the table has.
+    tail = "_" * max([0, *(len(c) for c in docs.columns)])
+    t, words, rows, windows = (f"_{n}{tail}" for n in ("t", "words", "lines", "windows"))
+    lines = F.filter(F.split(F.col(t), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
     ratio = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
     stop = sorted(set(" ".join(STOP_WORDS.values()).split()))
-    first = docs.withColumn("_t", value).withColumns({
-        "_words": F.regexp_extract_all(F.col("_t"), F.lit(f"({WORD})"), 1), "_lines": lines})
-    counts = first.withColumn("_windows", word_windows(F.col("_words"))).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": (F.length("_t") - count_chars(F.col("_t"), SPACES)).cast("long"),
-        "n_symbols": count_chars(F.col("_t"), SYMBOLS),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": words_in_repeats(F.col("_windows")),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.regexp_replace(ascii_lower(w), r"[.,;:!?]+$", "").isin(stop))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^[ \t]*[-*•]"))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[ \t\r]*$"))).cast("long"),
+    first = docs.withColumn(t, value).withColumns({
+        words: F.regexp_extract_all(F.col(t), F.lit(f"({WORD})"), 1), rows: lines})
+    counts = first.withColumn(windows, word_windows(F.col(words))).withColumns({
+        "n_words": F.size(words).cast("long"),
+        "word_chars": (F.length(t) - count_chars(F.col(t), SPACES)).cast("long"),
+        "n_symbols": count_chars(F.col(t), SYMBOLS),
+        "n_lines": F.size(rows).cast("long"),
+        "n_dup_lines": (F.size(rows) - F.size(F.array_distinct(rows))).cast("long"),
+        "n_repeat_words": words_in_repeats(F.col(windows)),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.regexp_replace(ascii_lower(w), r"[.,;:!?]+$", "").isin(stop))).cast("long"),
+        "n_bullet_lines": F.size(F.filter(rows, lambda x: x.rlike(r"^[ \t]*[-*•]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(rows, lambda x: x.rlike(r"(\.\.\.|…)[ \t\r]*$"))).cast("long"),
     })
     return counts.withColumns({
         "word_length": ratio(F.col("word_chars"), F.col("n_words")),
@@ -77,7 +80,7 @@ def measures(docs, text="text"):
         "duplicate_line_ratio": ratio(F.col("n_dup_lines"), F.col("n_lines")),
         "bullet_line_ratio": ratio(F.col("n_bullet_lines"), F.col("n_lines")),
         "ellipsis_line_ratio": ratio(F.col("n_ellipsis_lines"), F.col("n_lines")),
-    }).drop("_t", "_words", "_lines", "_windows")
+    }).drop(t, words, rows, windows)
 
 
 def compiled(rules=RULES):

@@ -205,13 +205,14 @@ def name_rows(marks, nodes, roots, mark, key, name):
 
 
 def keep_first(docs, named, key, text, name):
-    """``docs`` with one row of each component: that of the smallest id."""
+    """``docs`` with one row of each component: that of the smallest id. Rows are handed on as they are, whatever their columns' names."""
     kept = named.filter(col(key).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    kept = stored(kept.groupBy(col(key).alias(key), "text_hash").agg(F.count(F.lit(1)).alias("_n")), name)
-    rows = join_on(docs.withColumn("text_hash_", F.xxhash64(text_of(text))), kept.withColumnRenamed("text_hash", "text_hash_"), [key, "text_hash_"])
-    if not kept.filter("_n > 1").isEmpty():
-        rows = rows.filter("_n = 1").unionByName(rows.filter("_n > 1").dropDuplicates([key, "text_hash_"]))
-    return rows.select(*[col(c) for c in docs.columns])
+    kept = stored(kept.groupBy(col(key).alias("id"), "text_hash").agg(F.count(F.lit(1)).alias("copies")), name)
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(key).alias("row_id"), F.xxhash64(text_of(text)).alias("row_hash"))
+    rows = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash"))).select("row", "row_id", "row_hash", "copies")
+    if not kept.filter("copies > 1").isEmpty():
+        rows = rows.filter("copies = 1").unionByName(rows.filter("copies > 1").dropDuplicates(["row_id", "row_hash"]))
+    return rows.select("row.*")
 
 
 def components(marks, key="doc_id", radius=2):
