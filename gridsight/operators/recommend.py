@@ -13,7 +13,7 @@ from . import statistics as st
 from ..session import pin
 from .common import as_double, col, datetime_columns, distinct_table, metric_table, union_all, value_counts
 from .dates import date_difference
-from .ordered import group_quarter_change, with_row_index
+from .ordered import with_row_index
 from .profile import corrected_skew, iqr_outliers
 from .roles import columns_by_role, infer_roles
 
@@ -145,18 +145,50 @@ def binary_numeric_pairs(df, bins, nums):
     return t.select(F.array("cat", "num").alias("columns"), "smallest", p_value("t", F.when(ok, stat), F.when(ok, dof)).alias("p"))
 
 
+def _by_category(df, cats, *kept):
+    """The rows once per category column: (cat, group, kept...), null groups left out."""
+    first = df.select(*[col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cats)], *kept)
+    groups = F.explode(F.array(*[F.struct(F.lit(c).alias("cat"), F.col(f"_c{i}").alias("group")) for i, c in enumerate(cats)])).alias("_g")
+    rest = [c for c in first.columns if c not in {f"_c{i}" for i in range(len(cats))}]
+    return first.select(groups, *rest).select("_g.*", *rest).filter(F.col("group").isNotNull())
+
+
+def numeric_datetime_categories(df, nums, dates, cats, key):
+    """Whether the groups of a category part, some rising and some falling by over 20% from their first to their last
+    quarter, for every (number, date, category) in one pass: rows are numbered once within all groups side by side."""
+    measures = F.explode(F.array(*[F.struct(F.lit(n).alias("num"), F.lit(d).alias("date"), as_double(n).alias("value"), col(d).cast("timestamp").alias("at")) for n in nums for d in dates])).alias("_m")
+    long = _by_category(df, cats, measures, col(key).alias("_key")).select("cat", "group", "_m.*", "_key").dropna()
+    by = ["num", "date", "cat", "group"]
+    indexed = with_row_index(long, ["at", "_key"], by)
+    sizes = indexed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n >= 8")
+    i, k = F.col("row_index"), F.floor(F.col("n") / 4)
+    g = indexed.join(sizes, by).groupBy(*by).agg(F.avg(F.when(i < k, F.col("value"))).alias("early"), F.avg(F.when(i >= F.col("n") - k, F.col("value"))).alias("late"))
+    change = F.when(F.col("early") != 0, (F.col("late") - F.col("early")) / F.abs("early") * 100).otherwise(0.0)
+    part = g.groupBy("num", "date", "cat").agg(((F.max(change) > 20) & (F.min(change) < -20)).alias("diverging"))
+    kinds = df.sparkSession.createDataFrame([(n, d, c) for n in nums for d in dates for c in cats], "num string, date string, cat string")
+    counts = distinct_table(df, cats).select(F.col("column").alias("cat"), F.col("distinct_values").alias("k"))
+    both = kinds.join(F.broadcast(counts), "cat").join(part, ["num", "date", "cat"], "left")
+    return both.select(F.array("num", "date", "cat").alias("columns"), "k", F.coalesce("diverging", F.lit(False)).alias("diverging"))
+
+
 def numeric_datetime_category(df, num, date, cat, key):
-    g = group_quarter_change(df, date, num, cat, key, 8)
-    k = distinct_table(df, [cat]).first()["distinct_values"]
-    return g.agg(F.coalesce(F.max("diverging"), F.lit(False)).alias("diverging")).select(F.array(*[F.lit(x) for x in (num, date, cat)]).alias("columns"), F.lit(k).alias("k"), "diverging")
+    return numeric_datetime_categories(df, [num], [date], [cat], key)
 
 
-def two_numeric_category(df, pairs, cat):
-    """Span of the correlation across the groups (of at least 10 rows) of one category, for many pairs at once."""
-    g = df.filter(col(cat).isNotNull()).groupBy(cat).agg(F.count(F.lit(1)).alias("n"), *[st.clean_corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+def two_numeric_categories(df, pairs, cats):
+    """Span of the correlation across the groups (of at least 10 rows) of each category, for many pairs in one pass."""
+    nums = sorted({c for pair in pairs for c in pair})
+    long = _by_category(df, cats, *[as_double(c).alias(f"v{i}") for i, c in enumerate(nums)])
+    at = {c: F.col(f"v{i}") for i, c in enumerate(nums)}
+    g = long.groupBy("cat", "group").agg(F.count(F.lit(1)).alias("n"), *[st.clean_corr(at[a], at[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     big = lambda i: F.when(F.col("n") >= 10, F.col(f"r{i}"))
-    row = g.agg(F.count(F.lit(1)).alias("k"), *[(F.max(big(i)) - F.min(big(i))).alias(f"s{i}") for i in range(len(pairs))])
-    return row.select("k", F.explode(F.array(*[F.struct(F.array(F.lit(a), F.lit(b), F.lit(cat)).alias("columns"), F.col(f"s{i}").alias("span")) for i, (a, b) in enumerate(pairs)])).alias("_s")).select("k", "_s.*")
+    row = g.groupBy("cat").agg(F.count(F.lit(1)).alias("k"), *[(F.max(big(i)) - F.min(big(i))).alias(f"s{i}") for i in range(len(pairs))])
+    spans = F.array(*[F.struct(F.array(F.lit(a), F.lit(b), F.col("cat")).alias("columns"), F.col(f"s{i}").alias("span")) for i, (a, b) in enumerate(pairs)])
+    return row.select("k", F.explode(spans).alias("_s")).select("k", "_s.*")
+
+
+def two_numeric_category(df, pairs, cat):
+    return two_numeric_categories(df, pairs, [cat])
 
 
 def numeric_triples(df, cols):
@@ -166,7 +198,8 @@ def numeric_triples(df, cols):
 
 
 def correlation_evidence(df, cols):
-    pairs = st.pearson(df, cols).persist()
+    found = st.pearson(df, cols)
+    pairs = df.sparkSession.createDataFrame(found.collect(), found.schema)  # a row per pair of columns
     strong = pairs.filter("abs(r) > 0.7").count()
     grouped = not st.multicollinear_groups(pairs).isEmpty()
     return df.sparkSession.createDataFrame([(list(cols), strong, grouped)], "columns array<string>, strong_pairs int, grouped boolean")
@@ -209,8 +242,9 @@ def recommend_charts(df, key, cols=None):
         (num[2:], lambda: numeric_triples(df, num), rules.THREE_NUMERIC, "three numeric"), (num[2:], lambda: correlation_evidence(df, num), rules.CORRELATION, "correlation"),
     ]
     jobs += [(num[1:], lambda d=d: series_evidence(df, d, num), rules.SERIES, "time series") for d in dates]
-    jobs += [(True, lambda n=n, d=d, c=c: numeric_datetime_category(df, n, d, c, key), rules.NUMERIC_DATETIME_CATEGORICAL, "numeric, datetime and categorical") for n in num for d in dates for c in cats]
-    jobs += [(pairs, lambda c=c: two_numeric_category(df, pairs, c), rules.TWO_NUMERIC_CATEGORICAL, "two numeric by categorical") for c in cats]
+    jobs += [
+        (num and dates and cats, lambda: numeric_datetime_categories(df, num, dates, cats, key), rules.NUMERIC_DATETIME_CATEGORICAL, "numeric, datetime and categorical"),
+        (pairs and cats, lambda: two_numeric_categories(df, pairs, cats), rules.TWO_NUMERIC_CATEGORICAL, "two numeric by categorical")]
     return union_all([apply_rules(evidence(), rule_set, family) for wanted, evidence, rule_set, family in jobs if wanted])
 
 
