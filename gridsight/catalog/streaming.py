@@ -57,6 +57,15 @@ def w3_moving_mean_streamed(spark, sf):
     return round_doubles(m.run_to_table(out, f"{path}/out", f"{path}/state").select("request", "mean"))
 
 
+@query("SELECT request, mean FROM (" + MEAN.replace("event_id, round", "event_id AS request, ts, round").replace("AS value_mean", "AS mean") + ") WHERE epoch_us(ts)/1e6 < floor((SELECT max(epoch_us(ts)) FROM events)/1000)/1000 - 86400")
+def w3_ordered_mean_streamed(spark, sf):
+    """Means in the order of event time; rows of the last day still wait for the watermark when the stream ends."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", m.ROCKSDB)
+    path = scratch_folder(spark)
+    out = m.stream_ordered_mean(event_stream(spark, sf), "event_type", "value", "ts", "event_id", watermark="1 day")
+    return round_doubles(m.run_to_table(out, f"{path}/out", f"{path}/state").select("request", "mean"))
+
+
 def streamed_profile(spark, sf):
     path = scratch_folder(spark)
     m.stream_profile(event_stream(spark, sf), f"{path}/out", ["value"], ["event_type"], f"{path}/state").awaitTermination()

@@ -103,6 +103,69 @@ def stream_moving_mean(stream, by, value, order, key, n=5):
     return stream.groupBy(by).transformWithStateInPandas(MovingMean(n, value, order, key), "group string, request long, mean double", "Append", "None")
 
 
+class OrderedMean(StatefulProcessor):
+    """Rows wait in state until the watermark has passed them; then they leave in the order of time, with the mean of the last n."""
+
+    def __init__(self, n, value, ts, key):
+        self.n, self.value, self.ts, self.key = n, value, ts, key
+
+    def init(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at timestamp, request long, value double")
+        self.held = handle.getListState("held", "value double")
+
+    def _wake(self, first):
+        """One timer per key: when the watermark passes its earliest waiting row."""
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(first.timestamp() * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        for batch in rows:
+            waiting += [(at.to_pydatetime(), int(k), float(v)) for at, k, v in zip(batch[self.ts], batch[self.key], batch[self.value])]
+        self.waiting.put(waiting)
+        self._wake(min(w[0] for w in waiting))
+        yield self._out(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        waiting = sorted(self.waiting.get(), key=lambda w: (w[0], w[1])) if self.waiting.exists() else []
+        ready, rest = [w for w in waiting if w[0].timestamp() < passed], [w for w in waiting if w[0].timestamp() >= passed]
+        held = [v[0] for v in self.held.get()] if self.held.exists() else []
+        values = pd.Series([*held, *[w[2] for w in ready]], dtype=float)
+        means = values.rolling(self.n, min_periods=1).mean().iloc[len(held):]
+        if ready:
+            self.held.put([(float(v),) for v in values.iloc[-self.n:]])
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        yield self._out(key, [w[1] for w in ready], means)
+
+    def _out(self, key, requests, means):
+        return pd.DataFrame({"group": pd.Series([key[0]] * len(requests), dtype=object), "request": pd.Series(requests, dtype="int64"), "mean": pd.Series(list(means), dtype=float)})
+
+    def close(self):
+        pass
+
+
+def stream_ordered_mean(stream, by, value, ts, key, n=5, watermark="1 hour"):
+    """(group, request, mean): the moving mean in the order of event time, whatever the order of arrival within the watermark.
+
+    A row leaves once the watermark has passed it. Rows that come later than that are dropped and counted (``late_rows``).
+    Needs the RocksDB state store; state holds the rows of one watermark's span per group.
+    """
+    rows = stream.withWatermark(ts, watermark)
+    return rows.groupBy(by).transformWithStateInPandas(OrderedMean(n, value, ts, key), "group string, request long, mean double", "Append", "EventTime")
+
+
+def late_rows(query):
+    """How many rows a stream has dropped because the watermark had passed them."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
 def stream_profile(stream, path, numeric, categorical, checkpoint=None, partial=partial_profile):
     """Start a query that writes each micro-batch's partial profile; ``read_profile`` merges them. With
     ``partial=sketch_profile`` partials have a fixed size, and ``read_sketches`` merges them.
