@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import types as T
 
 from ..operators.common import col
-from .common import Memory, byte_texts, in_batches, kept_by_process, text_of
+from .common import Memory, byte_texts, in_batches, kept_by_process, text_of, tidy
 
 # Unicode white space, and the pattern that splits text before merging.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -218,4 +218,4 @@ def encode(docs, path, text="text", ids=False):
                     out[3].append(found.astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(v, type=m[2]) for v, m in zip(out, made)]], names=[*kept, *names])
 
-    return in_batches(rows).mapInArrow(run, schema)
+    return in_batches(rows).mapInArrow(tidy(run), schema)

@@ -1,4 +1,5 @@
 """Shared pieces of the corpus operators: text columns, stored tables, and files in the shared folder."""
+import ctypes
 import re
 import sys
 import types
@@ -86,6 +87,21 @@ def byte_texts(column):
         yield value.as_py() or b""
 
 
+def tidy(run):
+    """A task's generator that, at its end, gives freed memory back to the system: worker processes outlive tasks, and
+    what one stage has freed would otherwise count against the next."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def kept_by_process(name, make, most=2):
     """A value that a worker process makes once and keeps for later tasks, at most ``most`` per kind; ``name`` is (kind, ...).
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.common import col
-from .common import byte_texts, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, write_file
+from .common import byte_texts, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, tidy, write_file
 from .perfect_hash import Table
 
 SHARD_KEYS = 1 << 18
@@ -54,7 +54,7 @@ def line_counts(docs, text="text", least_chars=1):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(high[first].view(np.int64)), pa.array(low[first].view(np.int64)), pa.array(times.astype(np.int64))], names=["high", "low", "docs"])
 
-    each = in_batches(docs.select(text_of(text).alias("text"))).mapInArrow(run, "high long, low long, docs long")
+    each = in_batches(docs.select(text_of(text).alias("text"))).mapInArrow(tidy(run), "high long, low long, docs long")
     return each.groupBy("high", "low").agg(F.sum("docs").alias("docs"))
 
 
@@ -129,4 +129,4 @@ def drop_lines(docs, text="text", least_docs=10, least_chars=1, shard_keys=SHARD
             columns[place] = pa.array([d[0] for d in done], type=pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([d[i] for d in done], type=pa.int64()) for i in (1, 2)]], names=[*kept, *made])
 
-    return in_batches(rows).mapInArrow(run, schema)
+    return in_batches(rows).mapInArrow(tidy(run), schema)
