@@ -218,4 +218,4 @@ def encode(docs, path, text="text", ids=False):
                     out[3].append(found.astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(v, type=m[2]) for v, m in zip(out, made)]], names=[*kept, *names])
 
-    return in_batches(rows).mapInArrow(tidy(run), schema)
+    return in_batches(rows).mapInArrow(tidy(run, ["byte bpe"]), schema)

@@ -87,10 +87,14 @@ def byte_texts(column):
         yield value.as_py() or b""
 
 
-def tidy(run):
-    """A task's generator that, at its end, gives freed memory back to the system: worker processes outlive tasks, and
-    what one stage has freed would otherwise count against the next."""
+def tidy(run, keeps=()):
+    """A task's generator that first drops what other operators keep in its worker process (all but the kinds in ``keeps``,
+    see ``kept_by_process``) and at its end gives freed memory back to the system: worker processes outlive tasks, and what
+    one stage holds or has freed would otherwise count against the next."""
     def tidied(batches):
+        for kind, shelf in getattr(sys.modules.get("_gridsight_kept"), "__dict__", {}).items():
+            if isinstance(shelf, dict) and not kind.startswith("__") and kind not in keeps:
+                shelf.clear()
         try:
             yield from run(batches)
         finally:

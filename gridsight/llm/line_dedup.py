@@ -129,4 +129,4 @@ def drop_lines(docs, text="text", least_docs=10, least_chars=1, shard_keys=SHARD
             columns[place] = pa.array([d[0] for d in done], type=pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([d[i] for d in done], type=pa.int64()) for i in (1, 2)]], names=[*kept, *made])
 
-    return in_batches(rows).mapInArrow(tidy(run), schema)
+    return in_batches(rows).mapInArrow(tidy(run, ["line shard"]), schema)

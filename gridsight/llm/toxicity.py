@@ -17,7 +17,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from ..operators.common import col
-from .common import in_batches, stored, text_of
+from .common import in_batches, stored, text_of, tidy
 
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5, 6)
@@ -69,7 +69,7 @@ def gram_counts(rows):
         found = np.nonzero(counts.any(axis=0))[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1, found]), pa.array(counts[0, found])], names=["bucket", "toxic", "other"])
 
-    return in_batches(rows).mapInArrow(run, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return in_batches(rows).mapInArrow(tidy(run), "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def chosen_features(rows, toxic, other):
