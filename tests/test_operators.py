@@ -252,3 +252,18 @@ def test_registered_neighbour_queries_search_whole_tables():
     names, sql = catalog.load()
     assert {n for n in names if n.startswith("j8_")} == {"j8_nearest", "j8_nearest_on_grid"}
     assert not any("LIMIT" in sql[n].upper() for n in names if n.startswith("j8_"))
+
+
+def test_home_cells_of_many_boxes_in_bounded_memory():
+    """10,000 points against 4,000 boxes: one matrix of all distances would be 320 MB."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    x, lo = rng.uniform(0, 100, (10_000, 2)), rng.uniform(0, 100, (4_000, 2))
+    tracemalloc.start()
+    best, reach = neighbours.home_cells(x, lo, lo + 1)
+    pairs = sum(len(row) for row, _ in neighbours.cells_within(x, np.full(len(x), 0.5), lo, lo + 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bound = neighbours.shared_distance(x[:200], None, (lo, lo + 1))
+    assert reach.all() and (best[:200] == bound.argmin(axis=1)).all()
+    assert pairs > len(x) and peak < 200 * 2 ** 20
