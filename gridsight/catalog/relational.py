@@ -75,8 +75,7 @@ def p10_conformance(spark, sf):
 
 @query("SELECT l_orderkey::INT AS l_orderkey, l_linenumber::TINYINT AS l_linenumber, l_suppkey::SMALLINT AS l_suppkey, l_quantity FROM lineitem")
 def p11_narrow_types(spark, sf):
-    out = r.narrow_types(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
-    return out.select(F.col("l_orderkey").cast("int").alias("l_orderkey"), "l_linenumber", F.col("l_suppkey").cast("smallint").alias("l_suppkey"), "l_quantity")
+    return r.narrow_types(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), {"l_orderkey": "int", "l_suppkey": "smallint"})
 
 
 @query("""SELECT 'l_linenumber' AS "column", 'int8' AS advice UNION ALL SELECT 'l_quantity', 'two_decimals' UNION ALL SELECT 'l_extendedprice', 'two_decimals' UNION ALL SELECT 'l_discount', 'two_decimals' UNION ALL SELECT 'l_tax', 'two_decimals'""")

@@ -267,3 +267,17 @@ def test_home_cells_of_many_boxes_in_bounded_memory():
     bound = neighbours.shared_distance(x[:200], None, (lo, lo + 1))
     assert reach.all() and (best[:200] == bound.argmin(axis=1)).all()
     assert pairs > len(x) and peak < 200 * 2 ** 20
+
+
+def test_narrow_types_never_below_the_values(spark):
+    """Keys beyond 16 bits stay whole although at least 16 bits are asked for; small ones are widened to that."""
+    t = spark.sql("SELECT id, id % 9 AS few FROM range(40000)")
+    out = relational.narrow_types(t, {"id": "smallint", "few": "smallint"})
+    assert dict(out.dtypes) == {"id": "int", "few": "smallint"} and out.agg({"id": "max"}).first()[0] == 39_999
+
+
+def test_narrow_types_query_of_many_suppliers(spark, tmp_path):
+    from gridsight import catalog
+    spark.sql("SELECT id AS l_orderkey, id * 10 AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity FROM range(5000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.load()[0]["p11_narrow_types"](spark, str(tmp_path))
+    assert out.agg({"l_suppkey": "max"}).first()[0] == 49_990
