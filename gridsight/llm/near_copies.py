@@ -1,6 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles: every pair at or above the threshold is linked, no other.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles: every pair at or above the threshold is linked, no other.
 
-A text is the set of its shingles (64-bit hashes); texts of equal sets are one node. In any fixed order of the shingles, two
+A text is the set of its shingles (64-bit hashes); texts of equal sets are one node. Each node has a SimHash fingerprint of its
+set. Fingerprints that differ in at most ``RADIUS`` bits are found by the pigeonhole groups and bit planes of ``simhash``, the
+nodes behind them are compared as whole sets, and those that pass become components.
+
+Two sets of the wanted similarity may differ in more bits than any such search can cover (about 10 of 64 at 0.8), so a prefix
+filter then looks at all pairs of nodes that SimHash has left in different components. In any fixed order of the shingles, two
 sets of similarity ``num / den`` share one of their first n - ceil(n num / den) + 1 shingles, so only nodes that share such a
 prefix shingle are compared. The order puts common shingles last, as a sample of the texts shows them; the sample decides on
 the work, never on the result.
@@ -27,8 +32,11 @@ from pyspark.sql import functions as F
 from ..operators.common import col
 from .common import byte_texts, in_batches, stored, text_of, tidy
 from .components import connected_components
+from . import simhash
 from .simhash import SEED, first_rows, keep_first, name_rows
 
+#: Bits in which linked fingerprints may differ. It decides which search finds a pair, never on the result.
+RADIUS = 4
 SAMPLE_DOCS = 10_000
 COMMON_DOCS = 3
 COMMON_SHINGLES = 100_000
@@ -55,6 +63,15 @@ def node_of(hashes):
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def fingerprint_of(hashes, chunk=1 << 16):
+    """The SimHash of a set of hashes: a bit is set if it is set in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), chunk):
+        part = hashes[i:i + chunk].astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _lists(arrays):
     ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
     flat = np.concatenate([*arrays, np.zeros(0, dtype=np.uint64)]).astype(np.uint64, copy=False)
@@ -94,23 +111,24 @@ def prefix_of(hashes, common, times, num, den):
 
 
 def marked(docs, key, text, shingle, num, den):
-    """(key, text_hash, node, n, prefix) of each row; n counts the shingles."""
+    """(key, text_hash, node, fingerprint, n, prefix) of each row; n counts the shingles."""
     common, times = common_shingles(docs, text, shingle)
     rows = docs.select(col(key).alias(key), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("_text"))
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, prints, sizes, prefixes = [], [], [], []
             for t in byte_texts(batch.column(2)):
                 hashes = shingle_set(t, shingle)
                 nodes.append(node_of(hashes))
+                prints.append(fingerprint_of(hashes))
                 sizes.append(len(hashes))
                 prefixes.append(prefix_of(hashes, common, times, num, den))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _longs(nodes), pa.array(sizes, type=pa.int64()), _lists(prefixes)],
-                names=[key, "text_hash", "node", "n", "prefix"])
+                [batch.column(0), batch.column(1), _longs(nodes), _longs(prints), pa.array(sizes, type=pa.int64()), _lists(prefixes)],
+                names=[key, "text_hash", "node", "fingerprint", "n", "prefix"])
 
-    return in_batches(rows).mapInArrow(tidy(run), f"{key} {dict(rows.dtypes)[key]}, text_hash long, node long, n long, prefix array<long>")
+    return in_batches(rows).mapInArrow(tidy(run), f"{key} {dict(rows.dtypes)[key]}, text_hash long, node long, fingerprint long, n long, prefix array<long>")
 
 
 def whole_sets(docs, hashes, text, shingle):
@@ -163,10 +181,11 @@ def candidates(group, num, den):
 
 
 def possible(pairs, info, num, den):
-    """The pairs (a, b) whose sizes and numbers of shared prefix shingles do not rule similarity out."""
-    left, right = (info.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "p", "shared")]) for c in ("a", "b"))
+    """The pairs (a, b) whose sizes and numbers of shared prefix shingles do not rule similarity out; of different roots, if known."""
+    left, right = (info.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in info.columns if x != "node"]) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter(_fits(num, den)).select("a", "b")
+    apart = F.col("root_a") != F.col("root_b") if "root" in info.columns else F.lit(True)
+    return both.filter(apart & _fits(num, den)).select("a", "b")
 
 
 def _fits(num, den):
@@ -183,7 +202,18 @@ def similar_of(docs, nodes, pairs, text, shingle, num, den):
     return stored(similar(pairs, stored(sets, "copies-sets"), num, den), "copies-similar")
 
 
-def links(docs, marks, nodes, text, shingle, num, den, small_rows=SMALL_ROWS, group_rows=GROUP_ROWS):
+def simhash_pairs(marks, radius):
+    """Pairs (a, b) of nodes, linked fingerprints spanned: each with the first node of its fingerprint, and the first nodes of linked ones."""
+    prints = marks.select("node", "fingerprint").distinct()
+    firsts = stored(prints.groupBy("fingerprint").agg(F.min("node").alias("first")), "copies-prints")
+    same = prints.join(firsts, "fingerprint").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    of = lambda c: firsts.select(F.col("fingerprint").alias(f"{c}_print"), F.col("first").alias(c))
+    edges = simhash.links(firsts.select("fingerprint"), radius).withColumnsRenamed({"a": "a_print", "b": "b_print"})
+    both = same.unionByName(edges.join(of("a"), "a_print").join(of("b"), "b_print").select("a", "b"))
+    return both.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def links(docs, marks, nodes, text, shingle, num, den, small_rows=SMALL_ROWS, group_rows=GROUP_ROWS, radius=RADIUS):
     """Edges (a, b) that span all pairs of similar nodes."""
     rows = marks.select("node", "prefix").distinct().select("node", F.explode("prefix").alias("shingle"))
     # Summed up before it moves and joined back, so a shingle that very many nodes share is no single task.
@@ -192,15 +222,21 @@ def links(docs, marks, nodes, text, shingle, num, den, small_rows=SMALL_ROWS, gr
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     info = stored(marks.select("node", "n", F.size("prefix").cast("long").alias("p")).distinct().join(counted, "node"), "copies-info")
 
+    # SimHash first. Nodes without a common prefix shingle have no row in info and are similar to none.
+    alike = stored(possible(simhash_pairs(marks, radius), info, num, den), "copies-simhash")
+    alike = similar_of(docs, nodes, alike, text, shingle, num, den)
+    roots = connected_components(alike, "copies-simhash")
+    info = stored(info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-rooted")
+
     # Few nodes: all pairs. A pair meets under every common shingle and is kept once.
     few = shared.filter(F.col("rows") <= small_rows).select("shingle", "node").join(info, "node")
-    left, right = (few.select("shingle", *[F.col(x).alias(y) for x, y in (("node", c), *[(x, f"{x}_{c}") for x in ("n", "p", "shared")])]) for c in ("a", "b"))
-    near = left.join(right, "shingle").filter((F.col("a") > F.col("b")) & _fits(num, den)).select("a", "b").distinct()
+    left, right = (few.select("shingle", *[F.col(x).alias(y) for x, y in (("node", c), *[(x, f"{x}_{c}") for x in ("n", "p", "shared", "root")])]) for c in ("a", "b"))
+    near = left.join(right, "shingle").filter((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits(num, den)).select("a", "b").distinct()
 
     # Many nodes: the leader of each shingle first.
     many = shared.filter(F.col("rows") > small_rows)
     led = possible(many.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), info, num, den)
-    led = similar_of(docs, nodes, stored(near.union(led).distinct(), "copies-led"), text, shingle, num, den)
+    led = alike.unionByName(similar_of(docs, nodes, stored(near.union(led).distinct(), "copies-led"), text, shingle, num, den))
     if many.isEmpty():
         return led
     roots = connected_components(led, "copies-led")
@@ -216,11 +252,11 @@ def links(docs, marks, nodes, text, shingle, num, den, small_rows=SMALL_ROWS, gr
     return led.unionByName(similar_of(docs, nodes, pairs, text, shingle, num, den))
 
 
-def components(docs, key="doc_id", text="text", shingle=5, similarity=(4, 5), small_rows=SMALL_ROWS, group_rows=GROUP_ROWS):
+def components(docs, key="doc_id", text="text", shingle=5, similarity=(4, 5), small_rows=SMALL_ROWS, group_rows=GROUP_ROWS, radius=RADIUS):
     """(key, text_hash, node, component_id, first_hash): the smallest id that links reach, and its text's hash."""
     marks = stored(marked(docs, key, text, shingle, *similarity), "copies-marks")
     nodes = first_rows(marks, "node", key, "copies-nodes")
-    roots = connected_components(links(docs, marks, nodes, text, shingle, *similarity, small_rows, group_rows), "copies")
+    roots = connected_components(links(docs, marks, nodes, text, shingle, *similarity, small_rows, group_rows, radius), "copies")
     return name_rows(marks, nodes, roots.withColumnRenamed("node", "_node"), "node", key, "copies-names")
 
 

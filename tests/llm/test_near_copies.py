@@ -77,3 +77,17 @@ def test_simhash_keeps_clashing_columns(spark):
 def test_quality_rules_keep_clashing_columns(spark):
     got = quality_rules.apply_rules(frame(spark, [(1, "a b c"), (2, None)]))
     assert {(r["_t"], r["_words"], r["_lines"], r["_windows"]) for r in got.collect()} == {("own",) * 4} and set(SCHEMA.split()[::2]) <= set(got.columns)
+
+
+def test_simhash_links_what_lies_within_its_radius(spark, monkeypatch):
+    """The fingerprints find near copies by themselves; the prefix filter has only the others left to look at."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), "a b c d e f"]
+    prints = [near_copies.fingerprint_of(near_copies.shingle_set(t.encode())) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= near_copies.RADIUS < (prints[0] ^ prints[2]).bit_count()
+    checked = []
+    whole = near_copies.similar_of
+    monkeypatch.setattr(near_copies, "similar_of", lambda docs, nodes, pairs, *rest: checked.append(pairs.count()) or whole(docs, nodes, pairs, *rest))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in near_copies.components(frame).collect()) == [0, 0, 2, 3]
+    assert checked[0] == 1 and not any(checked[1:])
