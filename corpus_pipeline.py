@@ -10,6 +10,8 @@ from gridsight.llm import bpe, line_dedup, mixing, near_copies, toxicity
 from gridsight.llm.common import stored
 
 TOKENIZER = "byte_bpe_50k.json"
+# A quarter of the encoder's usual memories: the executors of a pipeline still hold what earlier stages needed.
+REMEMBERED = 1 << 16
 
 
 def filter_toxic(spark, docs, sf_dir):
@@ -25,7 +27,8 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def keep_one_of_near_copies(spark, docs, sf_dir):
-    """One row, that of the smallest doc_id, of each component of texts linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """One row, that of the smallest doc_id, of each component of texts linked by a Jaccard similarity of 0.8 of five-word shingles:
+    SimHash and an exact check, then a prefix filter for the pairs beyond the fingerprints' radius."""
     return near_copies.keep_one(docs)
 
 
@@ -36,7 +39,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode_texts(spark, docs, sf_dir):
     """Token ids of each row, with digests of the ids and of the text they decode to."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=True)
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -30,7 +30,6 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 REMEMBERED = 1 << 18
 END_MARKS = ".,!?;:"
-PAIRS = 1 << 19
 
 
 def byte_names():
@@ -44,7 +43,7 @@ def byte_names():
 class ByteBpe:
     """Encoder and decoder of one vocabulary file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``)."""
 
-    def __init__(self, path):
+    def __init__(self, path, remembered=REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         names = byte_names()
@@ -71,7 +70,7 @@ class ByteBpe:
         self.split = regex.compile(SPLIT)
         self.pieces = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words, self.known = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.words, self.known, self.most_pairs = Memory(remembered), Memory(remembered), 2 * remembered
 
     def compatible(self, left, right):
         """Whether no merge ever crosses the border between two neighbouring tokens.
@@ -94,7 +93,7 @@ class ByteBpe:
                     a, a_ends = made_a[1], made_a[2]
                 else:
                     b, b_ends = made_b[0], made_b[2]
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             self.pairs[left, right] = found
         return found
@@ -185,18 +184,19 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def tokenizer(path):
-    """One tokenizer per worker process and file."""
-    return kept_by_process(("byte bpe", path), lambda: ByteBpe(path))
+def tokenizer(path, remembered=REMEMBERED):
+    """One tokenizer per worker process, file and size of its memories."""
+    return kept_by_process(("byte bpe", path, remembered), lambda: ByteBpe(path, remembered), most=1)
 
 
 MADE = (("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()))
 
 
-def encode(docs, path, text="text", ids=False):
+def encode(docs, path, text="text", ids=False, remembered=REMEMBERED):
     """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 (of the decoded ids), and on demand the ids.
 
-    Columns of these names in ``docs`` are replaced; every row is encoded, repeated rows, too.
+    Columns of these names in ``docs`` are replaced; every row is encoded, repeated rows, too. ``remembered`` bounds a worker's
+    memories (about 1 KB of memory each).
     """
     made = [*MADE, *([("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] if ids else [])]
     names = [m[0] for m in made]
@@ -205,7 +205,7 @@ def encode(docs, path, text="text", ids=False):
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(m[0], m[1]) for m in made]])
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, remembered)
         for batch in batches:
             out = [[] for _ in made]
             for value in byte_texts(batch.column(len(kept))):
