@@ -281,3 +281,14 @@ def test_narrow_types_query_of_many_suppliers(spark, tmp_path):
     spark.sql("SELECT id AS l_orderkey, id * 10 AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity FROM range(5000)").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = catalog.load()[0]["p11_narrow_types"](spark, str(tmp_path))
     assert out.agg({"l_suppkey": "max"}).first()[0] == 49_990
+
+
+def test_text_evidence_is_dealt_to_tasks(spark, monkeypatch):
+    """A table of one partition is divided by its rows before the patterns run; the evidence stays the same."""
+    from gridsight.operators import common
+    t = spark.range(100, numPartitions=1).selectExpr("concat(id, ' - ', id + 5) AS bracket")
+    whole = roles.text_evidence(t, ["bracket"]).collect()
+    monkeypatch.setattr(common, "PATTERN_ROWS", 10)
+    assert common.spread(t, 10).rdd.getNumPartitions() == 10 and common.spread(t, 100).rdd.getNumPartitions() == 1
+    assert "RoundRobinPartitioning(10)" in roles.text_evidence(t, ["bracket"])._jdf.queryExecution().toString()
+    assert roles.text_evidence(t, ["bracket"]).collect() == whole
