@@ -292,3 +292,13 @@ def test_text_evidence_is_dealt_to_tasks(spark, monkeypatch):
     assert common.spread(t, 10).rdd.getNumPartitions() == 10 and common.spread(t, 100).rdd.getNumPartitions() == 1
     assert "RoundRobinPartitioning(10)" in roles.text_evidence(t, ["bracket"])._jdf.queryExecution().toString()
     assert roles.text_evidence(t, ["bracket"]).collect() == whole
+
+
+def test_forests_train_on_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(learn, "FOREST_ROWS", 20)
+    seen, fit = [], learn.RandomForestRegressor.fit
+    monkeypatch.setattr(learn.RandomForestRegressor, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    t = spark.range(100, numPartitions=1).selectExpr("id", "double(id) AS x", "2.0D * id AS y", "1.0D AS flat")
+    assert {r["column"]: r["importance"] for r in learn.forest_importance(t, "y", ["x", "flat"]).collect()} == {"x": 1.0, "flat": 0.0}
+    learn.predict(t, "id", "y", ["x"], "regression")
+    assert seen == [5, 5]
