@@ -54,6 +54,22 @@ def test_quantiles_by_bracket_match_direct(spark):
             assert a[k] == pytest.approx(b[k])
 
 
+def test_quantiles_of_few_large_groups_do_not_move_rows_by_group(spark):
+    """Three groups stay spread over the tasks that read them: their rows meet the sketches by broadcast."""
+    t = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantile_table(t, ["v"], [0.5], ["g"], exact_rows=100, accuracy=100)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {r["g"]: r["q"][0] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    # The one join left to Spark is that of the wanted ranks with the counted values inside the brackets.
+    assert plan.count("SortMergeJoin") <= 1 and plan.count("BroadcastHashJoin") >= 3
+    assert rows == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+
+
 def test_row_index_is_a_permutation_under_a_hot_key(spark, tiny_limits):
     t = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).withColumn("v", F.lit(1))
     got = ordered.with_row_index(t, ["v", "id"], ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.max("row_index").alias("m"), F.count_distinct("row_index").alias("d"))
