@@ -70,6 +70,39 @@ def test_quantiles_of_few_large_groups_do_not_move_rows_by_group(spark):
     assert rows == {0: 1498.5, 1: 1499.5, 2: 1500.5}
 
 
+def test_rows_of_few_groups_do_not_move_by_group(spark, tiny_limits):
+    """Group starts and the state that enters a block meet the rows by broadcast, and sorted rows have a task per ``SORT_ROWS``."""
+    t = spark.range(2000).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        indexed = ordered.with_row_index(t, ["id"], ["g"])
+        filled = ordered.fill_forward(indexed, ["v"], ["g"])
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (indexed, filled)]
+        rows = {r["id"]: r["v"] for r in filled.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert not any("SortMergeJoin" in p for p in plans)
+    want, last = {}, {}
+    for i in range(2000):
+        last[i % 3] = i if i % 5 == 0 else last.get(i % 3)
+        want[i] = last[i % 3]
+    assert rows == want
+
+
+def test_as_of_join_orders_one_row_of_equal_times(spark, tiny_limits, monkeypatch):
+    left = spark.createDataFrame([("a", 0), ("a", 5), ("a", 9), ("b", 5)], "g string, t int")
+    right = spark.createDataFrame([("a", 5, v) for v in (2, None, 9, 7)] * 50 + [("a", 7, None), ("b", 6, 1)], "g string, t int, v int")
+    ordered_rows = []
+    plain = relational.with_row_index
+    monkeypatch.setattr(relational, "with_row_index", lambda df, *a, **k: ordered_rows.append(df.count()) or plain(df, *a, **k))
+    back, ahead = ({(r["g"], r["t"]): r["v"] for r in relational.asof_join(left, right, "t", ["g"], d, "v").collect()} for d in ("backward", "forward"))
+    # A null key comes first among equal times.
+    assert back == {("a", 0): None, ("a", 5): 9, ("a", 9): None, ("b", 5): None}
+    assert ahead == {("a", 0): None, ("a", 5): None, ("a", 9): None, ("b", 5): 1}
+    assert ordered_rows == [7, 7]
+
+
 def test_row_index_is_a_permutation_under_a_hot_key(spark, tiny_limits):
     t = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).withColumn("v", F.lit(1))
     got = ordered.with_row_index(t, ["v", "id"], ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.max("row_index").alias("m"), F.count_distinct("row_index").alias("d"))
