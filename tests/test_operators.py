@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsight.functions import special
-from gridsight.operators import charts, forecast, learn, neighbours, quality, relational, roles, series
+from gridsight.operators import charts, forecast, learn, neighbours, quality, relational, roles, series, statistics
 from gridsight.operators import clean as cleaning
 from gridsight.operators import ordered
 from gridsight.operators import profile as p
@@ -103,6 +103,25 @@ def test_as_of_join_orders_one_row_of_equal_times(spark, tiny_limits, monkeypatc
     assert ordered_rows == [7, 7]
 
 
+@pytest.mark.parametrize("hashed", [1000, 10])
+def test_ranks_of_many_values(spark, tiny_limits, monkeypatch, hashed):
+    """A proven number of values is hashed, so the rows are not sorted to meet their ranks; more are left to Spark."""
+    monkeypatch.setattr(statistics, "BROADCAST_VALUES", 10, raising=False)
+    monkeypatch.setattr(statistics, "HASHED_VALUES", hashed, raising=False)
+    t = spark.range(600).select("id", (F.col("id") * 7 % 200).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 4).cast("double").alias("b"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = statistics.average_ranks(t, ["a", "b"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.toPandas().set_index("id").sort_index()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert [plan.count(j) for j in ("ShuffledHashJoin", "SortMergeJoin", "BroadcastHashJoin")] == ([1, 0, 1] if hashed > 200 else [0, 1, 1])
+    for c in "ab":
+        assert got[f"{c}_rank"].equals(got[c].rank())
+
+
 def test_row_index_is_a_permutation_under_a_hot_key(spark, tiny_limits):
     t = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).withColumn("v", F.lit(1))
     got = ordered.with_row_index(t, ["v", "id"], ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.max("row_index").alias("m"), F.count_distinct("row_index").alias("d"))
