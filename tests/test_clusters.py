@@ -3,7 +3,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridsight.operators import learn
+from gridsight.operators import components as linked
+from gridsight.operators import learn, ordered
 from gridsight.operators.components import components
 
 
@@ -40,6 +41,34 @@ def test_dense_neighbouring_cells(spark, axes):
     assert [got[i] for i in range(len(x))] == [int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))]
 
 
+@pytest.fixture()
+def plans(monkeypatch):
+    """Density clusters as of large tables: nothing may be broadcast by its count; the plans that are run are kept."""
+    plan, seen = lambda df: df._jdf.queryExecution().sparkPlan().toString(), []
+    for module in (ordered, linked):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0, raising=False)
+    for module in (learn, linked):
+        monkeypatch.setattr(module, "pin", lambda df, pin=module.pin: seen.append(plan(df)) or pin(df))
+    dbscan = learn.dbscan
+    monkeypatch.setattr(learn, "dbscan", lambda *a, **b: (out := dbscan(*a, **b), seen.append(plan(out)))[0])
+    return seen
+
+
+def test_many_rows_are_not_broadcast(spark, plans):
+    t = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") * 0.9 + F.floor(F.col("id") / 1000) * 50).alias("x"))
+    got = {r["k"]: int(r["cluster"]) for r in learn.dbscan(t, "k", ["x"], 1.0, 2, scale=False).collect()}
+    assert got == {i: i // 1000 * 1000 for i in range(2500)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("axes", [2, 3])
+def test_cells_of_many_points_among_many_cells(spark, plans, monkeypatch, axes):
+    """Cells of more points than a task should sort meet their facts apart from the others."""
+    monkeypatch.setattr(learn, "SORT_ROWS", 20, raising=False)
+    test_dense_neighbouring_cells(spark, axes)
+    assert any("SortMergeJoin" in p and "BroadcastHashJoin" in p for p in plans)
+
+
 def test_means_of_planted_centres_whatever_the_scale(spark):
     rng = np.random.default_rng(4)
     centres = np.array([[0, 0], [50, 0], [0, 900], [50, 900]])
