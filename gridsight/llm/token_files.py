@@ -12,19 +12,18 @@ An empty table gives an empty manifest. Other columns are ignored.
 """
 import json
 import os
-import re
 import zlib
-from itertools import chain, compress
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.common import col
-from .common import Memory, byte_texts, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, write_file
+from .common import Memory, in_batches, kept_by_process, read_file, shared_folder, stored, text_of, write_file
 
 MAGIC = b"TOKDAC01"
 WIDTHS = (8, 8, 16)
@@ -131,26 +130,46 @@ class TokenFile:
 
 
 # The tokenizer's split pattern over the characters of ``PLAIN``, in lower case; its normalizer changes nothing else there.
-PLAIN = re.compile("[!-~¡¿«»À-ÖØ-öø-įı-ſ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|\n|[^a-zß-öø-įı-ſ0-9\n]+")
+PLAIN = "^[!-~¡¿«»À-ÖØ-öø-įı-ſ]*$"
+PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-zß-öø-įı-ſ0-9]+)"
 JOINED = 200
+GATHERED = 1 << 18
+
+
+def _runs(values):
+    """Arrays of ids, given as bytes, as one pool: (pool, start of each, size of each)."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def _taken(pool, starts, sizes, codes):
+    """(ids, ends): the runs of ``codes`` one after the other, a block at a time, and where each begins, with the end of all."""
+    found, ends = [np.zeros(0, dtype="<u4")], np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum(sizes[codes], out=ends[1:])
+    for i in range(0, len(codes), GATHERED):
+        part, at = codes[i:i + GATHERED], ends[i:i + GATHERED + 1] - ends[i]
+        found.append(pool[np.repeat(starts[part] - at[:-1], np.diff(at)) + np.arange(at[-1])])
+    return np.concatenate(found), ends
 
 
 class ChunkTokenizer:
     """The library's tokenizer, asked for what is not remembered only.
 
     Its normalizer and its split pattern never look across white space, so texts fall into chunks between ASCII white space.
-    A chunk of plain characters is lower-cased and cut into the pieces that the split pattern makes of it; pieces that are not
-    remembered are encoded many at a time, joined by spaces, and the ids are cut after tokens that end a word. All other
-    chunks, and those that may hold special tokens, go to the library as they are.
+    Distinct chunks of plain characters are lower-cased and cut into the pieces that the split pattern makes of them. Distinct
+    pieces that are not remembered are encoded many at a time, joined by spaces, and the ids are cut after tokens that end a
+    word; they go to the library's model without the normalizer and the split pattern, which change nothing in them. All other
+    chunks, and those that may hold special tokens, go to the library as they are. Ids are gathered from pieces to chunks to texts.
     """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memory = Memory(REMEMBERED)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -163,7 +182,7 @@ class ChunkTokenizer:
         """The ids of each piece as bytes."""
         groups = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
         out = []
-        for group, encoded in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, encoded in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(encoded.ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(group):
@@ -173,36 +192,44 @@ class ChunkTokenizer:
             out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
         return out
 
-    def _missing(self, chunks):
-        """{chunk: ids as bytes} of chunks that are not remembered."""
-        alpha = [c for c in chunks if c.isalpha()]
-        rest = [c for c in chunks if not c.isalpha()]
-        texts = b"\n".join(rest).decode().split("\n") if rest else []
-        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        words = b"\n".join(alpha).lower().decode().split("\n") if alpha else []
-        # Chunks hold no white space, so one pass cuts them all; a line break stands between any two.
-        flat = PIECES.findall("\n".join(compress(texts, plain)).lower())
-        pieces = self.memory.known({*words, *flat} - {"\n"})
-        new = [p for p, value in pieces.items() if value is None]
-        encoded = dict(zip(new, self._pieces(new)))
-        pieces.update(encoded)
-        found = dict(zip(alpha, map(pieces.__getitem__, words)))
-        pieces["\n"] = b""
-        values = list(map(pieces.__getitem__, flat))
-        breaks = [i for i, p in enumerate(flat) if p == "\n"]
-        found.update(zip(compress(rest, plain), [b"".join(values[i:j]) for i, j in zip([0, *breaks], [*breaks, len(flat)])]))
-        other = [c for c, ok in zip(rest, plain) if not ok]
-        found.update(zip(other, self._one_by_one([c.decode() for c in other])))
-        self.memory.put_all(encoded)
-        self.memory.put_all(found)
-        return found
+    def _remembered(self, keys, make):
+        """The ids, as bytes, of distinct keys; ``make`` gives those of keys that are not remembered. Nothing has no ids."""
+        ids = self.memory.known(keys)
+        new = [k for k, value in ids.items() if value is None and k]
+        made = dict(zip(new, make(new)))
+        self.memory.put_all(made)
+        ids.update(made)
+        return [value or b"" for value in ids.values()]
+
+    def _chunks(self, chunks):
+        """The runs of distinct chunks."""
+        plain = pc.and_(pc.match_substring_regex(chunks, PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+        lower = pc.utf8_lower(pc.if_else(plain, chunks, pa.scalar("", chunks.type)))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, PIECES, r"\1 "))
+        pieces = cut.flatten().dictionary_encode()
+        runs = _runs(self._remembered(pieces.dictionary.to_pylist(), self._pieces))
+        pool, ends = _taken(*runs, pieces.indices.to_numpy())
+        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(other):
+            # A key in bytes is a chunk, as a piece of the same letters may have other ids.
+            keys = [c.encode() for c in chunks.take(other).to_pylist()]
+            more, first, sizes[other] = _runs(self._remembered(keys, lambda new: self._one_by_one([k.decode() for k in new])))
+            starts[other] = len(pool) + first
+            pool = np.concatenate((pool, more))
+        return pool, starts, sizes
 
     def encode(self, texts):
-        """An array of ids for each text, given as UTF-8 bytes."""
-        split = [t.split() for t in texts]
-        ids = self.memory.known(set(chain.from_iterable(split)))
-        ids.update(self._missing([c for c, value in ids.items() if value is None]))
-        return [np.frombuffer(b"".join(map(ids.__getitem__, chunks)), dtype="<u4") for chunks in split]
+        """An array of ids for each text, given as UTF-8: a list of bytes or an Arrow array of strings without nulls."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.decode() for t in texts], pa.string())
+        # White space at an end of a text makes an empty chunk, which has no ids.
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        found, ends = _taken(*self._chunks(chunks.dictionary), chunks.indices.to_numpy())
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [found[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def tokenizer(path):
@@ -210,7 +237,7 @@ def tokenizer(path):
     return kept_by_process(("chunks", path), lambda: ChunkTokenizer(path))
 
 
-def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=8 << 20):
+def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_TOKENS, group_bytes=16 << 20):
     """Encode and write all documents; returns the manifest."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
@@ -233,7 +260,7 @@ def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_
 
         def encode():
             nonlocal size, bytes_held
-            for found in coder.encode(held):
+            for found in coder.encode(pa.concat_arrays(held)) if held else ():
                 documents.append(np.concatenate((found, end)))
                 size += len(found) + 1
             ids.extend(keys)
@@ -242,10 +269,16 @@ def write_files(docs, path, end_id, key="doc_id", text="text", file_tokens=FILE_
             bytes_held = 0
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), byte_texts(batch.column(2))):
-                keys.append(key)
-                held.append(value)
-                bytes_held += len(value)
+            texts = batch.column(2)
+            sizes = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy()
+            first = 0
+            while first < len(texts):
+                before = int(sizes[first - 1]) if first else 0
+                last = min(len(texts), 1 + int(np.searchsorted(sizes, before + group_bytes - bytes_held)))
+                keys.extend(batch.column(0).slice(first, last - first).to_pylist())
+                held.append(texts.slice(first, last - first))
+                bytes_held += int(sizes[last - 1]) - before
+                first = last
                 if bytes_held >= group_bytes:
                     encode()
                     if size >= file_tokens:

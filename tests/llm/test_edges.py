@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -205,6 +206,27 @@ def test_token_files_of_odd_rows(spark):
     assert token_files.read_files(token_files.write_files(docs(spark, []), WORD_BPE, 2)).count() == 0
 
 
+def test_plain_texts_are_cut_as_the_library_cuts_them():
+    """Every plain character in both cases, contractions, digits and runs of signs; the library's own split is not asked for them."""
+    library = Tokenizer.from_file(WORD_BPE)
+    plain = [chr(i) for i in [*range(0x21, 0x7f), *map(ord, "¡¿«»"), *range(0xc0, 0x180)] if i not in (0xd7, 0xf7, 0x130)]
+    rng = np.random.default_rng(5)
+    parts = plain + ["'s", "'Re", "''ll", "can't", "2024", "--", "O'Dell'd", " ", "\t", "\n ", "\x0b", "\f", "\r\n"]
+    texts = ["", " ", *plain, *["".join(rng.choice(parts, 40)).replace("<|", "<") for _ in range(300)]]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    coder = token_files.ChunkTokenizer(WORD_BPE)
+    coder.library = None
+    for _ in range(2):
+        got = coder.encode(pa.array(["cut off", *texts]).slice(1))
+        assert [g.tolist() for g in got] == want
+
+
+@pytest.mark.parametrize("group_bytes", [1, 60, 1000])
+def test_token_files_whatever_the_groups(spark, group_bytes):
+    read = lambda **k: sorted(map(str, token_files.read_files(token_files.write_files(docs(spark, ODD), WORD_BPE, 2, **k), ids=True).collect()))
+    assert read(group_bytes=group_bytes, file_tokens=30) == read()
+
+
 ALPHABET = st.text(alphabet=st.sampled_from(list("aabeetthn  \n\t.,!?'’\"sSrRlLmvd019éÉßÑ日ǅΣς😀\u0301\x85\u00a0\x1c<|>")), max_size=60)
 
 
